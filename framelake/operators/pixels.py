@@ -6,12 +6,13 @@ dense BINARY column (numpy over Arrow batches) and the long form (frame, y, x, v
 
 from __future__ import annotations
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import PandasUDFType
 
 from framelake.functions.boxes import Box
+from framelake.functions.imaging import bilinear, image, nearest
 
 # BT.601 luma weights in 14-bit fixed point.
 LUMA_BITS = 14
@@ -126,88 +127,44 @@ def resample_long(pixels: DataFrame, targets: DataFrame, keys: list[str]) -> Dat
     )
 
 
-# ---- dense frames: numpy helpers and the Arrow functions built on them --------------------------
-
-
-def unpack_10_to_8(packed: np.ndarray) -> np.ndarray:
-    """(.., 5n) packed bytes to (.., 4n) eight-bit pixels."""
-    b = packed.reshape(*packed.shape[:-1], -1, 5)
-    out = np.empty((*b.shape[:-1], 4), np.uint8)
-    out[..., 0] = b[..., 0]
-    out[..., 1] = (b[..., 1] & 63) << 2 | b[..., 2] >> 6
-    out[..., 2] = (b[..., 2] & 15) << 4 | b[..., 3] >> 4
-    out[..., 3] = (b[..., 3] & 3) << 6 | b[..., 4] >> 2
-    return out.reshape(*packed.shape[:-1], -1)
-
-
-def nearest(image: np.ndarray, scale, offset, out_width: int, out_height: int) -> np.ndarray:
-    height, width = image.shape
-    x = (np.arange(out_width) - offset[0]) / scale[0]
-    y = (np.arange(out_height) - offset[1]) / scale[1]
-    in_x, in_y = (x >= 0) & (x < width), (y >= 0) & (y < height)
-    out = np.zeros((out_height, out_width), image.dtype)
-    out[np.ix_(in_y, in_x)] = image[np.ix_(y[in_y].astype(int), x[in_x].astype(int))]
-    return out
-
-
-def bilinear(image: np.ndarray, out_width: int, out_height: int) -> np.ndarray:
-    """Resize with pixel centres aligned and edges repeated."""
-
-    def axis(n_out: int, n_in: int):
-        at = np.clip((np.arange(n_out) + 0.5) * (n_in / n_out) - 0.5, 0, n_in - 1)
-        low = np.floor(at).astype(int)
-        return low, np.minimum(low + 1, n_in - 1), at - low
-
-    y0, y1, fy = axis(out_height, image.shape[0])
-    x0, x1, fx = axis(out_width, image.shape[1])
-    source = image.astype(np.float64)
-    if source.ndim == 3:
-        fx, fy = fx[:, None], fy[:, None, None]
-    else:
-        fy = fy[:, None]
-    top = source[y0][:, x0] * (1 - fx) + source[y0][:, x1] * fx
-    bottom = source[y1][:, x0] * (1 - fx) + source[y1][:, x1] * fx
-    return np.floor(top * (1 - fy) + bottom * fy + 0.5).astype(np.uint8)
-
-
-def _image(data: bytes, width: int, height: int) -> np.ndarray:
-    return np.frombuffer(data, np.uint8).reshape(height, width)
-
-
-@F.pandas_udf("binary")
-def resample_dense(
-    pixels: pd.Series,
-    width: pd.Series,
-    height: pd.Series,
-    scale_x: pd.Series,
-    scale_y: pd.Series,
-    offset_x: pd.Series,
-    offset_y: pd.Series,
-    out_width: pd.Series,
-    out_height: pd.Series,
-) -> pd.Series:
-    rows = zip(pixels, width, height, scale_x, scale_y, offset_x, offset_y, out_width, out_height)
+# ---- dense frames: Arrow functions over the numpy helpers ------------------------------------------
+
+
+def _resample(p, width, height, scale_x, scale_y, offset_x, offset_y, out_width, out_height) -> pd.Series:
+    rows = zip(p, width, height, scale_x, scale_y, offset_x, offset_y, out_width, out_height)
     return pd.Series(
-        [nearest(_image(p, w, h), (sx, sy), (ox, oy), ow, oh).tobytes() for p, w, h, sx, sy, ox, oy, ow, oh in rows]
+        [nearest(image(d, w, h), (sx, sy), (ox, oy), ow, oh).tobytes() for d, w, h, sx, sy, ox, oy, ow, oh in rows]
     )
 
 
-@F.pandas_udf("binary")
-def resize_dense(pixels: pd.Series, width: pd.Series, height: pd.Series, out_width: pd.Series, out_height: pd.Series) -> pd.Series:
-    rows = zip(pixels, width, height, out_width, out_height)
-    return pd.Series([bilinear(_image(p, w, h), ow, oh).tobytes() for p, w, h, ow, oh in rows])
+def _resize(p, width, height, out_width, out_height) -> pd.Series:
+    rows = zip(p, width, height, out_width, out_height)
+    return pd.Series([bilinear(image(d, w, h), ow, oh).tobytes() for d, w, h, ow, oh in rows])
 
 
-@F.pandas_udf("array<binary>")
-def cut_dense(pixels: pd.Series, width: pd.Series, height: pd.Series, windows: pd.Series) -> pd.Series:
-    """Several rectangles of each frame in one pass; windows are (x_min, y_min, x_max, y_max)."""
+def _cut(p, width, height, windows) -> pd.Series:
     out = []
-    for data, w, h, rects in zip(pixels, width, height, windows):
-        image = _image(data, w, h)
-        out.append([image[r["y_min"] : r["y_max"], r["x_min"] : r["x_max"]].tobytes() for r in rects])
+    for data, w, h, rects in zip(p, width, height, windows):
+        full = image(data, w, h)
+        out.append([full[r["y_min"] : r["y_max"], r["x_min"] : r["x_max"]].tobytes() for r in rects])
     return pd.Series(out)
 
 
+def resample_dense(*columns) -> Column:
+    """pixels, width, height, scale_x, scale_y, offset_x, offset_y, out_width, out_height."""
+    return F.pandas_udf(_resample, "binary", PandasUDFType.SCALAR)(*columns)
+
+
+def resize_dense(*columns) -> Column:
+    """pixels, width, height, out_width, out_height."""
+    return F.pandas_udf(_resize, "binary", PandasUDFType.SCALAR)(*columns)
+
+
+def cut_dense(*columns) -> Column:
+    """pixels, width, height, windows: several rectangles of each frame in one pass."""
+    return F.pandas_udf(_cut, "array<binary>", PandasUDFType.SCALAR)(*columns)
+
+
 def normalise_frames(
     frames: DataFrame, scale, offset, out_width: int | None = None, out_height: int | None = None
 ) -> DataFrame:

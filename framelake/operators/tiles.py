@@ -54,11 +54,21 @@ def untile(detections: DataFrame) -> DataFrame:
     )
 
 
-def score_tiles(tiles: DataFrame, make_predict, schema, pixels: str = "pixels", name: str = "raw", batch_size: int = 32):
+def score_tiles(
+    tiles: DataFrame,
+    make_predict,
+    schema,
+    tile: int,
+    pixels: str = "pixels",
+    name: str = "raw",
+    batch_size: int = 32,
+) -> DataFrame:
     """Call a user model on tile pixels; the model is loaded once per Python worker."""
     from pyspark.ml.functions import predict_batch_udf
 
-    predict = predict_batch_udf(make_predict, return_type=schema, batch_size=batch_size)
+    predict = predict_batch_udf(
+        make_predict, return_type=schema, batch_size=batch_size, input_tensor_shapes=[[tile * tile]]
+    )
     return tiles.withColumn(name, predict(F.col(pixels)))
 
 

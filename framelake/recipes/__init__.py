@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("decode",)
+MODULES = ("sources", "decode", "checks", "relations")
 
 
 def load_all():

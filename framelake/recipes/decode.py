@@ -236,7 +236,6 @@ def target_ids(t: Tables):
 
 
 # A reversed, partly outside box, so that ordering and clamping both act.
-LOOSE = Box(F.col("x_max") - 20, F.col("y_min") - 10, F.col("x_min") - 10, F.col("y_max") + 10)
 LOOSE_SQL = {"x0": "x_max - 20", "y0": "y_min - 10", "x1": "x_min - 10", "y1": "y_max + 10"}
 
 
@@ -249,7 +248,8 @@ LOOSE_SQL = {"x0": "x_max - 20", "y0": "y_min - 10", "x1": "x_min - 10", "y1": "
         FROM {RAW_TARGETS} t""",
 )
 def clamp_box(t: Tables):
-    return t.targets().select(*TARGET_ID, *boxes.clamp(LOOSE, F.lit(3000), F.lit(90)).columns())
+    loose = Box(F.col("x_max") - 20, F.col("y_min") - 10, F.col("x_min") - 10, F.col("y_max") + 10)
+    return t.targets().select(*TARGET_ID, *boxes.clamp(loose, F.lit(3000), F.lit(90)).columns())
 
 
 @recipe(

@@ -209,7 +209,7 @@ VIEWS = {
 def with_views(names: str, body: str) -> str:
     """SQL text with the named views (space separated, in dependency order) in front."""
     parts = [f"{name} AS ({VIEWS[name]})" for name in names.split()]
-    return f"WITH {', '.join(parts)} {body}" if parts else body
+    return f"WITH {', '.join(parts)}{body if body.startswith(',') else ' ' + body}" if parts else body
 
 
 def recipe(name: str, oracle: str | None = None, views: str = ""):

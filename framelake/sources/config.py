@@ -18,7 +18,7 @@ CATEGORY_TYPE = "struct<id: string, classes: array<struct<index: bigint, type: s
 
 def json_documents(spark: SparkSession, path: str) -> DataFrame:
     """One row per file: (path, document)."""
-    return spark.read.option("wholetext", "true").text(path).select(
+    return spark.read.text(path, wholetext=True).select(
         F.col("_metadata.file_path").alias("path"), F.col("value").alias("document")
     )
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framelake.functions.names import extension, relative_path
-from framelake.operators.pixels import bilinear
+from framelake.functions.imaging import bilinear
 
 DEFAULT_EXTENSIONS = "jpg,jpeg,png,bmp,tiff,pgm"
 IMAGE_SCHEMA = (
