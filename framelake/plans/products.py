@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from framelake.functions.boxes import Box, Geometry, crop_window, inverse_map
+from framelake.functions.boxes import Box, Geometry, crop_window, finite_triplet, inverse_map
 from framelake.functions.names import class_folder, crop_name
 from framelake.functions.records import (
     camera_time,
@@ -13,11 +13,9 @@ from framelake.functions.records import (
     exposure,
     gps_time,
     image_meta,
-    navigation,
     target_class,
     track_item,
 )
-from framelake.functions.boxes import finite_triplet
 from framelake.operators.artifacts import content_digest, run_metrics, tree_digest
 from framelake.operators.lookup import small_or_shuffled
 from framelake.operators.pixels import cut_dense
@@ -149,17 +147,20 @@ def write_records(records: DataFrame, path: str) -> None:
     records.write.mode("errorifexists").option("ignoreNullFields", "false").json(path)
 
 
-def frame_bundle(frames: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(members, one digest row per source) of a frame bundle; the digest is reproducible."""
-    members = frames.withColumn("name", F.format_string("frames/%06d.bin", "frame_id")).withColumn(
+def bundle_members(frames: DataFrame) -> DataFrame:
+    """Frames with their member name and content digest."""
+    return frames.withColumn("name", F.format_string("frames/%06d.bin", "frame_id")).withColumn(
         "sha256", content_digest(F.col("pixels"))
     )
-    return members, tree_digest(members, "frame_id", "sha256", ["source"])
+
+
+def bundle_digest(members: DataFrame) -> DataFrame:
+    """One digest per source; equal frames give an equal digest on every run."""
+    return tree_digest(members, "frame_id", "sha256", ["source"])
 
 
 def write_bundle(frames: DataFrame, path: str) -> None:
-    members, _ = frame_bundle(frames)
-    members.write.mode("errorifexists").partitionBy("source_name").parquet(path)
+    bundle_members(frames).write.mode("errorifexists").parquet(path)
 
 
 def crop_records(frames: DataFrame, detections: DataFrame, keys: list[str] = FRAME_KEYS) -> DataFrame:
@@ -217,10 +218,10 @@ def require_reconciled(records: DataFrame, meta: DataFrame, frame_count: int) ->
 
 
 __all__ = [
+    "bundle_digest",
+    "bundle_members",
     "check_sequence",
     "crop_records",
-    "frame_bundle",
-    "navigation",
     "navigation_records",
     "require_reconciled",
     "run_row",

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("sources", "decode", "checks", "relations")
+MODULES = ("sources", "decode", "checks", "relations", "vision")
 
 
 def load_all():
