@@ -9,7 +9,6 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import PandasUDFType
 
 from framelake.functions.boxes import Box
 from framelake.functions.imaging import bilinear, image, nearest
@@ -130,19 +129,31 @@ def resample_long(pixels: DataFrame, targets: DataFrame, keys: list[str]) -> Dat
 # ---- dense frames: Arrow functions over the numpy helpers ------------------------------------------
 
 
-def _resample(p, width, height, scale_x, scale_y, offset_x, offset_y, out_width, out_height) -> pd.Series:
+def _resample(
+    p: pd.Series,
+    width: pd.Series,
+    height: pd.Series,
+    scale_x: pd.Series,
+    scale_y: pd.Series,
+    offset_x: pd.Series,
+    offset_y: pd.Series,
+    out_width: pd.Series,
+    out_height: pd.Series,
+) -> pd.Series:
     rows = zip(p, width, height, scale_x, scale_y, offset_x, offset_y, out_width, out_height)
     return pd.Series(
         [nearest(image(d, w, h), (sx, sy), (ox, oy), ow, oh).tobytes() for d, w, h, sx, sy, ox, oy, ow, oh in rows]
     )
 
 
-def _resize(p, width, height, out_width, out_height) -> pd.Series:
+def _resize(
+    p: pd.Series, width: pd.Series, height: pd.Series, out_width: pd.Series, out_height: pd.Series
+) -> pd.Series:
     rows = zip(p, width, height, out_width, out_height)
     return pd.Series([bilinear(image(d, w, h), ow, oh).tobytes() for d, w, h, ow, oh in rows])
 
 
-def _cut(p, width, height, windows) -> pd.Series:
+def _cut(p: pd.Series, width: pd.Series, height: pd.Series, windows: pd.Series) -> pd.Series:
     out = []
     for data, w, h, rects in zip(p, width, height, windows):
         full = image(data, w, h)
@@ -152,17 +163,17 @@ def _cut(p, width, height, windows) -> pd.Series:
 
 def resample_dense(*columns) -> Column:
     """pixels, width, height, scale_x, scale_y, offset_x, offset_y, out_width, out_height."""
-    return F.pandas_udf(_resample, "binary", PandasUDFType.SCALAR)(*columns)
+    return F.pandas_udf(_resample, "binary")(*columns)
 
 
 def resize_dense(*columns) -> Column:
     """pixels, width, height, out_width, out_height."""
-    return F.pandas_udf(_resize, "binary", PandasUDFType.SCALAR)(*columns)
+    return F.pandas_udf(_resize, "binary")(*columns)
 
 
 def cut_dense(*columns) -> Column:
     """pixels, width, height, windows: several rectangles of each frame in one pass."""
-    return F.pandas_udf(_cut, "array<binary>", PandasUDFType.SCALAR)(*columns)
+    return F.pandas_udf(_cut, "array<binary>")(*columns)
 
 
 def normalise_frames(

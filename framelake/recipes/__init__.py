@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("sources", "decode", "checks", "relations", "vision")
+MODULES = ("sources", "decode", "checks", "relations", "vision", "streams")
 
 
 def load_all():
