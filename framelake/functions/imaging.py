@@ -48,3 +48,38 @@ def bilinear(image: np.ndarray, out_width: int, out_height: int) -> np.ndarray:
     top = source[y0][:, x0] * (1 - fx) + source[y0][:, x1] * fx
     bottom = source[y1][:, x0] * (1 - fx) + source[y1][:, x1] * fx
     return np.floor(top * (1 - fy) + bottom * fy + 0.5).astype(np.uint8)
+
+
+def scaled(source: np.ndarray, out_width: int, out_height: int) -> np.ndarray:
+    """Block mean for whole factors, bilinear otherwise."""
+    height, width = source.shape
+    if height % out_height or width % out_width:
+        return bilinear(source, out_width, out_height)
+    by, bx = height // out_height, width // out_width
+    sums = source.reshape(out_height, by, width).sum(axis=1, dtype=np.uint32)
+    sums = sums.reshape(out_height, out_width, bx).sum(axis=2)
+    return ((sums + by * bx // 2) // (by * bx)).astype(np.uint8)
+
+
+def iou_matrix(x_min, y_min, x_max, y_max) -> np.ndarray:
+    """IoU of every two boxes of one bounded group."""
+    x_min, y_min, x_max, y_max = (np.asarray(edge, np.float64) for edge in (x_min, y_min, x_max, y_max))
+    width = np.maximum(0.0, np.minimum(x_max[:, None], x_max) - np.maximum(x_min[:, None], x_min))
+    height = np.maximum(0.0, np.minimum(y_max[:, None], y_max) - np.maximum(y_min[:, None], y_min))
+    shared = width * height
+    area = (x_max - x_min) * (y_max - y_min)
+    union = area[:, None] + area - shared
+    return np.divide(shared, union, out=np.zeros_like(shared), where=union > 0)
+
+
+def greedy_keep(edges, classes, threshold: float) -> list[int]:
+    """Positions kept by greedy suppression of a best-first group, within classes."""
+    classes = np.asarray(classes)
+    rivals = (iou_matrix(*edges) > threshold) & (classes[:, None] == classes)
+    alive = np.ones(len(classes), bool)
+    kept = []
+    for place in range(len(classes)):
+        if alive[place]:
+            kept.append(place)
+            alive &= ~rivals[place]
+    return kept

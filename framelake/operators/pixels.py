@@ -23,6 +23,14 @@ def _positions(count: Column) -> Column:
     return F.when(count > 0, F.sequence(zero, count - 1)).otherwise(F.array().cast("array<bigint>"))
 
 
+def _once(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once per row.
+
+    Inside a lambda an inlined expression would be computed again for every pixel.
+    """
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def resample_nearest(
     pixels: Column,
     width: Column,
@@ -34,26 +42,28 @@ def resample_nearest(
 ) -> Column:
     """Affine resample of an array image; the source index is truncated, outside is 0."""
 
-    def sample(i: Column) -> Column:
+    def sample(i: Column, source: Column) -> Column:
         x = ((i % out_width).cast("double") - offset[0]) / scale[0]
         y = (F.floor(i / out_width).cast("double") - offset[1]) / scale[1]
         covered = (x >= 0) & (y >= 0) & (x < width) & (y < height)
         at = F.floor(y) * width + F.floor(x)
-        return F.when(covered, F.get(pixels, at.cast("int"))).otherwise(F.lit(0)).cast("smallint")
+        return F.when(covered, F.get(source, at.cast("int"))).otherwise(F.lit(0)).cast("smallint")
 
-    return F.transform(_positions((out_width * out_height).cast("bigint")), sample)
+    places = _positions((out_width * out_height).cast("bigint"))
+    return _once(pixels, lambda source: F.transform(places, lambda i: sample(i, source)))
 
 
 def cut(pixels: Column, width: Column, window: Box) -> Column:
     """Rectangle of an array image, row-major; ``window`` holds integer edges."""
     w = window.x_max - window.x_min
-    h = window.y_max - window.y_min
+    some = (w > 0) & (window.y_max > window.y_min)
+    none = F.array().cast("array<bigint>")
+    rows = F.when(some, F.sequence(window.y_min.cast("bigint"), window.y_max.cast("bigint") - 1)).otherwise(none)
 
-    def take(i: Column) -> Column:
-        at = (window.y_min + F.floor(i / w)) * width + window.x_min + i % w
-        return F.get(pixels, at.cast("int"))
+    def strip(y: Column) -> Column:
+        return F.slice(pixels, (y * width + window.x_min + 1).cast("int"), F.greatest(w, F.lit(0)).cast("int"))
 
-    return F.transform(_positions(F.when((w > 0) & (h > 0), w * h).otherwise(F.lit(0)).cast("bigint")), take)
+    return F.flatten(F.transform(rows, strip))
 
 
 def block_mean(pixels: Column, width: int, height: int, factor: int) -> Column:
@@ -61,10 +71,10 @@ def block_mean(pixels: Column, width: int, height: int, factor: int) -> Column:
     out_width = width // factor
     cells = F.sequence(F.lit(0), F.lit(out_width * (height // factor) - 1))
 
-    def mean(i: Column) -> Column:
+    def mean(i: Column, source: Column) -> Column:
         corner = F.floor(i / out_width) * (factor * width) + (i % out_width) * factor
         picks = [
-            F.get(pixels, (corner + dy * width + dx).cast("int")).cast("double")
+            F.get(source, (corner + dy * width + dx).cast("int")).cast("double")
             for dy in range(factor)
             for dx in range(factor)
         ]
@@ -73,7 +83,7 @@ def block_mean(pixels: Column, width: int, height: int, factor: int) -> Column:
             total = total + pick
         return total / float(factor * factor)
 
-    return F.transform(cells, mean)
+    return _once(pixels, lambda source: F.transform(cells, lambda i: mean(i, source)))
 
 
 def gray_to_channels(pixels: Column) -> Column:
@@ -83,16 +93,19 @@ def gray_to_channels(pixels: Column) -> Column:
 
 def swap_red_blue(pixels: Column) -> Column:
     """Interleaved three-channel array with first and third channel exchanged."""
-    return F.transform(pixels, lambda _, i: F.get(pixels, (i + 2 - 2 * (i % 3)).cast("int")))
+    return _once(pixels, lambda source: F.transform(source, lambda _, i: F.get(source, (i + 2 - 2 * (i % 3)).cast("int"))))
 
 
 def rgb_to_gray(pixels: Column) -> Column:
-    def luma(i: Column) -> Column:
-        r, g, b = (F.get(pixels, (i * 3 + c).cast("int")).cast("bigint") for c in range(3))
+    def luma(i: Column, source: Column) -> Column:
+        r, g, b = (F.get(source, (i * 3 + c).cast("int")).cast("bigint") for c in range(3))
         weighted = r * LUMA_RED + g * LUMA_GREEN + b * LUMA_BLUE + (1 << (LUMA_BITS - 1))
         return F.shiftright(weighted, LUMA_BITS).cast("smallint")
 
-    return F.transform(_positions(F.floor(F.size(pixels) / 3)), luma)
+    def convert(source: Column) -> Column:
+        return F.transform(_positions(F.floor(F.size(source) / 3)), lambda i: luma(i, source))
+
+    return _once(pixels, convert)
 
 
 def to_long(df: DataFrame, pixels: str, width: Column, keys: list[str]) -> DataFrame:

@@ -21,25 +21,19 @@ def tiles_along(length: Column, tile: int) -> Column:
     return F.ceil((length - tile) / tile_stride(tile)).cast("bigint") + 1
 
 
-def tile_offsets(width: Column, height: Column, tile: int) -> Column:
-    """Array of (tile_index, x_offset, y_offset), row-major, edge tiles pulled inside."""
-    step = tile_stride(tile)
-    columns = tiles_along(width, tile)
-    last = columns * tiles_along(height, tile) - 1
-
-    def place(index: Column) -> Column:
-        return F.struct(
-            index.alias("tile_index"),
-            F.least((index % columns) * step, width - tile).alias("x_offset"),
-            F.least(F.floor(index / columns) * step, height - tile).alias("y_offset"),
-        )
-
-    return F.transform(F.sequence(F.lit(0).cast("bigint"), last), place)
-
-
 def tile_grid(frames: DataFrame, tile: int, width: str = "width", height: str = "height") -> DataFrame:
-    """One row per frame and tile. The grid comes from the frame's own size: no join."""
-    return frames.select("*", F.inline(tile_offsets(F.col(width).cast("bigint"), F.col(height).cast("bigint"), tile)))
+    """One row per frame and tile, row-major, edge tiles pulled back inside.
+
+    The grid follows from the frame's own size: no join.
+    """
+    w, h = F.col(width).cast("bigint"), F.col(height).cast("bigint")
+    columns, rows = tiles_along(w, tile), tiles_along(h, tile)
+    step, index = tile_stride(tile), F.col("tile_index")
+    return (
+        frames.withColumn("tile_index", F.explode(F.sequence(F.lit(0).cast("bigint"), columns * rows - 1)))
+        .withColumn("x_offset", F.least((index % columns) * step, w - tile))
+        .withColumn("y_offset", F.least(F.floor(index / columns) * step, h - tile))
+    )
 
 
 def untile(detections: DataFrame) -> DataFrame:

@@ -7,8 +7,9 @@ import uuid
 
 from pyspark.sql import SparkSession
 
-# Settings the jobs rely on for right results (UTC, ANSI) or for scale (AQE).
-# The byte bound keeps Arrow batches of multi-megabyte frames small.
+# Settings the jobs rely on for right results (UTC) or for speed and scale.
+# The Arrow byte bound keeps batches of multi-megabyte frames small. Methods over 8000 bytes
+# of bytecode are never compiled by the JVM, so such stages are split instead of fused.
 REQUIRED_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
@@ -17,6 +18,7 @@ REQUIRED_CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.execution.arrow.maxBytesPerBatch": str(64 * 1024 * 1024),
     "spark.sql.python.filterPushdown.enabled": "true",
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 

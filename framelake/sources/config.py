@@ -35,9 +35,12 @@ def categories_of(documents: DataFrame, document: str = "document") -> DataFrame
     A map without id or classes, or a class without index or type, fails the job.
     """
     parsed = documents.select(F.from_json(document, CATEGORY_TYPE).alias("m"))
-    mapping_id = _required("m.id", "category map is missing its id")
-    classes = _required("m.classes", "category map is missing its classes")
-    rows = parsed.select(mapping_id.alias("mapping_id"), F.posexplode(classes).alias("place", "c"))
+    # Both checks sit in the exploded value, so a map without classes cannot slip through.
+    incomplete = F.col("m.id").isNull() | F.col("m.classes").isNull()
+    classes = F.when(incomplete, F.raise_error(F.lit("category map is missing id or classes"))).otherwise(
+        F.col("m.classes")
+    )
+    rows = parsed.select(F.col("m.id").alias("mapping_id"), F.posexplode(classes).alias("place", "c"))
     return rows.groupBy(
         "mapping_id", _required("c.index", "category map class is missing its index").alias("class_index")
     ).agg(F.max_by(_required("c.type", "category map class is missing its type"), "place").alias("type"))
