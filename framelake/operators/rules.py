@@ -146,14 +146,19 @@ def repeated(records: DataFrame, keys: list[str]) -> DataFrame:
     return records.groupBy(*keys).agg(F.count(F.lit(1)).alias("copies")).where(F.col("copies") > 1)
 
 
-def role_conflicts(detections: DataFrame, tracks: DataFrame, keys: list[str]) -> DataFrame:
-    """Frames carrying both a detection and a tracking record.
+def role_conflicts(frames: DataFrame, detections: DataFrame, tracks: DataFrame, keys: list[str]) -> DataFrame:
+    """Frames that carry both a detection and a tracking record, or neither.
 
-    Both sides are reduced to presence bits before they meet, so no frame is gathered.
+    All sides are reduced to presence bits before they meet, so no frame is gathered.
     """
-    d = detections.select(*keys, F.lit(True).alias("d"), F.lit(False).alias("t"))
-    t = tracks.select(*keys, F.lit(False).alias("d"), F.lit(True).alias("t"))
-    seen = d.unionByName(t).groupBy(*keys).agg(F.bool_or("d").alias("has_detection"), F.bool_or("t").alias("has_tracking"))
+
+    def presence(df: DataFrame, detection: bool, tracking: bool) -> DataFrame:
+        return df.select(*keys, F.lit(detection).alias("d"), F.lit(tracking).alias("t"))
+
+    sides = presence(frames, False, False).unionByName(presence(detections, True, False)).unionByName(
+        presence(tracks, False, True)
+    )
+    seen = sides.groupBy(*keys).agg(F.bool_or("d").alias("has_detection"), F.bool_or("t").alias("has_tracking"))
     return seen.where(F.col("has_detection") == F.col("has_tracking"))
 
 

@@ -20,6 +20,7 @@ from framelake.operators.artifacts import content_digest, run_metrics, tree_dige
 from framelake.operators.lookup import small_or_shuffled
 from framelake.operators.pixels import cut_dense
 from framelake.operators.rules import (
+    MAX_TARGETS_PER_FRAME,
     Rule,
     RuleViolation,
     box_rule,
@@ -164,13 +165,16 @@ def write_bundle(frames: DataFrame, path: str) -> None:
 
 
 def crop_records(frames: DataFrame, detections: DataFrame, keys: list[str] = FRAME_KEYS) -> DataFrame:
-    """Chips of all detections, one pass over each frame's pixels.
+    """Chips of all detections; pixels travel once per 256 detections of a frame.
 
-    ``detections`` has boxes in the filter plane, target_index and class type, at most the
-    record limit per frame; windows are nested per frame so pixels are joined once.
+    ``detections`` has boxes in the filter plane, class type and the ordinal
+    ``target_index``, which also bounds how many windows one row carries.
     """
-    boxes = detections.groupBy(*keys).agg(
-        F.sort_array(F.collect_list(F.struct("target_index", "type", *Box._fields))).alias("boxes")
+    chunk = F.floor(F.col("target_index") / MAX_TARGETS_PER_FRAME)
+    boxes = (
+        detections.groupBy(*keys, chunk.alias("chunk"))
+        .agg(F.sort_array(F.collect_list(F.struct("target_index", "type", *Box._fields))).alias("boxes"))
+        .drop("chunk")
     )
     joined = frames.select(*keys, "width", "height", "pixels").join(boxes, keys)
 

@@ -158,14 +158,16 @@ def plane_match(t: Tables):
 @recipe(
     "c13_single_role",
     """WITH d AS (SELECT DISTINCT l_orderkey AS frame_id FROM lineitem WHERE l_returnflag = 'A'),
-            t AS (SELECT DISTINCT event_id AS frame_id FROM events WHERE event_type = 'view')
+            t AS (SELECT DISTINCT event_id AS frame_id FROM events WHERE event_type = 'view'),
+            f AS (SELECT o_orderkey AS frame_id FROM orders UNION SELECT frame_id FROM d UNION SELECT frame_id FROM t)
        SELECT frame_id, d.frame_id IS NOT NULL AS has_detection, t.frame_id IS NOT NULL AS has_tracking
-       FROM d FULL JOIN t USING (frame_id) WHERE d.frame_id IS NOT NULL AND t.frame_id IS NOT NULL""",
+       FROM f LEFT JOIN d USING (frame_id) LEFT JOIN t USING (frame_id) WHERE (d.frame_id IS NULL) = (t.frame_id IS NULL)""",
 )
 def single_role(t: Tables):
+    frames = t.orders.selectExpr("o_orderkey AS frame_id")
     detections = t.lineitem.where("l_returnflag = 'A'").selectExpr("l_orderkey AS frame_id")
     tracks = t.events.where("event_type = 'view'").selectExpr("event_id AS frame_id")
-    return rules.role_conflicts(detections, tracks, ["frame_id"])
+    return rules.role_conflicts(frames, detections, tracks, ["frame_id"])
 
 
 @recipe(

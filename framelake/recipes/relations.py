@@ -92,6 +92,13 @@ def request_profile(t: Tables):
     return wanted.join(lookup.small_or_shuffled(registry), "profile_id", "left").drop("profile_id")
 
 
+BEST_FIRST = "-score, l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity"
+
+
+def best_first():
+    return [-F.col("score"), *map(F.col, ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity"))]
+
+
 BOX_ID = "concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(round(score * 100) AS BIGINT)) AS box_id"
 IOU_SQL = """(greatest(0.0, least(a.x_max, b.x_max) - greatest(a.x_min, b.x_min)) * greatest(0.0, least(a.y_max, b.y_max) - greatest(a.y_min, b.y_min)))
    / ((a.x_max - a.x_min) * (a.y_max - a.y_min) + (b.x_max - b.x_min) * (b.y_max - b.y_min)
@@ -100,14 +107,14 @@ IOU_SQL = """(greatest(0.0, least(a.x_max, b.x_max) - greatest(a.x_min, b.x_min)
 
 @recipe(
     "d7_overlapping_pairs",
-    f""", x AS (SELECT *, {BOX_ID} FROM dense)
+    f""", x AS (SELECT *, {BOX_ID} FROM (SELECT *, row_number() OVER (PARTITION BY frame ORDER BY {BEST_FIRST}) AS r FROM dense) WHERE r <= 500)
         SELECT a.frame, a.class_index, a.box_id AS low_id, b.box_id AS high_id, {IOU_SQL} AS iou
         FROM x a JOIN x b ON a.frame = b.frame AND a.class_index = b.class_index AND a.box_id < b.box_id WHERE {IOU_SQL} > 0.45""",
     "dense",
 )
 def pairs(t: Tables):
     boxes = t.dense().selectExpr("*", BOX_ID)
-    return overlapping_pairs(boxes, ["frame", "class_index"], "box_id", 0.45)
+    return overlapping_pairs(boxes, ["frame"], "box_id", best_first(), class_column="class_index")
 
 
 # Destination pixels of a map with scale 1.5 and offset 2 onto a 16 x 16 plane.
@@ -390,13 +397,6 @@ def first_frames(t: Tables):
     return t.frames().where("frame_id < 500").select("frame_id", "camera_seconds")
 
 
-BEST_FIRST = "-score, l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity"
-
-
-def best_first():
-    return [-F.col("score"), *map(F.col, ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity"))]
-
-
 @recipe(
     "g4_top_candidates",
     f"SELECT frame, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY frame ORDER BY {BEST_FIRST})::INT AS rank FROM dense) WHERE rank <= 5",

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from framelake.operators.lookup import small_or_shuffled
 from framelake.session import configure
 
 HEIGHT, STRIDE = 64, 16
@@ -45,7 +46,7 @@ class Tables:
             "user_id % 5 AS channel",
         )
         totals = lines.groupBy("source").agg((F.max("line") + 1).alias("source_lines"))
-        return lines.join(totals, "source")
+        return lines.join(small_or_shuffled(totals), "source")
 
     def frames(self) -> DataFrame:
         """Orders as frames with geometry, camera clock and exposure."""
