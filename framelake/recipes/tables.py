@@ -7,7 +7,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framelake.operators.lookup import small_or_shuffled
 from framelake.session import configure
 
 HEIGHT, STRIDE = 64, 16
@@ -35,18 +34,21 @@ class Tables:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
     def lines(self) -> DataFrame:
-        """Events as scan lines of one source; a line number is the event id."""
-        lines = self.events.selectExpr(
+        """Events as scan lines of one source; a line number is the event id.
+
+        The length of the one source is a single number, as the file size is for real files.
+        """
+        last = self.events.agg(F.max("event_id")).first()[0]
+        return self.events.selectExpr(
             "'events' AS source",
             "event_id AS line",
+            f"{last + 1}L AS source_lines",
             "event_type <> 'error' AS valid",
             "CAST(event_id % 16 AS INT) AS nibble",
             "value",
             "user_id",
             "user_id % 5 AS channel",
         )
-        totals = lines.groupBy("source").agg((F.max("line") + 1).alias("source_lines"))
-        return lines.join(small_or_shuffled(totals), "source")
 
     def frames(self) -> DataFrame:
         """Orders as frames with geometry, camera clock and exposure."""
