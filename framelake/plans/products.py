@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from framelake.functions.boxes import Box, Geometry, crop_window, finite_triplet, inverse_map
@@ -29,7 +29,6 @@ from framelake.operators.rules import (
     fail_if_any,
     plane_rules,
     quarantine,
-    repeated,
     run_status,
     strict,
 )
@@ -74,6 +73,8 @@ def _target_rules(role: str) -> list[Rule]:
     ]
     if role == "detection":
         rules.insert(1, confidence_rule(F.col("confidence")))
+    else:
+        rules.insert(1, Rule("track", F.col("track_copy") == 1, "duplicate track_id in the same frame"))
     return rules
 
 
@@ -100,8 +101,10 @@ def target_records(
         .join(small_or_shuffled(categories), "class_index", "left")
     )
     rules, rejects = _target_rules(role), None
-    if role == "tracking" and mode == "strict":
-        fail_if_any(repeated(targets, [*keys, "track_id"]), "duplicate track in one frame")
+    if role == "tracking":
+        # Partitioned within the frame, so the rows are where they already are.
+        same_track = Window.partitionBy(*keys, "track_id").orderBy("target_index")
+        labelled = labelled.withColumn("track_copy", F.row_number().over(same_track))
     if mode == "strict":
         good = strict(labelled, rules, "target_index")
         frames = strict(frames, [clock_rule(F.col("valid"), F.col("camera_microseconds"))], "frame_id")

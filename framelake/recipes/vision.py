@@ -70,9 +70,10 @@ def rejected_targets(t: Tables):
 @recipe(
     "k2_track_frames",
     """, g AS (SELECT frame_id, row_number() OVER (PARTITION BY frame_id ORDER BY place) - 1 AS target_index, track_id, c.type,
-              x_min, (y_min + y_max) / 2 AS row, (x_min + x_max) / 2 AS "column"
+              x_min, (y_min + y_max) / 2 AS row, (x_min + x_max) / 2 AS "column",
+              row_number() OVER (PARTITION BY frame_id, track_id ORDER BY place) AS copy
             FROM tracks LEFT JOIN categories c USING (class_index)),
-        k AS (SELECT * FROM g WHERE type IS NOT NULL)
+        k AS (SELECT * FROM g WHERE type IS NOT NULL AND copy = 1)
        SELECT f.frame_id, f.frame_id * 3 AS seconds, k.track_id, k.type, k.x_min, k.row, k."column"
        FROM (SELECT DISTINCT frame_id FROM tracks) f LEFT JOIN k USING (frame_id)""",
     "categories tracks",

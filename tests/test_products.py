@@ -70,8 +70,12 @@ def test_track_records(spark):
         assert (item.image_sample.row, item.image_sample.column, item.track_id) == (60.0, 40.0, 7)
         assert item["class"]["type"] == "vehicle" and "confidence" not in item.asDict()
     assert [r.tracked_target_count for r in meta.collect()] == [1, 1, 1]
-    with pytest.raises(rules.RuleViolation):
-        products.target_records(frames(spark, 3), tracks.union(tracks), categories(spark), ["place"], role="tracking")
+    twice = (frames(spark, 3), tracks.union(tracks), categories(spark), ["place"])
+    with pytest.raises(Exception, match="duplicate track_id"):
+        products.target_records(*twice, role="tracking")[0].collect()
+    kept, _, rejects = products.target_records(*twice, role="tracking", mode="quarantine")
+    assert [len(r.tracks) for r in kept.collect()] == [1, 1, 1]
+    assert [r.failed_rule for r in rejects.collect()] == ["track"] * 3
 
 
 def test_frame_without_targets_keeps_an_empty_array(spark):
@@ -162,6 +166,8 @@ def test_requests_and_missing_registry(spark):
         "text": ("x", "R1"),
     }
     rows = [(name, json.dumps(document)) for name, (document, _) in cases.items()]
+    rows += [("broken", '{"schema_version": '), ("twice", json.dumps(REQUEST)[:-1] + ', "request_id": ""}')]
+    cases |= {"broken": (None, "R1"), "twice": (None, "R4")}
     df = spark.createDataFrame(rows, "name string, document string")
     got = {r.name: r.rule for r in requests.validate_requests(df, profiles).collect()}
     assert got == {name: rule for name, (_, rule) in cases.items()}
