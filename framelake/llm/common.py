@@ -127,3 +127,44 @@ def hashed_words(words: list[bytes], cache: RecentCache, digest: Callable[[bytes
 
 def documents(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/documents.parquet")
+
+
+def small_batches(batches: Iterator[pa.RecordBatch], column: int, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Cut batches so that the texts of one stay within ``limit`` bytes, or are a single text."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        sizes = np.array([len(v.as_buffer()) if v.is_valid else 0 for v in batch.column(column)], np.int64)
+        part = np.cumsum(sizes) // limit
+        starts = np.flatnonzero(np.diff(part, prepend=-1))
+        for a, b in zip(starts.tolist(), [*starts[1:].tolist(), batch.num_rows], strict=True):
+            yield batch.slice(a, b - a)
+
+
+def flat_words(column: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """All words of a column of texts in one list, with the first place and the number of words of each text."""
+    words: list[bytes] = []
+    counts = []
+    for value in column:
+        found = value.as_py().split()
+        counts.append(len(found))
+        words += found
+    counts = np.array(counts, np.int64)
+    return words, np.cumsum(counts) - counts, counts
+
+
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    from xxhash import xxh3_64_intdigest
+
+    return np.fromiter(map(xxh3_64_intdigest, words), np.uint64, len(words))
+
+
+def rolling(values: np.ndarray, width: int) -> np.ndarray:
+    """Hash of each run of ``width`` values; wraps modulo 2**64."""
+    n = len(values) - width + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    total = np.zeros(n, np.uint64)
+    for k in range(width):
+        total = total * np.uint64(0x9E3779B97F4A7C15) + values[k : k + n]
+    return mixed(total)
