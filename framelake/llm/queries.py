@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from framelake.llm import op02_interleave, op04_stream_dedup, op06_super_kmers, op07_language, op08_html, op09_pieces, op10_packing
+from framelake.llm import op02_interleave, op04_stream_dedup, op05_context_tree, op06_super_kmers, op07_language, op08_html, op09_pieces, op10_packing
 
 QUERIES = {
     "op2_interleave": op02_interleave.op2_interleave,
     "op4_stream_dedup": op04_stream_dedup.op4_stream_dedup,
+    "op5_context_tree": op05_context_tree.op5_context_tree,
     "op6_super_kmers": op06_super_kmers.op6_super_kmers,
     "op7_language": op07_language.op7_language,
     "op8_html": op08_html.op8_html,
