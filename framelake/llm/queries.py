@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from framelake.llm import op02_interleave, op04_stream_dedup, op05_context_tree, op06_super_kmers, op07_language, op08_html, op09_pieces, op10_packing
+from framelake.llm import op01_imatch, op02_interleave, op04_stream_dedup, op05_context_tree, op06_super_kmers, op07_language, op08_html, op09_pieces, op10_packing
 
 QUERIES = {
+    "op1_imatch": op01_imatch.op1_imatch,
     "op2_interleave": op02_interleave.op2_interleave,
     "op4_stream_dedup": op04_stream_dedup.op4_stream_dedup,
     "op5_context_tree": op05_context_tree.op5_context_tree,
