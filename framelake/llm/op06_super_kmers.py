@@ -100,7 +100,7 @@ def _sorted_bucket(docs: np.ndarray, starts: np.ndarray, packed: list[bytes], bu
 def repeated_ranges(texts: DataFrame, window: int = WINDOW, mer: int = MER, hot: int = HOT) -> DataFrame:
     """(doc_id, start, windows): runs of windows whose words also start in a document with a smaller id.
 
-    ``texts`` has doc_id and text in bytes. First only minimisers travel, one row per document and minimiser. A window
+    ``texts`` has doc_id (not null) and text in bytes. First only minimisers travel, one row per document and minimiser. A window
     that occurs in two documents has one minimiser in both, so super-k-mers whose minimiser is in one document stay behind.
     The others travel as packed strings to the bucket of their minimiser, where windows are sorted. Windows of very
     frequent minimisers travel as 128-bit digests instead, grouped with a map-side minimum.
@@ -113,15 +113,14 @@ def repeated_ranges(texts: DataFrame, window: int = WINDOW, mer: int = MER, hot:
             pairs = np.unique(np.stack([batch.column(0).to_numpy()[found.doc], found.minimiser], 1), axis=0) if len(found.doc) else np.zeros((0, 2), np.int64)
             yield row_batch(schema, [pairs[:, 1], pairs[:, 0]])
 
-    ids = texts.where("doc_id IS NOT NULL")
-    pairs = stored(over_batches(ids, minimisers, "bucket long, doc_id long"), "minimisers")
+    pairs = stored(over_batches(texts, minimisers, "bucket long, doc_id long"), "minimisers")
     counts = pairs.groupBy("bucket").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.count(F.lit(1)).alias("n"))
     shared = stored(counts.where("a < b").select("bucket", (F.col("n") > hot).alias("hot")), "shared-minimisers")
     wanted = pairs.join(shared, "bucket").distinct()
     wanted = wanted.groupBy("doc_id").agg(
         F.collect_set(F.when(~F.col("hot"), F.col("bucket"))).alias("buckets"), F.collect_set(F.when(F.col("hot"), F.col("bucket"))).alias("hot")
     )
-    held = ids.join(wanted, "doc_id").select("doc_id", "text", "buckets", "hot")
+    held = texts.join(wanted, "doc_id").select("doc_id", "text", "buckets", "hot")
 
     def chosen(batch: pa.RecordBatch, column: int) -> tuple[Windows, np.ndarray]:
         found = Windows(batch.column(1), window, mer)
@@ -191,7 +190,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, mer: int = MER, hot: i
     Null and empty texts have no words. Rows that share an id are one document's: they do not remove from each other. A
     row with a null id neither removes nor loses words. An empty table gives no rows.
     """
-    texts = docs.select("doc_id", as_bytes(text).alias("text"))
+    every = docs.select("doc_id", as_bytes(text).alias("text"))
+    texts = every.where("doc_id IS NOT NULL")  # the same rows for both joins, so that Spark shuffles the texts once
     ranges = repeated_ranges(texts, window, mer, hot).groupBy("doc_id").agg(F.collect_list(F.struct("start", "windows")).alias("ranges"))
     schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_text", pa.string())])
 
@@ -212,7 +212,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, mer: int = MER, hot: i
                     column.append(x)
             yield row_batch(schema, [batch.column(0), *rows])
 
-    return over_batches(texts.join(ranges, "doc_id", "left"), cut, "doc_id long, n_words long, n_removed long, kept_text string")
+    rows = texts.join(ranges, "doc_id", "left").union(every.where("doc_id IS NULL").withColumn("ranges", F.lit(None)))
+    return over_batches(rows, cut, "doc_id long, n_words long, n_removed long, kept_text string")
 
 
 def op6_super_kmers(spark: SparkSession, folder: str) -> DataFrame:

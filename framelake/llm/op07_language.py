@@ -220,28 +220,30 @@ def train(docs: DataFrame) -> LanguageModel:
     return LanguageModel(languages or [UNKNOWN], weights, scripts >= SCRIPT_SHARE * np.maximum(scripts.sum(0), 1))
 
 
-SCHEMA = pa.schema(
-    [("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64())]
-    + [("spans", pa.list_(pa.struct([("first_word", pa.int64()), ("n_words", pa.int64()), ("lang", pa.string())])))]
-)
+SPANS = pa.list_(pa.struct([("first_word", pa.int64()), ("n_words", pa.int64()), ("lang", pa.string())]))
+FOUND = "lang_pred string, score double, spans array<struct<first_word: long, n_words: long, lang: string>>"
 
 
-def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
-    """doc_id, lang_pred, score and the labelled spans (in words with letters) of every text.
+def identify(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataFrame:
+    """Adds lang_pred, score and the labelled spans (in words with letters) to every row.
 
     The language with most letters wins; the score is its share of all letters. A text that is null, empty or without a
-    letter is ``und`` with score 0 and no spans; so is every text if nothing was learned. Of languages with as many letters the first by
-    name wins. Repeated rows give repeated results.
+    letter is ``und`` with score 0 and no spans; so is every text if nothing was learned. Of languages with as many
+    letters the first by name wins. Repeated rows give repeated results. Other columns pass through, those named like
+    the new ones are replaced.
     """
     shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.weights, model.allowed))
     kept: dict[int, LanguageModel] = {}
+    docs = docs.drop("lang_pred", "score", "spans")
+    place, names_in = docs.columns.index(text), docs.columns
+    found_types = [pa.string(), pa.float64(), SPANS]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = kept.setdefault(0, LanguageModel(*shared.value))
         for batch in batches:
             for at in range(0, max(1, batch.num_rows), 2000):
                 part = batch.slice(at, 2000)
-                units = own.words([v.as_py().split() for v in part.column(1)])
+                units = own.words([(v.as_py() or "").encode("utf-8", "replace").split() for v in part.column(place)])
                 letters, names, rows = own.letters[0], own.languages, ([], [], [])
                 for numbers, labels in zip(units, own.label(units), strict=True):
                     if not len(numbers):
@@ -256,10 +258,11 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
                     score = float(mass[best] / mass.sum()) if names != [UNKNOWN] else 0.0
                     for column, x in zip(rows, (names[best], score, spans), strict=True):
                         column.append(x)
-                yield row_batch(SCHEMA, [part.column(0), *rows])
+                found = [pa.array(r, t) for r, t in zip(rows, found_types, strict=True)]
+                yield pa.RecordBatch.from_arrays([*part.columns, *found], names=[*names_in, "lang_pred", "score", "spans"])
 
-    kind = "doc_id long, lang_pred string, score double, spans array<struct<first_word: long, n_words: long, lang: string>>"
-    return over_batches(docs.select("doc_id", as_bytes("text").alias("text")), work, kind)
+    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema]
+    return over_batches(docs, work, ", ".join([*kinds, FOUND]))
 
 
 def held_out(doc_id: str = "doc_id", folds: int = 3, fold: int = 1):
@@ -268,5 +271,5 @@ def held_out(doc_id: str = "doc_id", folds: int = 3, fold: int = 1):
 
 def op7_language(spark: SparkSession, folder: str) -> DataFrame:
     docs = documents(spark, folder)
-    found = identify(docs, train(docs.where(~held_out())))
+    found = identify(docs.select("doc_id", "text"), train(docs.where(~held_out())))
     return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", F.size("spans").alias("n_spans"))

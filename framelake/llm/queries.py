@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from framelake.llm import op01_imatch, op02_interleave, op04_stream_dedup, op05_context_tree, op06_super_kmers, op07_language, op08_html, op09_pieces, op10_packing
+from framelake.llm import op01_imatch, op02_interleave, op03_trie_join, op04_stream_dedup, op05_context_tree, op06_super_kmers, op07_language, op08_html, op09_pieces, op10_packing
 
 QUERIES = {
     "op1_imatch": op01_imatch.op1_imatch,
     "op2_interleave": op02_interleave.op2_interleave,
+    "op3_trie_join": op03_trie_join.op3_trie_join,
     "op4_stream_dedup": op04_stream_dedup.op4_stream_dedup,
     "op5_context_tree": op05_context_tree.op5_context_tree,
     "op6_super_kmers": op06_super_kmers.op6_super_kmers,
@@ -17,6 +18,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op3_trie_join": op03_trie_join.ORACLE,
     "op4_stream_dedup": op04_stream_dedup.ORACLE,
     "op6_super_kmers": op06_super_kmers.ORACLE,
 }
