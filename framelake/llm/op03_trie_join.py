@@ -304,10 +304,10 @@ def _large_links(members: DataFrame, sets: DataFrame, share: int, whole: int, bl
         todo = held.where("NOT done").join(state, "family")
         first = Window.partitionBy("family").orderBy((F.col("root") == F.col("top")).cast("int"), "doc_id")
         picked = stored(todo.withColumn("k", F.row_number().over(first)).where(F.col("k") <= block).select("doc_id", "family", "n"), "block")
-        chunks = F.greatest(F.lit(1), F.ceil(F.col("n") / chunk)).cast("int")
+        chunks = F.greatest(F.lit(1), F.ceil(F.col("n") / chunk)).cast("long")
         others = todo.join(picked.select("doc_id"), "doc_id", "left_anti")
         others = others.select("doc_id", "family", F.pmod(F.xxhash64("doc_id"), chunks).cast("long").alias("chunk"), F.lit(False).alias("block"))
-        copies = picked.select("doc_id", "family", F.explode(F.sequence(F.lit(0), chunks - 1)).cast("long").alias("chunk"), F.lit(True).alias("block"))
+        copies = picked.select("doc_id", "family", F.explode(F.sequence(F.lit(0).cast("long"), chunks - 1)).alias("chunk"), F.lit(True).alias("block"))
         links = stored(link_groups(others.union(copies).join(sets.select("doc_id", "grams"), "doc_id"), share, whole), "large-links")
         roots = components(held.select(F.col("doc_id").alias("a"), F.col("root").alias("b")).union(links), "large-roots")
         marked = held.join(picked.select("doc_id", F.lit(True).alias("now")), "doc_id", "left").join(roots.withColumnsRenamed({"node": "doc_id", "root": "r"}), "doc_id", "left")
@@ -346,8 +346,10 @@ def jaccard_components(
     ids = texts.where("doc_id IS NOT NULL")
     frequent = frequent_grams(ids, n, rows.count())
     edges = candidate_edges(ids, n, schemes, frequent)
-    # The smallest document of a key is the smallest of its set; the others count only if they are.
-    edges = edges.join(same.select(F.col("rep").alias("b")), "b", "left_semi")
+    copies = rows.join(same, ["high", "low", "n_shingles"]).where("doc_id <> rep").select("doc_id", "rep").distinct()
+    copies = stored(copies, "set-copies")
+    for end in ("a", "b"):  # one document stands for all with its set
+        edges = edges.join(copies.withColumnsRenamed({"doc_id": end, "rep": "to"}), end, "left").withColumn(end, F.coalesce("to", end)).drop("to")
     families = components(edges, "families")
     families = families.select(F.col("node").alias("doc_id"), F.col("root").alias("family"))
     families = families.union(families.select(F.col("family").alias("doc_id"), "family")).distinct()
