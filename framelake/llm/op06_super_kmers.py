@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,12 +52,14 @@ class Windows:
         self.doc, self.minimiser = doc[self.start], least[self.start]
 
 
-BUCKETED = pa.schema([("bucket", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int64()), ("packed", pa.binary())])
-THIN = pa.schema([("high", pa.int64()), ("low", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int64())])
-RANGES = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("windows", pa.int64())])
+#: What travels: packed super-k-mers by bucket, digests of windows of hot buckets, and ranges that are settled already.
+MOVED = pa.schema([(c, pa.int64()) for c in ("key", "low", "doc_id", "tag", "start", "windows")] + [("packed", pa.binary())])
+MOVED_KIND = "key long, low long, doc_id long, tag long, start long, windows long, packed binary"
+RANGES = pa.schema([(c, pa.int64()) for c in ("doc_id", "tag", "start", "windows")])
+RANGES_KIND = "doc_id long, tag long, start long, windows long"
 
 
-def _sorted_bucket(docs: np.ndarray, starts: np.ndarray, packed: list[bytes], buckets: np.ndarray, window: int) -> pa.RecordBatch:
+def _sorted_bucket(docs: np.ndarray, tags: np.ndarray, starts: np.ndarray, packed: list[bytes], buckets: np.ndarray, window: int) -> pa.RecordBatch:
     """Ranges of windows that also start in a smaller document, of whole buckets. Equal hashes are checked word by word."""
     numbers: dict[bytes, int] = {}
     words = [p.split(b" ") for p in packed]
@@ -89,21 +92,23 @@ def _sorted_bucket(docs: np.ndarray, starts: np.ndarray, packed: list[bytes], bu
     flag[order] = removed
     edge = np.flatnonzero(flag)
     if not len(edge):
-        return row_batch(RANGES, [[], [], []])
+        return row_batch(RANGES, [[], [], [], []])
     fresh = np.ones(len(edge), bool)
     fresh[1:] = (edge[1:] != edge[:-1] + 1) | (row[edge[1:]] != row[edge[:-1]])
     begin = edge[fresh]
     length = np.diff(np.append(np.flatnonzero(fresh), len(edge)))
-    return row_batch(RANGES, [docs[row[begin]], starts[row[begin]] + within[begin], length])
+    return row_batch(RANGES, [docs[row[begin]], tags[row[begin]], starts[row[begin]] + within[begin], length])
 
 
 def repeated_ranges(texts: DataFrame, window: int = WINDOW, mer: int = MER, hot: int = HOT) -> DataFrame:
-    """(doc_id, start, windows): runs of windows whose words also start in a document with a smaller id.
+    """(doc_id, tag, start, windows): runs of windows whose words also start in a document with a smaller id. ``tag`` is the
+    hash of the text and tells rows under one id apart.
 
     ``texts`` has doc_id (not null) and text in bytes. First only minimisers travel, one row per document and minimiser. A window
     that occurs in two documents has one minimiser in both, so super-k-mers whose minimiser is in one document stay behind.
     The others travel as packed strings to the bucket of their minimiser, where windows are sorted. Windows of very
-    frequent minimisers travel as 128-bit digests instead, grouped with a map-side minimum.
+    frequent minimisers travel as 128-bit digests, spread by digest: of those in one batch only the smallest document's,
+    since the others' fate is known; where they meet, rows pass one by one in order of the document.
     """
 
     def minimisers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -115,16 +120,14 @@ def repeated_ranges(texts: DataFrame, window: int = WINDOW, mer: int = MER, hot:
 
     pairs = stored(over_batches(texts, minimisers, "bucket long, doc_id long"), "minimisers")
     counts = pairs.groupBy("bucket").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.count(F.lit(1)).alias("n"))
-    shared = stored(counts.where("a < b").select("bucket", (F.col("n") > hot).alias("hot")), "shared-minimisers")
-    wanted = pairs.join(shared, "bucket").distinct()
-    wanted = wanted.groupBy("doc_id").agg(
+    shared = counts.where("a < b").select("bucket", (F.col("n") > hot).alias("hot"))
+    wanted = pairs.join(shared, "bucket").groupBy("doc_id")
+    wanted = wanted.agg(
         F.collect_set(F.when(~F.col("hot"), F.col("bucket"))).alias("buckets"), F.collect_set(F.when(F.col("hot"), F.col("bucket"))).alias("hot")
     )
-    held = texts.join(wanted, "doc_id").select("doc_id", "text", "buckets", "hot")
+    held = texts.join(wanted, "doc_id").select("doc_id", "text", F.xxhash64("text").alias("tag"), "buckets", "hot")
 
-    def chosen(batch: pa.RecordBatch, column: int) -> tuple[Windows, np.ndarray]:
-        found = Windows(batch.column(1), window, mer)
-        lists = batch.column(column)
+    def chosen(found: Windows, lists: pa.ListArray) -> np.ndarray:
         lengths = np.diff(lists.offsets.to_numpy())
         owner = np.repeat(np.arange(len(lists)), lengths)
         values = lists.values.to_numpy(zero_copy_only=False)[lists.offsets[0].as_py() : lists.offsets[-1].as_py()]
@@ -132,35 +135,62 @@ def repeated_ranges(texts: DataFrame, window: int = WINDOW, mer: int = MER, hot:
         have, want = np.empty(len(found.doc), kind), np.empty(len(values), kind)
         have["d"], have["m"] = found.doc, found.minimiser
         want["d"], want["m"] = owner, values
-        return found, np.flatnonzero(np.isin(have, want))
+        return np.flatnonzero(np.isin(have, want))
 
     def super_kmers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, 1):
-            found, at = chosen(batch, 2)
+            found = Windows(batch.column(1), window, mer)
+            ids, tags = batch.column(0).to_numpy(), batch.column(2).to_numpy()
+            at = chosen(found, batch.column(3))
             if len(at):
-                a, n = found.start[at], found.length[at] + window - 1
+                a, n, doc = found.start[at], found.length[at] + window - 1, found.doc[at]
                 packed = [b" ".join(found.words[i : i + k]) for i, k in zip(a.tolist(), n.tolist(), strict=True)]
-                yield row_batch(BUCKETED, [found.minimiser[at], batch.column(0).to_numpy()[found.doc[at]], a - found.first[found.doc[at]], packed])
-
-    def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small_batches(batches, 1):
-            found, at = chosen(batch, 3)
+                yield row_batch(MOVED, [found.minimiser[at], pa.nulls(len(at), pa.int64()), ids[doc], tags[doc], a - found.first[doc], np.zeros(len(at), np.int64), packed])
+            at = chosen(found, batch.column(4))
             if len(at):
                 hashes = word_hashes(found.words)
-                high, low = rolling(hashes, window), rolling(hashes ^ np.uint64(0xA5A5A5A5A5A5A5A5), window)
-                row = np.repeat(at, found.length[at])
-                place = np.concatenate([np.arange(a, a + n) for a, n in zip(found.start[at], found.length[at], strict=True)])
-                ids = batch.column(0).to_numpy()[found.doc[row]]
-                yield row_batch(THIN, [high[place].astype(np.int64), low[place].astype(np.int64), ids, place - found.first[found.doc[row]]])
-
-    def sort_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                doc = np.repeat(found.doc[at], found.length[at])
+                place = np.concatenate([np.arange(x, x + k) for x, k in zip(found.start[at], found.length[at], strict=True)])
+                high = rolling(hashes, window)[place].astype(np.int64)
+                low = rolling(hashes ^ np.uint64(0xA5A5A5A5A5A5A5A5), window)[place].astype(np.int64)
+                order = np.lexsort((ids[doc], low, high))
+                high, low, doc, place = high[order], low[order], doc[order], place[order]
+                first = np.ones(len(order), bool)
+                first[1:] = (high[1:] != high[:-1]) | (low[1:] != low[:-1])
+                leader = ids[doc][np.maximum.accumulate(np.where(first, np.arange(len(order)), 0))]
+                settled = (ids[doc] > leader).astype(np.int64)
+                start = place - found.first[doc]
+                key = np.where(settled == 1, ids[doc], high)
+                yield row_batch(MOVED, [key, low, ids[doc], tags[doc], start, settled, pa.nulls(len(order), pa.binary())])
+
+    def settle_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting: list[pa.RecordBatch] = []
+        smallest: tuple[int, int, int] | None = None
 
         def settle(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
             table = pa.Table.from_batches(parts)
-            return _sorted_bucket(*(table[c].to_numpy() for c in ("doc_id", "start")), table["packed"].to_pylist(), table["bucket"].to_numpy(), window)
-
-        for batch in small_batches(batches, 3):
+            return _sorted_bucket(*(table[c].to_numpy() for c in ("doc_id", "tag", "start")), table["packed"].to_pylist(), table["key"].to_numpy(), window)
+
+        for every in small_batches(batches, 6):
+            is_packed = every.column(6).is_valid()
+            other = every.filter(pc.invert(is_packed))
+            if other.num_rows:
+                key, low, ids, tags, start, settled = (other.column(k).to_numpy() for k in range(6))
+                ready, open_ = np.flatnonzero(settled == 1), np.flatnonzero(settled == 0)
+                yield row_batch(RANGES, [ids[ready], tags[ready], start[ready], settled[ready]])
+                if len(open_):
+                    key, low, ids, tags, start = (x[open_] for x in (key, low, ids, tags, start))
+                    first = np.ones(len(open_), bool)
+                    first[1:] = (key[1:] != key[:-1]) | (low[1:] != low[:-1])
+                    leader = ids[np.maximum.accumulate(np.where(first, np.arange(len(open_)), 0))]
+                    if smallest is not None:
+                        leader = np.where((key == smallest[0]) & (low == smallest[1]), smallest[2], leader)
+                    smallest = (int(key[-1]), int(low[-1]), int(leader[-1]))
+                    gone = np.flatnonzero(ids > leader)
+                    yield row_batch(RANGES, [ids[gone], tags[gone], start[gone], np.ones(len(gone), np.int64)])
+            batch = every.filter(is_packed)
+            if not batch.num_rows:
+                continue
             keys = batch.column(0).to_numpy()
             cut = int(np.searchsorted(keys, keys[-1]))  # the last bucket may go on
             if cut or (waiting and waiting[-1].column(0)[-1].as_py() != keys[0]):
@@ -171,39 +201,33 @@ def repeated_ranges(texts: DataFrame, window: int = WINDOW, mer: int = MER, hot:
         if waiting:
             yield settle(waiting)
 
-    packed = over_batches(held.where("size(buckets) > 0"), super_kmers, "bucket long, doc_id long, start long, packed binary")
-    packed = packed.repartition("bucket").sortWithinPartitions("bucket")
-    ranges = over_batches(packed, sort_buckets, "doc_id long, start long, windows long")
-    if not shared.where("hot").isEmpty():
-        thin = over_batches(held.where("size(hot) > 0"), digests, "high long, low long, doc_id long, start long")
-        thin = stored(thin, "hot-windows")
-        least = thin.groupBy("high", "low").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most")
-        hits = thin.join(least, ["high", "low"]).where("doc_id > least")
-        ranges = ranges.union(hits.select("doc_id", "start", F.lit(1).cast("long").alias("windows")))
-    return ranges
+    moved = over_batches(held, super_kmers, MOVED_KIND).repartition("key").sortWithinPartitions("key", "low", "doc_id")
+    return over_batches(moved, settle_buckets, RANGES_KIND)
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, mer: int = MER, hot: int = HOT, text: str = "text") -> DataFrame:
     """doc_id, n_words, n_removed, kept_text of every row: words covered by a window that also starts in a document with a
     smaller id are removed, the others are joined by one space.
 
-    Null and empty texts have no words. Rows that share an id are one document's: they do not remove from each other. A
+    Null and empty texts have no words. Rows that share an id do not remove from each other. A
     row with a null id neither removes nor loses words. An empty table gives no rows.
     """
     every = docs.select("doc_id", as_bytes(text).alias("text"))
     texts = every.where("doc_id IS NOT NULL")  # the same rows for both joins, so that Spark shuffles the texts once
-    ranges = repeated_ranges(texts, window, mer, hot).groupBy("doc_id").agg(F.collect_list(F.struct("start", "windows")).alias("ranges"))
+    ranges = repeated_ranges(texts, window, mer, hot).groupBy("doc_id").agg(F.collect_list(F.struct("tag", "start", "windows")).alias("ranges"))
     schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_text", pa.string())])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, 1):
             rows = ([], [], [])
-            for value, found in zip(batch.column(1), batch.column(2), strict=True):
+            for value, tag, found in zip(batch.column(1), batch.column(2).to_pylist(), batch.column(3), strict=True):
                 words = value.as_py().split()
                 n = len(words)
                 if found.is_valid:
                     edge = np.zeros(n + 1, np.int64)
                     for r in found.as_py():
+                        if r["tag"] != tag:
+                            continue
                         edge[r["start"]] += 1
                         edge[r["start"] + r["windows"] + window - 1] -= 1
                     keep = np.cumsum(edge[:-1]) == 0
@@ -213,6 +237,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, mer: int = MER, hot: i
             yield row_batch(schema, [batch.column(0), *rows])
 
     rows = texts.join(ranges, "doc_id", "left").union(every.where("doc_id IS NULL").withColumn("ranges", F.lit(None)))
+    rows = rows.select("doc_id", "text", F.xxhash64("text").alias("tag"), "ranges")
     return over_batches(rows, cut, "doc_id long, n_words long, n_removed long, kept_text string")
 
 
