@@ -113,7 +113,7 @@ class LanguageModel:
         found = units_of(tokens)
         n = len(found.letters)
         score = np.stack([np.bincount(found.unit, weights=self.weights[found.bucket, k], minlength=n) for k in range(len(self.languages))], 1)
-        score /= len(ORDERS)
+        score = score / len(ORDERS)
         allowed = self.allowed[found.script]
         score = np.where(allowed, score, -np.inf)
         some = allowed.any(1)
