@@ -12,16 +12,17 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framelake.llm.common import as_bytes, documents, over_batches, row_batch, small_batches, stored
+from framelake.llm.common import MIX, as_bytes, documents, over_batches, row_batch, small_batches, stored
 
 #: Bytes of context, and the share of all training bytes that must meet a node for it to enter the tree. The share bounds
 #: the tree: each depth and bit has at most 1 / SHARE nodes, whatever the corpus.
-DEPTH, SHARE = 6, 2.0**-21
+DEPTH, SHARE = 6, 2.0**-20
 #: Words with at least this share of the training tokens are broadcast for the base score (at most 1 / WORD_SHARE of
 #: them); the others are joined.
 WORD_SHARE = 2.0**-20
 END = b"\n"
-CACHE_GRAMS, FLUSH_GRAMS, FLUSH_WORDS = 4_000_000, 6_000_000, 400_000
+#: Bounds of what a task holds: remembered scores (log 2), n-grams and words counted so far, bytes of text at a time.
+CACHE_BITS, FLUSH_GRAMS, FLUSH_WORDS, BATCH = 21, 1_500_000, 200_000, 2 << 20
 
 
 def log_gamma(x: np.ndarray) -> np.ndarray:
@@ -51,6 +52,7 @@ class ContextTree:
         self.names: list[np.ndarray] = []
         self.one: list[np.ndarray] = []  # KT estimate of a one
         self.stop: list[np.ndarray] = []  # weight of this depth against the longer ones
+        self.up: list[np.ndarray] = []  # place of the node of the context without its oldest byte
         below = None
         for depth in range(len(nodes) - 1, -1, -1):
             names, zeros, ones = nodes[depth]
@@ -60,38 +62,43 @@ class ContextTree:
                 longer, their_zeros, their_ones, their_log = below
                 at = np.searchsorted(names, longer & ((1 << 8 * (depth + 1)) - 1))
                 sums = [np.bincount(at, weights=w, minlength=len(names)) for w in (their_log, their_zeros, their_ones)]
+                self.up.insert(0, at.astype(np.int32))
                 product = sums[0] + log_kt(np.maximum(zeros - sums[1], 0), np.maximum(ones - sums[2], 0))
             weighted = np.logaddexp(own, product) - np.log(2)
             self.names.insert(0, names)
             self.one.insert(0, ((ones + 0.5) / (zeros + ones + 1)).astype(np.float32))
             self.stop.insert(0, np.exp(own - np.log(2) - weighted).astype(np.float32))
             below = (names, zeros, ones, weighted)
+        self.up.insert(0, np.zeros(0, np.int32))
 
     def log_probability(self, keys: np.ndarray) -> np.ndarray:
         """Natural log of the probability of the last byte of each n-gram after the bytes before it."""
         context, symbol = keys >> 8 << 8, keys & 255
         total = np.zeros(len(keys))
+        deepest = np.full(len(keys), len(self.names) - 1)  # a node is there only if the node of the bits before is
         for level in range(8):
             name = context | (1 << level) | (symbol >> (8 - level))
-            bit = (symbol >> (7 - level)) & 1
-            alive, kept = np.arange(len(keys)), []
-            for depth, names in enumerate(self.names):
-                if not len(names):
-                    break
-                wanted = name[alive] & ((1 << 8 * (depth + 1)) - 1)
-                at = np.minimum(np.searchsorted(names, wanted), len(names) - 1)
-                found = names[at] == wanted
-                alive, at = alive[found], at[found]
-                kept.append((alive, at))
+            place, open_ = np.zeros(len(keys), np.int64), np.arange(len(keys))
+            for depth in range(len(self.names) - 1, -1, -1):
+                here = open_[deepest[open_] == depth]
+                names = self.names[depth]
+                wanted = name[here] & ((1 << 8 * (depth + 1)) - 1)
+                at = np.searchsorted(names, wanted)
+                found = names[np.minimum(at, len(names) - 1)] == wanted if len(names) else np.zeros(len(here), bool)
+                place[here[found]] = at[found]
+                deepest[here[~found]] = depth - 1
             one = np.full(len(keys), 0.5)  # without any node
-            for depth in range(len(kept) - 1, -1, -1):
-                who, at = kept[depth]
+            for depth in range(len(self.names) - 1, -1, -1):
+                who = np.flatnonzero(deepest >= depth)
+                if not len(who):
+                    continue
+                at = place[who]
                 own = self.one[depth][at].astype(np.float64)
-                deeper = np.zeros(len(keys), bool)
-                if depth + 1 < len(kept):
-                    deeper[kept[depth + 1][0]] = True
-                w = np.where(deeper[who], self.stop[depth][at], 1.0)
-                one[who] = w * own + (1 - w) * one[who]
+                stop = np.where(deepest[who] > depth, self.stop[depth][at], 1.0)
+                one[who] = stop * own + (1 - stop) * one[who]
+                if depth:
+                    place[who] = self.up[depth][at]
+            bit = (symbol >> (7 - level)) & 1
             total += np.log(np.where(bit == 1, one, 1 - one))
         return total
 
@@ -120,22 +127,30 @@ WORDS = pa.schema([("word", pa.binary()), ("n", pa.int64())])
 
 def count_grams(texts: DataFrame, depth: int) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, sums = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        waiting: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def merge() -> None:
+            keys, at = np.unique(np.concatenate([w[0] for w in waiting]), return_inverse=True)
+            sums = np.bincount(at, weights=np.concatenate([w[1] for w in waiting]), minlength=len(keys)).astype(np.int64)
+            waiting[:] = [(keys, sums)]
 
         def rows() -> Iterator[pa.RecordBatch]:
-            for at in range(0, len(keys), 1 << 17):
-                yield row_batch(GRAMS, [keys[at : at + (1 << 17)], sums[at : at + (1 << 17)]])
+            for keys, sums in waiting:
+                for at in range(0, len(keys), 1 << 17):
+                    yield row_batch(GRAMS, [keys[at : at + (1 << 17)], sums[at : at + (1 << 17)]])
+            waiting.clear()
 
-        for batch in small_batches(batches, 0):
+        for batch in small_batches(batches, 0, BATCH):
             found, _ = grams_of([sequence(v.as_py()) for v in batch.column(0)], depth)
             code, unique = pd.factorize(found)
-            more = np.bincount(code, minlength=len(unique))
-            keys, at = np.unique(np.concatenate([keys, unique]), return_inverse=True)
-            sums = np.bincount(at, weights=np.concatenate([sums, more]), minlength=len(keys)).astype(np.int64)
-            if len(keys) > FLUSH_GRAMS:
-                yield from rows()
-                keys, sums = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        yield from rows()
+            waiting.append((unique, np.bincount(code, minlength=len(unique))))
+            if sum(len(w[0]) for w in waiting[1:]) > FLUSH_GRAMS // 2:
+                merge()
+                if len(waiting[0][0]) > FLUSH_GRAMS:
+                    yield from rows()
+        if waiting:
+            merge()
+            yield from rows()
 
     return over_batches(texts, count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
 
@@ -149,7 +164,7 @@ def count_words(texts: DataFrame) -> DataFrame:
             for at in range(0, len(words), 1 << 16):
                 yield row_batch(WORDS, [words[at : at + (1 << 16)], numbers[at : at + (1 << 16)]])
 
-        for batch in small_batches(batches, 0):
+        for batch in small_batches(batches, 0, BATCH):
             for value in batch.column(0):
                 sums.update(value.as_py().lower().split())
             if len(sums) > FLUSH_WORDS:
@@ -236,25 +251,23 @@ def score_texts(docs: DataFrame, training: DataFrame, depth: int = DEPTH, share:
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tree, often = shared.value
-        known_keys, known_log = np.zeros(0, np.int64), np.zeros(0)
+        seen_keys, seen_log = np.full(1 << CACHE_BITS, -1), np.zeros(1 << CACHE_BITS)  # by hash, the newest stays
         logs = {w: float(np.log10(n + 1)) for w, n in often.items()}
         row = TaskContext.get().partitionId() << 40
-        for batch in small_batches(batches, 2):
+        for batch in small_batches(batches, 2, BATCH):
             texts = [v.as_py() for v in batch.column(2)]
             keys, lengths = grams_of([sequence(t) for t in texts], depth)
-            code, unique = pd.factorize(keys)
-            at = np.searchsorted(known_keys, unique)
-            fresh = known_keys[np.minimum(at, len(known_keys) - 1)] != unique if len(known_keys) else np.ones(len(unique), bool)
-            if fresh.any():
-                if len(known_keys) > CACHE_GRAMS:
-                    known_keys, known_log, fresh = np.zeros(0, np.int64), np.zeros(0), np.ones(len(unique), bool)
-                new = np.sort(unique[fresh])
-                known_keys = np.concatenate([known_keys, new])
-                known_log = np.concatenate([known_log, tree.log_probability(new)])
-                order = np.argsort(known_keys, kind="stable")
-                known_keys, known_log = known_keys[order], known_log[order]
-                at = np.searchsorted(known_keys, unique)
-            totals = np.add.reduceat(known_log[at][code], np.cumsum(lengths) - lengths) / np.log(10)
+            slot = (keys.astype(np.uint64) * MIX >> np.uint64(64 - CACHE_BITS)).astype(np.int64)
+            values = seen_log[slot]
+            missed = np.flatnonzero(seen_keys[slot] != keys)
+            if len(missed):
+                code, unique = pd.factorize(keys[missed])
+                fresh = tree.log_probability(unique)
+                values[missed] = fresh[code]
+                slot = (unique.astype(np.uint64) * MIX >> np.uint64(64 - CACHE_BITS)).astype(np.int64)
+                slot, last = np.unique(slot, return_index=True)
+                seen_keys[slot], seen_log[slot] = unique[last], fresh[last]
+            totals = np.add.reduceat(values, np.cumsum(lengths) - lengths) / np.log(10)
             rows = ([], [], [], [], [])
             for text in texts:
                 found = text.lower().split()
