@@ -221,20 +221,21 @@ def train(docs: DataFrame) -> LanguageModel:
 
 
 SPANS = pa.list_(pa.struct([("first_word", pa.int64()), ("n_words", pa.int64()), ("lang", pa.string())]))
-FOUND = "lang_pred string, score double, spans array<struct<first_word: long, n_words: long, lang: string>>"
+FOUND = ("string", "double", "array<struct<first_word: long, n_words: long, lang: string>>")
 
 
-def identify(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataFrame:
+def identify(docs: DataFrame, model: LanguageModel, text: str = "text", prefix: str = "") -> DataFrame:
     """Adds lang_pred, score and the labelled spans (in words with letters) to every row.
 
     The language with most letters wins; the score is its share of all letters. A text that is null, empty or without a
     letter is ``und`` with score 0 and no spans; so is every text if nothing was learned. Of languages with as many
     letters the first by name wins. Repeated rows give repeated results. Other columns pass through, those named like
-    the new ones are replaced.
+    the new ones (which may get a prefix) are replaced.
     """
     shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.weights, model.allowed))
     kept: dict[int, LanguageModel] = {}
-    docs = docs.drop("lang_pred", "score", "spans")
+    added = [f"{prefix}{name}" for name in ("lang_pred", "score", "spans")]
+    docs = docs.drop(*added)
     place, names_in = docs.columns.index(text), docs.columns
     found_types = [pa.string(), pa.float64(), SPANS]
 
@@ -259,10 +260,10 @@ def identify(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataF
                     for column, x in zip(rows, (names[best], score, spans), strict=True):
                         column.append(x)
                 found = [pa.array(r, t) for r, t in zip(rows, found_types, strict=True)]
-                yield pa.RecordBatch.from_arrays([*part.columns, *found], names=[*names_in, "lang_pred", "score", "spans"])
+                yield pa.RecordBatch.from_arrays([*part.columns, *found], names=[*names_in, *added])
 
     kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema]
-    return over_batches(docs, work, ", ".join([*kinds, FOUND]))
+    return over_batches(docs, work, ", ".join([*kinds, *(f"`{name}` {kind}" for name, kind in zip(added, FOUND, strict=True))]))
 
 
 def held_out(doc_id: str = "doc_id", folds: int = 3, fold: int = 1):
