@@ -47,51 +47,45 @@ def window_summary(
     ``lines`` has keys, ``line``, ``source_lines`` (lines in the source), ``valid`` and
     ``nibble``. A sample begins at a valid line with nibble 0 and needs its whole 16-line
     group inside the window. Lines are first reduced to panes (greatest common divisor of
-    height and stride), so the overlap of windows multiplies panes, not lines.
+    height and stride), so the overlap of windows multiplies panes, not lines. Only numbers
+    are aggregated (hash aggregation, no sort); the two samples of a frame are then fetched by
+    line from the group starts, one line in sixteen.
     """
     pane_lines = gcd(height, stride)
     line, end_of_group = F.col("line"), F.col("line") + GROUP_LINES
-    starts = F.col("valid") & (F.col("nibble") == 0) & (end_of_group <= F.col("source_lines"))
-    point = F.struct(line.alias("line"), sample.alias("sample"))
-
-    if pane_lines < GROUP_LINES:
-        exploded = assign_frames(lines, height, stride)
-        fits = starts & (end_of_group <= F.col("frame_id") * stride + height)
-        at = F.when(fits, line)
-        return exploded.groupBy(*keys, "frame_id").agg(
-            F.count(F.lit(1)).alias("n_lines"),
-            F.count_if("valid").alias("n_valid"),
-            F.min_by(point, at).alias("window_start"),
-            F.max_by(point, at).alias("window_end"),
-        )
+    begins = F.col("valid") & (F.col("nibble") == 0) & (end_of_group <= F.col("source_lines"))
+    frame_keys = [*keys, "frame_id"]
 
     pane = F.floor(line / pane_lines)
-    any_at = F.when(starts, line)
-    own_at = F.when(starts & (end_of_group <= (pane + 1) * pane_lines), line)
+    any_at = F.when(begins, line)
+    own_at = F.when(begins & (end_of_group <= (pane + 1) * pane_lines), line)
     panes = lines.groupBy(*keys, pane.alias("pane")).agg(
         F.count(F.lit(1)).alias("n_lines"),
         F.count_if("valid").alias("n_valid"),
-        F.min_by(point, any_at).alias("first_any"),
-        F.max_by(point, any_at).alias("last_any"),
-        F.min_by(point, own_at).alias("first_own"),
-        F.max_by(point, own_at).alias("last_own"),
+        F.min(any_at).alias("first_any"),
+        F.max(any_at).alias("last_any"),
+        F.min(own_at).alias("first_own"),
+        F.max(own_at).alias("last_own"),
     )
-    # In the last pane of a window only groups that end in that pane are complete.
     per_frame = panes.withColumn("frame_id", F.explode(frame_ids(F.col("pane") * pane_lines, height, stride)))
+    # In the last pane of a window only groups that end in that pane are complete.
     closing = (F.col("pane") + 1) * pane_lines >= F.col("frame_id") * stride + height
-    first = F.when(closing, F.col("first_own")).otherwise(F.col("first_any"))
-    last = F.when(closing, F.col("last_own")).otherwise(F.col("last_any"))
-    return (
-        per_frame.withColumn("first", first)
-        .withColumn("last", last)
-        .groupBy(*keys, "frame_id")
-        .agg(
-            F.sum("n_lines").alias("n_lines"),
-            F.sum("n_valid").alias("n_valid"),
-            F.min_by("first", F.col("first.line")).alias("window_start"),
-            F.max_by("last", F.col("last.line")).alias("window_end"),
-        )
-    )
+    counts = [F.sum("n_lines").alias("n_lines"), F.sum("n_valid").alias("n_valid")]
+    if pane_lines < GROUP_LINES:
+        # Groups cross panes: only the ids of group starts meet their frames.
+        starts = assign_frames(lines.where(begins).select(*keys, "line"), height, stride)
+        fits = starts.where(end_of_group <= F.col("frame_id") * stride + height).groupBy(*frame_keys)
+        ends = fits.agg(F.min("line").alias("first_line"), F.max("line").alias("last_line"))
+        frames = per_frame.groupBy(*frame_keys).agg(*counts).join(ends, frame_keys, "left")
+    else:
+        first = F.when(closing, F.col("first_own")).otherwise(F.col("first_any"))
+        last = F.when(closing, F.col("last_own")).otherwise(F.col("last_any"))
+        frames = per_frame.groupBy(*frame_keys).agg(*counts, F.min(first).alias("first_line"), F.max(last).alias("last_line"))
+
+    samples = lines.where(begins).select(*keys, "line", F.struct(line.alias("line"), sample.alias("sample")).alias("_point"))
+    for at, name in (("first_line", "window_start"), ("last_line", "window_end")):
+        frames = frames.join(samples.withColumnsRenamed({"line": at, "_point": name}), [*keys, at], "left")
+    return frames.select(*frame_keys, "n_lines", "n_valid", "window_start", "window_end")
 
 
 def compact_rows(
@@ -206,18 +200,17 @@ def bounded_ordinals(
 ) -> DataFrame:
     """0-based ordinal inside each frame, for frames of at most ``limit`` rows.
 
-    Larger frames are over the record limit and are rejected as a whole, with
-    ``over_limit`` set on the ``limit + 1`` rows kept as evidence. The rank filter lets Spark
-    cut each group before the shuffle, so a hot frame never gathers in one task.
+    Larger frames are over the record limit and are rejected as a whole: all their rows come
+    back with ``over_limit`` set and no ordinal. Frames are counted first (pre-aggregated), so
+    only bounded frames are ranked and a hot frame is never gathered or sorted.
     """
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    crowded = sizes.where(F.col("_n") > limit).drop("_n")
     window = Window.partitionBy(*keys).orderBy(*order)
-    return (
-        df.withColumn("_rank", F.row_number().over(window))
-        .where(F.col("_rank") <= limit + 1)
-        .withColumn("over_limit", F.max("_rank").over(Window.partitionBy(*keys)) > limit)
-        .withColumn(name, F.col("_rank").cast("bigint") - 1)
-        .drop("_rank")
-    )
+    within = df.join(crowded, keys, "left_anti").withColumn("over_limit", F.lit(False))
+    over = df.join(crowded, keys, "left_semi").withColumn("over_limit", F.lit(True))
+    ordinal = F.row_number().over(window).cast("bigint") - 1
+    return within.withColumn(name, ordinal).unionByName(over.withColumn(name, F.lit(None).cast("bigint")))
 
 
 def first_ranked(df: DataFrame, keys: list[str], order: list[Column | str], limit: int) -> DataFrame:

@@ -38,12 +38,15 @@ from framelake.operators.windows import contiguity, window_summary
 FRAME_KEYS = ["source", "frame_id"]
 
 
-def navigation_records(lines: DataFrame, height: int, stride: int) -> DataFrame:
+def navigation_records(lines: DataFrame, height: int, stride: int, frame_limit: int | None = None) -> DataFrame:
     """One concise record per frame from its first complete sample; zeros when it has none.
 
-    Reads telemetry columns only. A window without a valid line fails the job.
+    Reads telemetry columns only. A window without a valid line fails the job; frames from
+    ``frame_limit`` on are not looked at.
     """
     summary = window_summary(lines, height, stride, F.col("sample"))
+    if frame_limit is not None:
+        summary = summary.where(F.col("frame_id") < frame_limit)
     alive = F.when(F.col("n_valid") > 0, F.col("frame_id")).otherwise(
         F.raise_error(F.lit("window contains no valid line")).cast("bigint")
     )
@@ -67,14 +70,15 @@ def _target_rules(role: str) -> list[Rule]:
     geometry = Geometry.of()
     rules = [
         Rule("over_limit", ~F.col("over_limit"), "too many targets in the frame"),
+        Rule("frame_known", F.col("frame_known"), "target of a frame that does not exist"),
         box_rule(Box.of()),
         *plane_rules(Box.of(), geometry),
         Rule("class", F.col("type").isNotNull(), "unknown class_index"),
     ]
     if role == "detection":
-        rules.insert(1, confidence_rule(F.col("confidence")))
+        rules.insert(2, confidence_rule(F.col("confidence")))
     else:
-        rules.insert(1, Rule("track", F.col("track_copy") == 1, "duplicate track_id in the same frame"))
+        rules.insert(2, Rule("track", F.col("track_copy") == 1, "duplicate track_id in the same frame"))
     return rules
 
 
@@ -86,30 +90,36 @@ def target_records(
     role: str = "detection",
     mode: str = "strict",
     keys: list[str] = FRAME_KEYS,
+    limit: int = MAX_TARGETS_PER_FRAME,
 ) -> tuple[DataFrame, DataFrame, DataFrame | None]:
     """(frame records, image metadata, rejects) of a detection or tracking product.
 
     ``frames`` carries geometry, camera clock and exposure per frame; ``targets`` the boxes
-    in the filter plane. In strict mode the first bad record fails the job, in quarantine
-    mode bad targets are returned as the third table.
+    in the filter plane. In strict mode the first bad record fails the job. In quarantine mode
+    bad targets are returned as the third table, among them all targets of a frame over the
+    target limit, which then has no record at all, and targets whose frame does not exist.
     """
     item_name = "targets" if role == "detection" else "tracks"
     geometry = [*Geometry._fields]
+    placed = ordinal_targets(targets, keys, order, limit)
+    if role == "tracking":
+        # Partitioned within the frame, so the rows are where they already are.
+        same_track = Window.partitionBy(*keys, "track_id").orderBy("target_index")
+        within = placed.where("NOT over_limit").withColumn("track_copy", F.row_number().over(same_track))
+        placed = within.unionByName(placed.where("over_limit").withColumn("track_copy", F.lit(1)))
     labelled = (
-        ordinal_targets(targets, keys, order)
-        .join(frames.select(*keys, *geometry), keys)
+        placed.join(frames.select(*keys, *geometry, F.lit(True).alias("frame_known")), keys, "left")
+        .withColumn("frame_known", F.coalesce("frame_known", F.lit(False)))
         .join(small_or_shuffled(categories), "class_index", "left")
     )
     rules, rejects = _target_rules(role), None
-    if role == "tracking":
-        # Partitioned within the frame, so the rows are where they already are.
-        same_track = Window.partitionBy(*keys, "track_id").orderBy("target_index")
-        labelled = labelled.withColumn("track_copy", F.row_number().over(same_track))
     if mode == "strict":
         good = strict(labelled, rules, "target_index")
         frames = strict(frames, [clock_rule(F.col("valid"), F.col("camera_microseconds"))], "frame_id")
     else:
         good, rejects = quarantine(labelled, rules)
+        crowded = placed.where("over_limit").select(*keys).distinct()
+        frames = frames.join(crowded, keys, "left_anti")
     box = inverse_map(Box.of(), Geometry.of())
     klass = target_class(F.col("class_index"), F.col("mapping_id"), F.col("type"))
     if role == "detection":

@@ -96,10 +96,17 @@ def _planned_frames(spark: SparkSession, run: Run) -> int:
     return frames
 
 
+def _telemetry(spark: SparkSession, run: Run) -> DataFrame:
+    """Scan lines of the run; a limited run stops reading behind its last window."""
+    if run.frame_limit is None:
+        return scan_lines(spark, run.input_path, "telemetry")
+    end = (run.frame_limit - 1) * run.stride + run.height
+    return scan_lines(spark, run.input_path, "telemetry", endLine=max(end, 0))
+
+
 def frame_table(spark: SparkSession, run: Run, placement: Placement = Placement()) -> DataFrame:
     """One row per frame with geometry, camera clock and exposure, from telemetry only."""
-    lines = scan_lines(spark, run.input_path, "telemetry")
-    summary = window_summary(lines, run.height, run.stride, F.col("sample"))
+    summary = window_summary(_telemetry(spark, run), run.height, run.stride, F.col("sample"))
     if run.frame_limit is not None:
         summary = summary.where(F.col("frame_id") < run.frame_limit)
     start = F.col("window_start.sample")
@@ -143,9 +150,7 @@ def run_navigation(spark: SparkSession, run: Run, out: str) -> DataFrame:
     """Navigation product below ``out``; returns its run row."""
     begun = time.monotonic()
     size, planned = verify_input(spark, run), _planned_frames(spark, run)
-    records = navigation_records(scan_lines(spark, run.input_path, "telemetry"), run.height, run.stride)
-    if run.frame_limit is not None:
-        records = records.where(F.col("frame_id") < run.frame_limit)
+    records = navigation_records(_telemetry(spark, run), run.height, run.stride, run.frame_limit)
     watched, seen = observed(records, F.lit(0), f"{run.run_id}.nav")
     write_records(watched, f"{out}/nav")
     if seen.get["frame_count"] != planned:

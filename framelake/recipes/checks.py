@@ -127,7 +127,7 @@ def _planes(t: Tables):
     from framelake.operators.targets import ordinal_targets
     from framelake.recipes.tables import TARGET_ORDER
 
-    placed = ordinal_targets(t.targets(), ["frame_id"], TARGET_ORDER).where("NOT over_limit")
+    placed = ordinal_targets(t.targets(), ["frame_id"], TARGET_ORDER)
     joined = placed.join(t.frames().select("frame_id", *Geometry._fields), "frame_id")
     return rules.flag(joined, rules.plane_rules(Box.of(), Geometry.of())).select("frame_id", "target_index", "failed_rule")
 
@@ -157,16 +157,16 @@ def plane_match(t: Tables):
 
 @recipe(
     "c13_single_role",
-    """WITH d AS (SELECT DISTINCT l_orderkey AS frame_id FROM lineitem WHERE l_returnflag = 'A'),
-            t AS (SELECT DISTINCT event_id AS frame_id FROM events WHERE event_type = 'view'),
+    """WITH d AS (SELECT DISTINCT CASE WHEN l_returnflag = 'A' THEN l_orderkey ELSE -l_orderkey END AS frame_id FROM lineitem),
+            t AS (SELECT DISTINCT CASE WHEN event_type = 'view' THEN event_id ELSE -event_id - 1 END AS frame_id FROM events),
             f AS (SELECT o_orderkey AS frame_id FROM orders UNION SELECT frame_id FROM d UNION SELECT frame_id FROM t)
        SELECT frame_id, d.frame_id IS NOT NULL AS has_detection, t.frame_id IS NOT NULL AS has_tracking
        FROM f LEFT JOIN d USING (frame_id) LEFT JOIN t USING (frame_id) WHERE (d.frame_id IS NULL) = (t.frame_id IS NULL)""",
 )
 def single_role(t: Tables):
     frames = t.orders.selectExpr("o_orderkey AS frame_id")
-    detections = t.lineitem.where("l_returnflag = 'A'").selectExpr("l_orderkey AS frame_id")
-    tracks = t.events.where("event_type = 'view'").selectExpr("event_id AS frame_id")
+    detections = t.lineitem.selectExpr("if(l_returnflag = 'A', l_orderkey, -l_orderkey) AS frame_id")
+    tracks = t.events.selectExpr("if(event_type = 'view', event_id, -event_id - 1) AS frame_id")
     return rules.role_conflicts(frames, detections, tracks, ["frame_id"])
 
 

@@ -217,15 +217,15 @@ def box_center(t: Tables):
 
 @recipe(
     "b15_target_ids",
-    """SELECT frame_id, target_index, 'd' || target_index AS target_id,
-              'detection:' || frame_id || ':' || target_index AS source_id FROM targets WHERE n_targets <= 256""",
+    """SELECT frame_id, target_index, 'd' || target_index AS target_id, 'detection:' || frame_id || ':' || target_index AS source_id
+       FROM (SELECT frame_id, CASE WHEN n_targets <= 256 THEN target_index END AS target_index FROM targets)""",
     "targets",
 )
 def target_ids(t: Tables):
     from framelake.operators.targets import ordinal_targets
     from framelake.recipes.tables import TARGET_ORDER
 
-    placed = ordinal_targets(t.targets(), ["frame_id"], TARGET_ORDER).where("NOT over_limit")
+    placed = ordinal_targets(t.targets(), ["frame_id"], TARGET_ORDER)
     index = F.col("target_index")
     return placed.select(
         "frame_id",

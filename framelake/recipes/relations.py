@@ -29,7 +29,7 @@ WINDOW_OK = f"valid AND nibble = 0 AND line + 16 <= least(frame_id * {STRIDE} +
     "targets categories",
 )
 def category_join(t: Tables):
-    placed = ordinal_targets(t.targets(), ["frame_id"], TARGET_ORDER).where("NOT over_limit")
+    placed = ordinal_targets(t.targets(), ["frame_id"], TARGET_ORDER)
     return lookup.with_category(placed, t.categories()).select("frame_id", "target_index", "class_index", "mapping_id", "type")
 
 
@@ -72,13 +72,17 @@ def reconcile(t: Tables):
 
 @recipe(
     "d5_frames_left_targets",
-    "SELECT frame_id, count(t.class_index)::INT AS n_targets FROM frames LEFT JOIN (SELECT * FROM targets WHERE class_index < 5) t USING (frame_id) GROUP BY 1",
+    """SELECT frame_id, frame_id % 3 = 0 AS moved, count(t.class_index)::INT AS n_targets FROM frames
+       LEFT JOIN (SELECT * REPLACE (CASE WHEN frame_id % 3 = 0 THEN -frame_id ELSE frame_id END AS frame_id) FROM targets) t USING (frame_id)
+       GROUP BY 1, 2""",
     "frames targets",
 )
 def frames_left_targets(t: Tables):
-    few = ordinal_targets(t.targets().where("class_index < 5"), ["frame_id"], TARGET_ORDER).where("NOT over_limit")
-    nested = nest_targets(few, ["frame_id"], F.col("class_index"), "targets")
-    return attach_targets(t.frames(), nested, ["frame_id"], "targets").select("frame_id", F.size("targets").alias("n_targets"))
+    targets = t.targets().withColumn("frame_id", F.when(F.col("frame_id") % 3 == 0, -F.col("frame_id")).otherwise(F.col("frame_id")))
+    placed = ordinal_targets(targets, ["frame_id"], TARGET_ORDER)
+    nested = nest_targets(placed, ["frame_id"], F.col("class_index"), "targets")
+    both = attach_targets(t.frames(), nested, ["frame_id"], "targets")
+    return both.select("frame_id", (F.col("frame_id") % 3 == 0).alias("moved"), F.size("targets").alias("n_targets"))
 
 
 @recipe(
@@ -107,14 +111,14 @@ IOU_SQL = """(greatest(0.0, least(a.x_max, b.x_max) - greatest(a.x_min, b.x_min)
 
 @recipe(
     "d7_overlapping_pairs",
-    f""", x AS (SELECT *, {BOX_ID} FROM (SELECT *, row_number() OVER (PARTITION BY frame ORDER BY {BEST_FIRST}) AS r FROM dense) WHERE r <= 500)
-        SELECT a.frame, a.class_index, a.box_id AS low_id, b.box_id AS high_id, {IOU_SQL} AS iou
-        FROM x a JOIN x b ON a.frame = b.frame AND a.class_index = b.class_index AND a.box_id < b.box_id WHERE {IOU_SQL} > 0.45""",
+    f""", x AS MATERIALIZED (SELECT *, {BOX_ID}, row_number() OVER (PARTITION BY frame, class_index ORDER BY {BEST_FIRST}) AS r FROM dense)
+        SELECT a.frame, a.class_index, least(a.box_id, b.box_id) AS low_id, greatest(a.box_id, b.box_id) AS high_id, {IOU_SQL} AS iou
+        FROM x a JOIN x b ON a.frame = b.frame AND a.class_index = b.class_index AND a.r < b.r WHERE {IOU_SQL} > 0.45""",
     "dense",
 )
 def pairs(t: Tables):
     boxes = t.dense().selectExpr("*", BOX_ID)
-    return overlapping_pairs(boxes, ["frame"], "box_id", best_first(), class_column="class_index")
+    return overlapping_pairs(boxes, ["frame"], "box_id", best_first(), top_k=None, class_column="class_index")
 
 
 # Destination pixels of a map with scale 1.5 and offset 2 onto a 16 x 16 plane.
@@ -359,9 +363,9 @@ def gaps(t: Tables):
     return windows.gaps(ids, block_lines=1024)
 
 
-@recipe("f4_target_ordinals", "SELECT frame_id, class_index, x_min, y_min, target_index FROM targets WHERE n_targets <= 256", "targets")
+@recipe("f4_target_ordinals", "SELECT frame_id, class_index, x_min, y_min, CASE WHEN n_targets <= 256 THEN target_index END AS target_index FROM targets", "targets")
 def ordinals(t: Tables):
-    placed = ordinal_targets(t.targets(), ["frame_id"], TARGET_ORDER).where("NOT over_limit")
+    placed = ordinal_targets(t.targets(), ["frame_id"], TARGET_ORDER)
     return placed.select("frame_id", "class_index", "x_min", "y_min", "target_index")
 
 
@@ -408,11 +412,11 @@ def top_candidates(t: Tables):
 
 @recipe(
     "g5_record_cap",
-    f"SELECT frame, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY frame ORDER BY {BEST_FIRST})::INT AS rank FROM dense WHERE class_index > 0) WHERE rank <= 256",
+    f"SELECT frame, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY frame ORDER BY {BEST_FIRST})::INT AS rank FROM dense) WHERE rank <= 256",
     "dense",
 )
 def record_cap(t: Tables):
-    return tiles.cap_kept(t.dense().where("class_index > 0"), ["frame"], best_first()).select("frame", "score", "rank")
+    return tiles.cap_kept(t.dense(), ["frame"], best_first()).select("frame", "score", "rank")
 
 
 @recipe(
@@ -436,13 +440,13 @@ def extension_member(t: Tables):
 
 @recipe(
     "h3_one_sided_frames",
-    """, l AS (SELECT o_orderkey AS frame_id FROM orders), r AS (SELECT l_orderkey AS frame_id FROM lineitem WHERE l_linenumber = 1)
+    """, l AS (SELECT o_orderkey AS frame_id FROM orders), r AS (SELECT CASE WHEN l_linenumber = 1 THEN l_orderkey ELSE -(l_orderkey * 10 + l_linenumber) END AS frame_id FROM lineitem)
        SELECT frame_id, 'left' AS side FROM (FROM l EXCEPT ALL FROM r) UNION ALL SELECT frame_id, 'right' FROM (FROM r EXCEPT ALL FROM l)""",
     "categories",
 )
 def one_sided(t: Tables):
     left = t.orders.selectExpr("o_orderkey AS frame_id")
-    right = t.lineitem.where("l_linenumber = 1").selectExpr("l_orderkey AS frame_id")
+    right = t.lineitem.selectExpr("if(l_linenumber = 1, l_orderkey, -(l_orderkey * 10 + l_linenumber)) AS frame_id")
     return lookup.both_sides(left, right)
 
 

@@ -67,6 +67,37 @@ def rejected_targets(t: Tables):
 
 
 
+def _odd_frames(t: Tables):
+    """Every fifth frame is missing, and frames hold four targets at most."""
+    frames = t.frames().where("frame_id % 5 <> 0")
+    return products.target_records(frames, t.targets(), t.categories(), TARGET_ORDER, mode="quarantine", limit=4)
+
+
+@recipe(
+    "k1_orphan_targets",
+    """SELECT frame_id, target_index, failed_rule FROM (
+         SELECT frame_id, CASE WHEN n_targets <= 4 THEN target_index END AS target_index,
+                CASE WHEN n_targets > 4 THEN 'over_limit' WHEN frame_id % 5 = 0 THEN 'frame_known' END AS failed_rule FROM targets)
+       WHERE failed_rule IS NOT NULL""",
+    "targets",
+)
+def orphan_targets(t: Tables):
+    """All targets of crowded and of missing frames are listed."""
+    rejects = _odd_frames(t)[2].where("failed_rule IN ('over_limit', 'frame_known')")
+    return rejects.select("frame_id", "target_index", "failed_rule")
+
+
+@recipe(
+    "k1_crowded_frames",
+    """SELECT f.frame_id, count(g.frame_id)::INT AS n_targets FROM frames f LEFT JOIN good g USING (frame_id)
+       WHERE f.frame_id % 5 <> 0 AND f.frame_id NOT IN (SELECT frame_id FROM targets WHERE n_targets > 4) GROUP BY 1""",
+    GOOD_VIEWS,
+)
+def crowded_frames(t: Tables):
+    """A frame over the limit has no record, so it cannot be taken for one without targets."""
+    return _odd_frames(t)[0].select("frame_id", F.size("targets").alias("n_targets"))
+
+
 @recipe(
     "k2_track_frames",
     """, g AS (SELECT frame_id, row_number() OVER (PARTITION BY frame_id ORDER BY place) - 1 AS target_index, track_id, c.type,
@@ -214,7 +245,8 @@ def cut_tiles(t: Tables):
 
 @recipe(
     "l3_channels",
-    """, o AS (SELECT frame_id, (y * 8 + x) AS p, v FROM pixels),
+    """, o AS (SELECT frame_id, (y * 8 + x) AS p, v FROM pixels
+                 UNION ALL SELECT frame_id, 64 + k, 0 FROM (SELECT DISTINCT frame_id FROM pixels), range(2) z(k)),
         g AS (SELECT r.frame_id, r.p // 3 AS pixel, ((r.v::BIGINT * 4899 + g.v::BIGINT * 9617 + b.v::BIGINT * 1868 + 8192) >> 14)::SMALLINT AS gray
               FROM o r JOIN o g ON g.frame_id = r.frame_id AND g.p = r.p + 1 JOIN o b ON b.frame_id = r.frame_id AND b.p = r.p + 2 WHERE r.p % 3 = 0)
        SELECT g.frame_id, g.pixel, gray, r.v AS blue_first, o.v AS replicated FROM g
@@ -222,8 +254,9 @@ def cut_tiles(t: Tables):
     "pixels",
 )
 def channels(t: Tables):
-    """The first 63 values read as 21 RGB pixels; gray values repeated for three channels."""
-    rgb = t.images().select("frame_id", "pixels", F.slice("pixels", 1, 63).alias("rgb"))
+    """All values and two zeros read as 22 RGB pixels; gray values repeated for three channels."""
+    zeros = F.array_repeat(F.lit(0).cast("smallint"), 2)
+    rgb = t.images().select("frame_id", "pixels", F.concat("pixels", zeros).alias("rgb"))
     shaped = rgb.select(
         "frame_id",
         pixels.rgb_to_gray(F.col("rgb")).alias("gray"),

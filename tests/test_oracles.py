@@ -1,5 +1,7 @@
 """Every registered query against its SQL twin on the smallest tables."""
 
+import re
+
 import pytest
 from compare import connect, difference
 
@@ -20,8 +22,9 @@ def test_entry_is_stable(spark):
     assert first.count() > 0
 
 
-def test_only_listings_lack_a_twin():
-    assert set(QUERIES) - set(ORACLES) == {"a8_list_artifacts"}
+def test_only_training_data_queries_lack_a_twin():
+    """The numbered operators that SQL cannot express are held against brute force in their own tests."""
+    assert {name for name in set(QUERIES) - set(ORACLES) if not re.match(r"op\d+_|pipeline$", name)} == set()
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))

@@ -63,6 +63,19 @@ def test_target_run(spark, tmp_path):
     assert meta[0].geometry_id == "pad.v1" and meta[1].observation_time.seconds == 1032
 
 
+def test_limited_run_ignores_a_bad_window_behind_the_limit(spark, tmp_path):
+    path, out = write(tmp_path / "a.dat", 96), str(tmp_path / "out")
+    data = bytearray(Path(path).read_bytes())
+    record = len(data) // 96
+    for line in range(32, 64):  # no line of the second window is valid
+        data[line * record : (line + 1) * record] = bytes(record)
+    Path(path).write_bytes(data)
+    run = a_run(path, stride=32, height=32, frame_limit=1, sha256=None)
+    assert runs.run_navigation(spark, run, out).first().frame_count == 1
+    with pytest.raises(Exception, match="no valid line"):
+        runs.run_navigation(spark, a_run(path, stride=32, height=32, sha256=None), f"{out}2")
+
+
 def test_tile_grid_table_function(spark):
     register_functions(spark)
     frames = spark.range(1).selectExpr("4096L AS width", "700L AS height")
