@@ -91,11 +91,17 @@ def tree_digest(
 
     Equal members in equal order give an equal root whatever the partitioning, and no task
     sees more than ``fanout`` digests of one node. ``index`` is the contiguous 0-based
-    member position, so fan-out ** levels members are the bound (about 10**12).
+    member position. The default fan-out has four levels, enough for 10**12 members; a smaller
+    one gets as many as its members need.
     """
     keys = keys or []
+    levels = DIGEST_LEVELS
+    if fanout < DIGEST_FANOUT:
+        last = members.agg(F.max(index)).first()[0] or 0
+        while fanout**levels <= last:
+            levels += 1
     level = members.select(*keys, F.col(index).cast("bigint").alias("node"), F.col(digest).alias("digest"))
-    for _ in range(DIGEST_LEVELS):
+    for _ in range(levels):
         placed = F.sort_array(F.collect_list(F.struct("node", "digest")))
         level = (
             level.withColumn("parent", F.floor(F.col("node") / fanout))

@@ -5,16 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BROADCAST_ROWS = 100_000
+BROADCAST_ROWS, BROADCAST_BYTES = 100_000, 64 << 20
 
 
-def small_or_shuffled(dimension: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Mark a dimension for broadcast only after counting that it stays under ``max_rows``.
+def small_or_shuffled(dimension: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Mark a dimension for broadcast only after measuring that it stays under both bounds.
 
-    The count stops at the bound. Larger dimensions are left unmarked: they join by shuffle,
+    The count stops at the bound; bytes are those of the rows as JSON. Larger dimensions are left unmarked: they join by shuffle,
     where adaptive execution splits skewed partitions of the fact side.
     """
-    if dimension.limit(max_rows + 1).count() <= max_rows:
+    measured = dimension.limit(max_rows + 1).select(F.octet_length(F.to_json(F.struct("*"))).alias("bytes"))
+    rows, size = measured.agg(F.count(F.lit(1)), F.coalesce(F.sum("bytes"), F.lit(0))).first()
+    if rows <= max_rows and size <= max_bytes:
         return F.broadcast(dimension)
     return dimension
 

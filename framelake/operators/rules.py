@@ -125,6 +125,14 @@ def plane_match_rule(g: Geometry, width: Column, height: Column) -> Rule:
     )
 
 
+def role_rules(mode: Column, has_detection: Column, has_telemetry: Column) -> list[Rule]:
+    """A pushbroom frame carries a detection record, any other a tracking record; every frame has telemetry."""
+    return [
+        Rule("role", (mode == "pushbroom") == has_detection, "mode does not match the role record"),
+        Rule("telemetry", has_telemetry, "telemetry record is missing"),
+    ]
+
+
 def channel_rule(channel: Column) -> Rule:
     return Rule("channel", channel == SUPPORTED_CHANNEL, "channel is not supported")
 

@@ -7,8 +7,11 @@ only products whose run row says ``completed``, which makes several tables one p
 from __future__ import annotations
 
 import time
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,6 +22,7 @@ from framelake.operators.artifacts import file_digests, frames_per_second, list_
 from framelake.operators.rules import Rule, RuleViolation, fail_if_any, geometry_rules, quarantine
 from framelake.operators.windows import window_summary
 from framelake.plans.products import check_sequence, navigation_records, target_records, write_records
+from framelake.session import scratch_path
 from framelake.sources.config import read_products
 from framelake.sources.scanlines import scan_lines
 
@@ -133,9 +137,30 @@ def frame_table(spark: SparkSession, run: Run, placement: Placement = Placement(
     )
 
 
-def _publish(spark, run: Run, out: str, product: str, frames: int, observations: int, size: int, begun: float) -> DataFrame:
+@contextmanager
+def _recorded(spark: SparkSession, run: Run, out: str, product: str) -> Iterator[None]:
+    """Refuse a run id that is published already; leave a row for a run that fails or has no result."""
+    begun = time.monotonic()
+    try:
+        earlier = spark.read.schema(RUN_TYPE).parquet(f"{out}/runs").where(F.col("status") == "completed")
+        known = not earlier.where(F.col("run_id") == run.run_id).isEmpty()
+    except AnalysisException:  # no run has been recorded yet
+        known = False
+    if known:
+        raise RuleViolation(f"run {run.run_id} is published already and exists below {out}")
+    try:
+        yield
+    except NoResult:
+        _publish(spark, run, out, product, 0, 0, 0, begun, "no_result")
+        raise
+    except RuleViolation:
+        _publish(spark, run, out, product, 0, 0, 0, begun, "failed")
+        raise
+
+
+def _publish(spark, run: Run, out: str, product: str, frames: int, observations: int, size: int, begun: float, status: str = "completed") -> DataFrame:
     wall = time.monotonic() - begun
-    row = (run.run_id, run.trace_id, run.runtime_profile, product, "completed", frames, observations, size, wall, 0.0, run.input_path, "line-scan")
+    row = (run.run_id, run.trace_id, run.runtime_profile, product, status, frames, observations, size, wall, 0.0, run.input_path, "line-scan")
     runs = spark.createDataFrame([row], RUN_TYPE).withColumns(
         {
             "frames_per_second": frames_per_second(F.col("frame_count"), F.col("wall_time_seconds")),
@@ -148,6 +173,11 @@ def _publish(spark, run: Run, out: str, product: str, frames: int, observations:
 
 def run_navigation(spark: SparkSession, run: Run, out: str) -> DataFrame:
     """Navigation product below ``out``; returns its run row."""
+    with _recorded(spark, run, out, "nav"):
+        return _navigation(spark, run, out)
+
+
+def _navigation(spark: SparkSession, run: Run, out: str) -> DataFrame:
     begun = time.monotonic()
     size, planned = verify_input(spark, run), _planned_frames(spark, run)
     records = navigation_records(_telemetry(spark, run), run.height, run.stride, run.frame_limit)
@@ -169,10 +199,23 @@ def run_targets(
     role: str = "detection",
     placement: Placement = Placement(),
 ) -> DataFrame:
-    """Detection or track product and its image metadata below ``out``; returns the run row."""
+    """Detection or track product and its image metadata below ``out``; returns the run row.
+
+    The raw input is read once: the frame table, one small row per frame, is written to the
+    shared folder, and checks, records and metadata are made from it.
+    """
+    product = "targets" if role == "detection" else "tracks"
+    with _recorded(spark, run, out, product):
+        return _targets(spark, run, detections, categories, order, out, role, placement)
+
+
+def _targets(spark, run: Run, detections, categories, order, out: str, role: str, placement: Placement) -> DataFrame:
     begun = time.monotonic()
     size, planned = verify_input(spark, run), _planned_frames(spark, run)
-    frames = frame_table(spark, run, placement)
+    path = scratch_path(spark, "frames")
+    frame_table(spark, run, placement).write.parquet(path)
+    frames = spark.read.parquet(path)
+    # One record per frame and kind holds by construction: the frame table has one row per frame.
     checks = [
         Rule("window", F.col("n_valid") > 0, "window contains no valid line"),
         *geometry_rules(Geometry.of(), F.col("geometry_id")),

@@ -176,11 +176,8 @@ def single_role(t: Tables):
               WHEN o_orderkey % 10 = 0 THEN 'telemetry' END AS failed_rule FROM orders""",
 )
 def role_matches_mode(t: Tables):
-    pushbroom, detection = F.col("o_orderpriority") < "3", F.col("o_orderstatus") == "O"
-    checks = [
-        rules.Rule("role", pushbroom == detection, "mode does not match the role record"),
-        rules.Rule("telemetry", F.col("o_orderkey") % 10 != 0, "telemetry record is missing"),
-    ]
+    mode = F.when(F.col("o_orderpriority") < "3", "pushbroom").otherwise("stare")
+    checks = rules.role_rules(mode, F.col("o_orderstatus") == "O", F.col("o_orderkey") % 10 != 0)
     return rules.flag(t.orders, checks).select("o_orderkey", "failed_rule")
 
 

@@ -380,17 +380,37 @@ def resample(t: Tables):
     return pixels.to_long(t.images().select("frame_id", mapped.alias("pixels")), "pixels", F.lit(10), ["frame_id"])
 
 
+def _bytes_as_values(dense, width: int):
+    values = F.transform(
+        F.sequence(F.lit(1), F.length("pixels")),
+        lambda i: F.conv(F.hex(F.substring(F.col("pixels"), i, F.lit(1))), 16, 10).cast("smallint"),
+    )
+    return pixels.to_long(dense.select("frame_id", values.alias("pixels")), "pixels", F.lit(width), ["frame_id"])
+
+
+# Pixel centres of a 10 x 6 plane in an 8 x 8 image, edges repeated.
+BILINEAR_SQL = """, d AS (SELECT frame_id, x::BIGINT AS x, y::BIGINT AS y, greatest(0.0, least(7.0, (x + 0.5::DOUBLE) * (8::DOUBLE / 10) - 0.5::DOUBLE)) AS ax,
+              greatest(0.0, least(7.0, (y + 0.5::DOUBLE) * (8::DOUBLE / 6) - 0.5::DOUBLE)) AS ay
+            FROM (SELECT vec_id AS frame_id FROM embeddings), range(10) a(x), range(6) b(y)),
+        e AS (SELECT *, floor(ax)::BIGINT AS x0, floor(ay)::BIGINT AS y0, least(floor(ax)::BIGINT + 1, 7) AS x1, least(floor(ay)::BIGINT + 1, 7) AS y1,
+              ax - floor(ax) AS fx, ay - floor(ay) AS fy FROM d)
+       SELECT e.frame_id, e.y, e.x, floor((a.v * (1 - fx) + b.v * fx) * (1 - fy) + (c.v * (1 - fx) + g.v * fx) * fy + 0.5)::SMALLINT AS v
+       FROM e JOIN pixels a ON a.frame_id = e.frame_id AND a.x = x0 AND a.y = y0 JOIN pixels b ON b.frame_id = e.frame_id AND b.x = x1 AND b.y = y0
+       JOIN pixels c ON c.frame_id = e.frame_id AND c.x = x0 AND c.y = y1 JOIN pixels g ON g.frame_id = e.frame_id AND g.x = x1 AND g.y = y1"""
+
+
+@recipe("l9_bilinear", BILINEAR_SQL, "pixels")
+def bilinear(t: Tables):
+    resized = pixels.resize_dense("pixels", "width", "height", F.lit(10), F.lit(6))
+    return _bytes_as_values(_dense_frames(t).select("frame_id", resized.alias("pixels")), 10)
+
+
 @recipe("l8_resample_dense", RESAMPLE_SQL, "pixels")
 def resample_dense(t: Tables):
     """The same map over BINARY frames through Arrow."""
     scale, offset = F.expr("0.5D * (1 + frame_id % 3)"), F.expr("CAST(frame_id % 2 AS DOUBLE)")
     mapped = pixels.resample_dense("pixels", "width", "height", scale, scale, offset, offset, F.lit(10), F.lit(9))
-    values = F.transform(
-        F.sequence(F.lit(1), F.length("pixels")),
-        lambda i: F.conv(F.hex(F.substring(F.col("pixels"), i, F.lit(1))), 16, 10).cast("smallint"),
-    )
-    dense = _dense_frames(t).select("frame_id", mapped.alias("pixels"))
-    return pixels.to_long(dense.select("frame_id", values.alias("pixels")), "pixels", F.lit(10), ["frame_id"])
+    return _bytes_as_values(_dense_frames(t).select("frame_id", mapped.alias("pixels")), 10)
 
 
 @recipe(

@@ -49,10 +49,26 @@ def extensions(text: str) -> list[str]:
     return sorted({p if p.startswith(".") else f".{p}" for p in parts if p})
 
 
+def glob_of(suffixes: list[str]) -> str:
+    """File name pattern of these extensions in any case."""
+
+    def either(c: str) -> str:
+        return f"[{c.lower()}{c.upper()}]" if c.isalpha() else c if c == "." or c.isalnum() else "?"
+
+    return "*{" + ",".join("".join(map(either, s)) for s in suffixes) + "}" if suffixes else "*"
+
+
 def list_images(spark: SparkSession, root: str, recursive: bool = False, allowed: str = DEFAULT_EXTENSIONS) -> DataFrame:
-    """Files whose lower-cased extension is allowed, with provenance and raw content."""
+    """Files whose lower-cased extension is allowed, with provenance and raw content.
+
+    Other files are left out by name while listing, so their content is never read.
+    """
+    wanted = extensions(allowed)
     files = (
-        spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(root)
+        spark.read.format("binaryFile")
+        .option("recursiveFileLookup", str(recursive).lower())
+        .option("pathGlobFilter", glob_of(wanted))
+        .load(root)
     )
     path = F.regexp_replace("path", "^file:/+", "/")
     return (
@@ -63,7 +79,7 @@ def list_images(spark: SparkSession, root: str, recursive: bool = False, allowed
             F.col("length").alias("size_bytes"),
             "content",
         )
-        .where(F.col("extension").isin(extensions(allowed)))
+        .where(F.col("extension").isin(wanted))
     )
 
 

@@ -46,7 +46,9 @@ def test_refused_inputs(spark, tmp_path):
         runs.run_navigation(spark, a_run(path, max_frames=3), out)
     with pytest.raises(runs.NoResult):
         runs.run_navigation(spark, a_run(path, frame_limit=0), out)
-    assert not Path(out).exists()
+    assert not Path(f"{out}/nav").exists()
+    statuses = sorted(r.status for r in spark.read.parquet(f"{out}/runs").collect())
+    assert statuses == ["failed", "failed", "failed", "no_result"]
     assert runs.run_navigation(spark, a_run(path, max_frames=3, frame_limit=2), out).first().frame_count == 2
 
 
@@ -83,3 +85,28 @@ def test_tile_grid_table_function(spark):
     got = spark.sql("SELECT g.* FROM frames_of_grid f, LATERAL tile_grid(f.width, f.height, 640) g").collect()
     want = tile_grid(frames, 640).select("tile_index", "x_offset", "y_offset").collect()
     assert sorted(got) == sorted(want) and len(got) == 16
+
+
+def test_paths(spark, tmp_path):
+    from framelake.sources import images, paths
+
+    assert paths.qualified(spark, "/a/b") == "/a/b" and paths.qualified(spark, "s3a://bucket/x") == "s3a://bucket/x"
+    assert paths.scheme_of("file:/a") == "file" and paths.scheme_of("/a:/b") == ""
+    assert paths.resolve("file:///a/b")[1] == "/a/b"
+    with pytest.raises(ValueError, match="scheme"):
+        paths.qualified(spark, "ftp://host/x")
+    (tmp_path / "big.bin").write_bytes(b"x" * 2000)
+    (tmp_path / "a.PGM").write_bytes(b"P5 2 1 255\n\x01\x02")
+    spark.conf.set("spark.sql.sources.binaryFile.maxLength", "1000")
+    try:
+        found = images.scan_images(spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.unset("spark.sql.sources.binaryFile.maxLength")
+    assert [(r.extension, r.width, bytes(r.pixels)) for r in found] == [(".pgm", 2, b"\x01\x02")]
+
+
+def test_tree_digest_grows_with_its_members(spark):
+    from framelake.operators.artifacts import tree_digest
+
+    members = spark.range(40).selectExpr("id", "sha2(CAST(id AS STRING), 256) AS d")
+    assert tree_digest(members, "id", "d", fanout=2).count() == 1
