@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from framelake.functions.boxes import Box, clamp, ordered
+from framelake.operators.pixels import cut_dense
 from framelake.operators.rules import MAX_TARGETS_PER_FRAME
 from framelake.operators.windows import first_ranked
 
@@ -36,6 +41,44 @@ def tile_grid(frames: DataFrame, tile: int, width: str = "width", height: str =
     )
 
 
+def tile_windows(width: Column, height: Column, tile: int) -> Column:
+    """The grid of one frame as an array of windows, row-major, for cutting all tiles in one pass."""
+    w, h, step = width.cast("bigint"), height.cast("bigint"), tile_stride(tile)
+    columns = tiles_along(w, tile)
+
+    def window(i: Column) -> Column:
+        x, y = F.least((i % columns) * step, w - tile), F.least(F.floor(i / columns) * step, h - tile)
+        corners = {"x_min": x, "y_min": y, "x_max": x + tile, "y_max": y + tile}
+        return F.struct(i.alias("tile_index"), *[v.cast("int").alias(k) for k, v in corners.items()])
+
+    return F.transform(F.sequence(F.lit(0).cast("bigint"), columns * tiles_along(h, tile) - 1), window)
+
+
+def cut_tiles(frames: DataFrame, tile: int, pixels: str = "pixels") -> DataFrame:
+    """Tiles of dense (BINARY) frames with ``width`` and ``height``: adds tile_index, x_offset, y_offset and ``tile``.
+
+    A frame's tiles are cut in one pass and only they are exploded; the frame itself is neither copied nor shuffled.
+    """
+    cut = frames.withColumn("_windows", tile_windows(F.col("width"), F.col("height"), tile))
+    cut = cut.withColumn("_tiles", cut_dense(pixels, "width", "height", "_windows")).drop(pixels)
+    each = cut.withColumn("_t", F.explode(F.arrays_zip("_windows", "_tiles"))).drop("_windows", "_tiles")
+    place = {"tile_index": "tile_index", "x_offset": "x_min", "y_offset": "y_min"}
+    return each.withColumns({k: F.col(f"_t._windows.{v}").cast("bigint") for k, v in place.items()} | {"tile": F.col("_t._tiles")}).drop("_t")
+
+
+def score_dense_tiles(tiles: DataFrame, make_predict, schema, pixels: str = "tile", name: str = "raw", batch_size: int = 32) -> DataFrame:
+    """Call a user model on batches of BINARY tiles (one row of float32 values per tile); it is loaded once per task."""
+
+    @F.pandas_udf(schema)
+    def predict(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        model = make_predict()
+        for tiles in batches:
+            parts = [tiles.iloc[a : a + batch_size] for a in range(0, len(tiles), batch_size)]
+            yield pd.Series([row for part in parts for row in model(np.stack([np.frombuffer(t, np.uint8) for t in part]).astype(np.float32))])
+
+    return tiles.withColumn(name, predict(F.col(pixels)))
+
+
 def untile(detections: DataFrame) -> DataFrame:
     """Move boxes from tile to frame coordinates by the tile offsets they carry."""
     return detections.withColumns(

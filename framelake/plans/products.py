@@ -178,10 +178,12 @@ def write_bundle(frames: DataFrame, path: str) -> None:
 
 
 def crop_records(frames: DataFrame, detections: DataFrame, keys: list[str] = FRAME_KEYS) -> DataFrame:
-    """Chips of all detections; pixels travel once per 256 detections of a frame.
+    """Chips of all detections, cut where the frame is read.
 
     ``detections`` has boxes in the filter plane, class type and the ordinal
-    ``target_index``, which also bounds how many windows one row carries.
+    ``target_index``, which also bounds how many windows one row carries. The boxes are measured
+    and travel to the pixels; only where they are too many for that, pixels are shuffled, once
+    per 256 detections of a frame.
     """
     chunk = F.floor(F.col("target_index") / MAX_TARGETS_PER_FRAME)
     boxes = (
@@ -189,7 +191,7 @@ def crop_records(frames: DataFrame, detections: DataFrame, keys: list[str] = FRA
         .agg(F.sort_array(F.collect_list(F.struct("target_index", "type", *Box._fields))).alias("boxes"))
         .drop("chunk")
     )
-    joined = frames.select(*keys, "width", "height", "pixels").join(boxes, keys)
+    joined = frames.select(*keys, "width", "height", "pixels").join(small_or_shuffled(boxes), keys)
 
     def window(b: Column) -> Column:
         rect = crop_window(Box(*(b[e] for e in Box._fields)), F.col("width"), F.col("height"))

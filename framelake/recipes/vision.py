@@ -10,6 +10,7 @@ from framelake.operators import pixels, tiles
 from framelake.operators.artifacts import frames_per_second
 from framelake.operators.spatial import suppress
 from framelake.plans import products
+from framelake.plans.detector import detect
 from framelake.recipes.relations import BEST_FIRST, IOU_SQL, NAV_SQL, best_first, flat_navigation, navigation_view
 from framelake.recipes.tables import TARGET_ORDER, Tables, recipe
 from framelake.session import scratch_path
@@ -227,10 +228,8 @@ def tile_grid(t: Tables):
 
 
 def _tiles(t: Tables):
-    """4 x 4 tiles of the 8 x 8 images, three per axis."""
-    grid = tiles.tile_grid(t.images().withColumns({"width": F.lit(8), "height": F.lit(8)}), 4)
-    x, y = F.col("x_offset"), F.col("y_offset")
-    return grid.withColumn("tile", pixels.cut(F.col("pixels"), F.lit(8), Box(x, y, x + 4, y + 4)))
+    """4 x 4 tiles of the dense 8 x 8 images, three per axis."""
+    return tiles.cut_tiles(_dense_frames(t), 4)
 
 
 @recipe(
@@ -240,7 +239,8 @@ def _tiles(t: Tables):
     "pixels",
 )
 def cut_tiles(t: Tables):
-    return pixels.to_long(_tiles(t), "tile", F.lit(4), ["frame_id", "tile_index"])
+    named = _tiles(t).withColumnRenamed("tile", "pixels")
+    return _bytes_as_values(named, 4, ["frame_id", "tile_index"])
 
 
 @recipe(
@@ -286,8 +286,7 @@ def _make_sum_model():
     "pixels",
 )
 def score_tiles(t: Tables):
-    floats = _tiles(t).withColumn("tile", F.transform("tile", lambda v: v.cast("float")))
-    scored = tiles.score_tiles(floats, _make_sum_model, DoubleType(), 4, pixels="tile", name="score")
+    scored = tiles.score_dense_tiles(_tiles(t), _make_sum_model, DoubleType(), name="score")
     return scored.select("frame_id", "tile_index", "score")
 
 
@@ -365,6 +364,39 @@ def decode_and_suppress(t: Tables):
     return kept.select("vec_id", "label", "score")
 
 
+def _make_box_model():
+    """One vector per tile: a box around its centre and two class scores made of its sum (exact in float32)."""
+
+    def predict(batch):
+        sums = batch.sum(axis=1).astype("int64")
+        return [[[2.0, 2.0, 8.0, 8.0, s / 4096, (s * 7) % 4096 / 4096]] for s in sums.tolist()]
+
+    return predict
+
+
+DETECTOR_SQL = (
+    """WITH RECURSIVE px AS (SELECT vec_id AS frame_id, (i // 8)::BIGINT AS y, (i % 8)::BIGINT AS x, round(255 * abs(embedding[i + 1]::DOUBLE))::BIGINT AS v
+             FROM embeddings, LATERAL (SELECT unnest(range(len(embedding))) AS i)),
+        g AS (SELECT i::BIGINT AS tile_index, least(i % 3 * 3, 4) AS x0, least(i // 3 * 3, 4) AS y0 FROM range(9) r(i)),
+        t AS (SELECT frame_id, tile_index, x0, y0, sum(v)::BIGINT AS s FROM px JOIN g ON x >= x0 AND x < x0 + 4 AND y >= y0 AND y < y0 + 4 GROUP BY ALL),
+        raw AS (SELECT frame_id, tile_index, CASE WHEN s >= (s * 7) % 4096 THEN 0 ELSE 1 END::BIGINT AS class_index,
+                  greatest(s, (s * 7) % 4096) / 4096::DOUBLE AS score, x0 - 2.0::DOUBLE AS x_min, y0 - 2.0::DOUBLE AS y_min, x0 + 6.0::DOUBLE AS x_max,
+                  y0 + 6.0::DOUBLE AS y_max FROM t WHERE greatest(s, (s * 7) % 4096) > 1024),"""
+    + greedy_sql("SELECT * FROM raw", "frame_id", "-score, tile_index", "*", 500, True).replace(" RECURSIVE ranked", " ranked").replace(
+        "SELECT * FROM ranked JOIN final USING (frame_id, r)",
+        """SELECT frame_id, class_index, score AS confidence, greatest(0.0, x_min) AS x_min, greatest(0.0, y_min) AS y_min,
+              least(8.0, x_max) AS x_max, least(8.0, y_max) AS y_max, row_number() OVER (PARTITION BY frame_id ORDER BY -score, tile_index)::INT AS rank
+           FROM ranked JOIN final USING (frame_id, r)""",
+    )
+)
+
+
+@recipe("l_detector_product", DETECTOR_SQL)
+def detector_product(t: Tables):
+    """Frames to boxes: tiles, model, decoding, suppression over all tiles of a frame, clamping, record limit."""
+    return detect(_dense_frames(t), _make_box_model, 4, 2, ["frame_id"])
+
+
 RESAMPLE_SQL = """, g AS (SELECT vec_id AS frame_id, 0.5::DOUBLE * (1 + vec_id % 3) AS s, (vec_id % 2)::DOUBLE AS o FROM embeddings),
     d AS (SELECT frame_id, x::BIGINT AS x, y::BIGINT AS y, (x - o) / s AS sx, (y - o) / s AS sy FROM g, range(10) a(x), range(9) b(y))
     SELECT d.frame_id, d.y, d.x, coalesce(p.v, 0)::SMALLINT AS v FROM d LEFT JOIN pixels p
@@ -380,12 +412,12 @@ def resample(t: Tables):
     return pixels.to_long(t.images().select("frame_id", mapped.alias("pixels")), "pixels", F.lit(10), ["frame_id"])
 
 
-def _bytes_as_values(dense, width: int):
+def _bytes_as_values(dense, width: int, keys: list[str] = ["frame_id"]):
     values = F.transform(
         F.sequence(F.lit(1), F.length("pixels")),
         lambda i: F.conv(F.hex(F.substring(F.col("pixels"), i, F.lit(1))), 16, 10).cast("smallint"),
     )
-    return pixels.to_long(dense.select("frame_id", values.alias("pixels")), "pixels", F.lit(width), ["frame_id"])
+    return pixels.to_long(dense.select(*keys, values.alias("pixels")), "pixels", F.lit(width), keys)
 
 
 # Pixel centres of a 10 x 6 plane in an 8 x 8 image, edges repeated.
