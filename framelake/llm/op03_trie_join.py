@@ -188,7 +188,8 @@ LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
 def link_groups(rows: DataFrame, share: int, whole: int) -> DataFrame:
-    """Links (a, b) of all sets of each (family, chunk) with its ``block`` sets, by a trie of the block.
+    """Links of all sets of each (family, chunk) with its ``block`` sets, by a trie of the block, reduced to one edge
+    (smallest set of the links' component, other set) per set, so that a group of near copies stays linear.
 
     A group is bounded by its maker: a family of limited size, or a chunk and a block of a larger family.
     """
@@ -199,8 +200,22 @@ def link_groups(rows: DataFrame, share: int, whole: int) -> DataFrame:
         trie = Trie(width, share, whole)
         for i in np.flatnonzero(block):
             trie.add(sets[i], int(ids[i]))
-        found = [(int(ids[i]), name) for i in range(len(ids)) for name in trie.linked(sets[i]) if name != ids[i]]
-        return row_batch(LINKS, [[f[k] for f in found] for k in (0, 1)])
+        root: dict[int, int] = {int(i): int(i) for i in ids}
+
+        def find(i: int) -> int:
+            while root[i] != i:
+                root[i] = root[root[i]]
+                i = root[i]
+            return i
+
+        for i in range(len(ids)):
+            mine = find(int(ids[i]))
+            for name in trie.linked(sets[i]):
+                other = find(name)
+                if other != mine:
+                    root[max(mine, other)] = mine = min(mine, other)
+        found = [(i, find(i)) for i in root]
+        return row_batch(LINKS, [[r for i, r in found if r != i], [i for i, r in found if r != i]])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting: list[pa.RecordBatch] = []
