@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from framelake.operators.rules import fail_if_any
 from framelake.operators.windows import sequence_number
 
 
@@ -138,6 +139,22 @@ def limit_violations(counts: DataFrame, keys: list[str], limit: Column | int) ->
     return over.withColumn("_n", F.row_number().over(window)).where("_n = 1").drop("_n")
 
 
+def limited_batches(path: str, limit: int, count: str = "frame_count") -> Callable[[DataFrame, int], None]:
+    """Handler of an update stream of counts: writes the batch, then fails the stream if a key is over its limit.
+
+    The batch that breaks the limit is on record, later ones are not taken in, and a restart fails again.
+    """
+    write = to_batches(path)
+
+    def handle(rows: DataFrame, batch: int) -> None:
+        rows = rows.persist()
+        write(rows, batch)
+        fail_if_any(rows.where(F.col(count) > limit), f"more than {limit} frames")
+        rows.unpersist()
+
+    return handle
+
+
 # ---- all or nothing publication ----------------------------------------------------------------------
 
 

@@ -1,5 +1,9 @@
 """Streams resume where they stopped and repeated batches change nothing."""
 
+import pytest
+from pyspark.errors import StreamingQueryException
+from pyspark.sql import functions as F
+
 from framelake.streaming import streams
 
 
@@ -39,3 +43,14 @@ def test_unpublished_run_is_not_visible(spark, tmp_path):
     streams.publish(spark, staging, runs, "one")
     assert streams.published(spark, runs, "two") is None
     assert streams.published(spark, runs, "one").count() == 3
+
+
+def test_stream_over_its_limit_fails(spark, tmp_path):
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    for part in range(3):
+        spark.range(part * 10, part * 10 + 10).selectExpr("'a' AS source", "id AS frame_id").coalesce(1).write.mode("append").parquet(source)
+    counts = streams.running_counts(streams.read_files(spark, source, "source string, frame_id bigint", 1), ["source"])
+    for _ in range(2):  # a restart fails again at the same batch
+        with pytest.raises(StreamingQueryException, match="more than 15 frames"):
+            streams.run_to_end(counts, str(tmp_path / "state"), streams.limited_batches(out, 15), "update")
+        assert spark.read.parquet(out).agg(F.max("frame_count")).first()[0] == 20
