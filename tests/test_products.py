@@ -175,6 +175,22 @@ def test_requests_and_missing_registry(spark):
     assert without["good"] == "R20" and without["text"] == "R1"
 
 
+def test_ground_products_of_one_mode(spark):
+    """Modes that only share the prefix are not ground products once the policy names the mode."""
+    registry = {
+        f"p{i}": {"sensor_id": "s", "acquisition_mode": "pushbroom", "max_frames": 4, "output_mode": mode, "filter": {"role": "detection"}}
+        for i, mode in enumerate(("ground_a", "ground_b"))
+    }
+    profiles = config.profiles_of(spark.createDataFrame([(json.dumps({"profiles": registry}),)], "document string"))
+    rows = [(p, json.dumps(REQUEST | {"processing": {"runtime_profile": p}})) for p in registry]
+    df = spark.createDataFrame(rows, "name string, document string")
+    policy = requests.Policy.of('{"ground_mode": "ground_a", "backends": ["x"]}')
+    assert policy.backends == ("x",)
+    assert {r.name: r.rule for r in requests.validate_requests(df, profiles, policy).collect()} == {"p0": "R28", "p1": None}
+    with pytest.raises(ValueError, match="unknown"):
+        requests.Policy.of('{"ground": "x"}')
+
+
 def test_images(spark, tmp_path):
     values = " ".join(str(v) for v in range(16))
     (tmp_path / "b.PGM").write_text(f"P2\n# note\n4 4\n255\n{values}\n")
