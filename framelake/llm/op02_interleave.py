@@ -53,3 +53,25 @@ def op2_interleave(spark: SparkSession, folder: str) -> DataFrame:
         F.lit(None).cast("int").alias("grown_shard"),
         "source",
     )
+
+
+def _half_bytes() -> list[int]:
+    """CRC-32 remainders (reversed polynomial 0xEDB88320) of half bytes, for the twin in SQL."""
+    table = []
+    for value in range(16):
+        for _ in range(4):
+            value = (value >> 1) ^ (0xEDB88320 if value & 1 else 0)
+        table.append(value)
+    return table
+
+
+_HALF = "xor({0} >> 4, %s[({0} & 15) + 1])" % _half_bytes()
+ORACLE = f"""
+    WITH b AS (SELECT doc_id, source, coalesce(text, '') AS text, [('0x' || h)::BIGINT FOR h IN regexp_extract_all(hex(encode(coalesce(text, ''))), '..')] AS bytes FROM documents),
+    c AS (SELECT doc_id, source, strlen(text) + 1 AS size,
+                 xor(4294967295::BIGINT, list_reduce([4294967295::BIGINT] || bytes, lambda c, h: {_HALF.format(_HALF.format("xor(c, h)"))})) AS text_crc32,
+                 ('0x' || substr(md5('{SEED}' || coalesce('-' || doc_id, '')), 1, 12))::BIGINT AS key FROM b),
+    f AS (SELECT *, (row_number() OVER (PARTITION BY source ORDER BY key, doc_id) - 1 + 0.5::DOUBLE) / count(*) OVER (PARTITION BY source) AS fraction FROM c),
+    p AS (SELECT *, row_number() OVER (ORDER BY fraction, coalesce('=' || source, '')) - 1 AS place, count(*) OVER () AS n FROM f)
+    SELECT doc_id, size::BIGINT AS size, text_crc32::BIGINT AS text_crc32, 'rows' AS law, (place * {SHARDS} // n)::INT AS shard,
+           place - (place * {SHARDS} // n * n + {SHARDS - 1}) // {SHARDS} AS slot, NULL::INT AS grown_shard, source FROM p"""

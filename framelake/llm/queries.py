@@ -18,6 +18,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op2_interleave": op02_interleave.ORACLE,
     "op3_trie_join": op03_trie_join.ORACLE,
     "op4_stream_dedup": op04_stream_dedup.ORACLE,
     "op6_super_kmers": op06_super_kmers.ORACLE,

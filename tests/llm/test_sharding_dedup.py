@@ -8,7 +8,7 @@ import pytest
 from compare import connect, difference
 from pyspark.sql import functions as F
 
-from framelake.llm.op02_interleave import interleave, op2_interleave
+from framelake.llm.op02_interleave import ORACLE as SHARDS, interleave, op2_interleave
 from framelake.llm.op04_stream_dedup import ORACLE, op4_stream_dedup, run_stream, stream_dedup
 from framelake.session import scratch_path
 
@@ -50,6 +50,10 @@ def test_shards_by_brute_force(spark):
     assert {r["doc_id"]: r["shard"] for r in op2_interleave(spark, SMALL).collect()} == want
 
 
+def test_shards_oracle(spark):
+    assert difference(op2_interleave(spark, SMALL), connect(SMALL), SHARDS) is None
+
+
 def test_shards_odd_rows(odd, empty):
     check_shards(interleave(odd).collect(), odd.count())
     assert interleave(odd).columns.count("shard") == 1
