@@ -26,7 +26,7 @@ from framelake.llm.common import (
 #: Sets of one size class differ in size by this factor at most.
 CLASS_BASE = 1.4
 #: Families up to this many sets and n-grams are joined in one task; larger ones in blocks.
-FAMILY_SETS, FAMILY_GRAMS, BLOCK = 1000, 4_000_000, 512
+FAMILY_SETS, FAMILY_GRAMS, BLOCK = 4000, 4_000_000, 512
 #: Frequent n-grams are looked for in about so many documents. They only steer the order of parts, never the result.
 ORDER_SAMPLE, FREQUENT = 8192, 2.0**-9
 
@@ -119,37 +119,75 @@ class Schemes:
         return np.concatenate(owners or none), np.concatenate(keys or none).astype(np.uint64)
 
 
+class Components:
+    """Union-find whose roots are the smallest members."""
+
+    def __init__(self) -> None:
+        self.parent: dict[int, int] = {}
+
+    def find(self, i: int) -> int:
+        parent = self.parent
+        root = i
+        while parent.setdefault(root, root) != root:
+            root = parent[root]
+        while parent[i] != root:
+            parent[i], i = root, parent[i]
+        return root
+
+    def union(self, i: int, j: int) -> None:
+        a, b = self.find(i), self.find(j)
+        self.parent[max(a, b)] = min(a, b)
+
+
+MIXED = object()
+
+
 class Trie:
-    """Path-compressed prefix tree of sets given as sorted places in one order. Nodes know the sizes below them."""
+    """Path-compressed prefix tree of sets given as sorted places in one order.
+
+    Nodes know the sizes below them, and a set that all sets below are connected to as far as known (or that they are mixed).
+    """
 
     def __init__(self, width: int, share: int, whole: int):
         self.width, self.share, self.whole = width, share, whole
-        self.root = [np.zeros(0, np.int64), {}, [], 1 << 60, 0]  # segment, children, sets that end here, least and most size below
+        self.known = Components()
+        # segment, children, sets that end here, least and most size below, one connected set or MIXED
+        self.root = [np.zeros(0, np.int64), {}, [], 1 << 60, 0, None]
 
     def add(self, places: np.ndarray, name: int) -> None:
         node, at, size = self.root, 0, len(places)
         while True:
             node[3], node[4] = min(node[3], size), max(node[4], size)
+            if node[5] is None:
+                node[5] = name
+            elif node[5] is not MIXED and self.known.find(node[5]) != self.known.find(name):
+                node[5] = MIXED
             if at == size:
                 node[2].append(name)
                 return
             child = node[1].get(int(places[at]))
             if child is None:
-                node[1][int(places[at])] = [places[at:], {}, [name], size, size]
+                node[1][int(places[at])] = [places[at:], {}, [name], size, size, name]
                 return
             segment = child[0]
             n = min(len(segment), size - at)
             apart = np.flatnonzero(segment[:n] != places[at : at + n])
             common = int(apart[0]) if len(apart) else n
             if common < len(segment):
-                node[1][int(places[at])] = [segment[:common], {int(segment[common]): [segment[common:], *child[1:]]}, [], child[3], child[4]]
+                node[1][int(places[at])] = [segment[:common], {int(segment[common]): [segment[common:], *child[1:]]}, [], *child[3:]]
                 child = node[1][int(places[at])]
             node, at = child, at + common
 
-    def linked(self, places: np.ndarray) -> list[int]:
+    def connect(self, places: np.ndarray, name: int) -> None:
+        """Join ``name`` to the components of all sets it is linked with. Subtrees of its own component are left out."""
+        for other in self.linked(places, name):
+            self.known.union(name, other)
+
+    def linked(self, places: np.ndarray, name: int | None = None) -> Iterator[int]:
         """Names of the sets with share * union <= whole * intersection. Partial overlaps are counted once per node, and a
-        subtree is left as soon as what remains of either set cannot reach the bound."""
-        n, out = len(places), []
+        subtree is left as soon as what remains of either set cannot reach the bound, or if all its sets are known to be
+        in the component of ``name``."""
+        n = len(places)
         inside = np.zeros(self.width + 1, bool)
         inside[places] = True
         upto = np.cumsum(inside)
@@ -157,6 +195,8 @@ class Trie:
         stack = [(self.root, 0, 0)]
         while stack:
             node, overlap, depth = stack.pop()
+            if name is not None and node[5] is not MIXED and node[5] is not None and self.known.find(node[5]) == self.known.find(name):
+                continue
             segment = node[0]
             rest = n
             if len(segment):
@@ -167,10 +207,9 @@ class Trie:
             if both * (overlap + min(rest, best - depth)) < self.share * (n + best):
                 continue
             if node[2] and both * overlap >= self.share * (n + depth):
-                out += node[2]
+                yield from node[2]
             for child in node[1].values():
                 stack.append((child, overlap, depth))
-        return out
 
 
 def ordered(sets: list[np.ndarray]) -> tuple[list[np.ndarray], int]:
@@ -199,23 +238,12 @@ def link_groups(rows: DataFrame, share: int, whole: int) -> DataFrame:
         sets, width = ordered([np.frombuffer(g, np.uint64) for g in group["grams"].to_pylist()])
         trie = Trie(width, share, whole)
         for i in np.flatnonzero(block):
+            trie.connect(sets[i], int(ids[i]))
             trie.add(sets[i], int(ids[i]))
-        root: dict[int, int] = {int(i): int(i) for i in ids}
-
-        def find(i: int) -> int:
-            while root[i] != i:
-                root[i] = root[root[i]]
-                i = root[i]
-            return i
-
-        for i in range(len(ids)):
-            mine = find(int(ids[i]))
-            for name in trie.linked(sets[i]):
-                other = find(name)
-                if other != mine:
-                    root[max(mine, other)] = mine = min(mine, other)
-        found = [(i, find(i)) for i in root]
-        return row_batch(LINKS, [[r for i, r in found if r != i], [i for i, r in found if r != i]])
+        for i in np.flatnonzero(~block):
+            trie.connect(sets[i], int(ids[i]))
+        found = [(trie.known.find(int(i)), int(i)) for i in ids]
+        return row_batch(LINKS, [[r for r, i in found if r != i], [i for r, i in found if r != i]])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting: list[pa.RecordBatch] = []

@@ -87,6 +87,24 @@ def test_trie_finds_all_links(sets, bound):
         assert sorted(trie.linked(p)) == want
 
 
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.sets(st.integers(0, 12), min_size=1, max_size=10), min_size=1, max_size=18), st.sampled_from([(85, 100), (60, 100), (40, 100)]))
+def test_trie_connects_components(sets, bound):
+    """Subtrees of the own component may be left out: the components are those of all links."""
+    places, width = join.ordered([np.array(sorted(s), np.uint64) for s in sets])
+    trie = join.Trie(width, *bound)
+    for i, p in enumerate(places):
+        trie.connect(p, i)
+        trie.add(p, i)
+    root = list(range(len(sets)))
+    for _ in sets:
+        for i, a in enumerate(sets):
+            for j, b in enumerate(sets):
+                if bound[1] * len(a & b) >= bound[0] * len(a | b):
+                    root[i] = root[j] = min(root[i], root[j])
+    assert [trie.known.find(i) for i in range(len(sets))] == root
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.integers(0, 2**32), st.integers(1, 120), st.sampled_from([(85, 100), (80, 100)]), st.booleans())
 def test_linked_sets_share_a_key(seed, size, bound, some_frequent):
