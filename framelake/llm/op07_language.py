@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framelake.llm.common import as_bytes, documents, over_batches, row_batch
+from framelake.llm.common import as_bytes, documents, over_batches, row_batch, small_batches
 
 UNKNOWN = "und"
 BUCKETS, ORDERS = 1 << 17, (1, 2, 3, 4)
@@ -19,7 +19,8 @@ BUCKETS, ORDERS = 1 << 17, (1, 2, 3, 4)
 SWITCH, FLOOR = 6.0, -8.0
 #: A language may be written in the scripts that make up at least this share of its letters in training.
 SCRIPT_SHARE = 0.01
-CACHE_TOKENS, TRAIN_TOKENS = 600_000, 200_000
+#: Tokens a worker remembers, tokens counted before their n-grams are summed, and tokens taken apart at a time.
+CACHE_TOKENS, TRAIN_TOKENS, CHUNK = 300_000, 100_000, 16_384
 
 # First and last code point of the scripts told apart (Unicode blocks); all other letters are script 0.
 SCRIPTS = [
@@ -108,8 +109,10 @@ class LanguageModel:
             self.scores[:] = [np.zeros((1, len(self.languages)), np.float32)]
             self.letters[:] = [np.zeros(1, np.int64)]
         tokens = [t for t in dict.fromkeys(tokens) if t not in self.index]
-        if not tokens:
-            return
+        for at in range(0, len(tokens), CHUNK):
+            self._learn(tokens[at : at + CHUNK])
+
+    def _learn(self, tokens: list[bytes]) -> None:
         found = units_of(tokens)
         n = len(found.letters)
         score = np.stack([np.bincount(found.unit, weights=self.weights[found.bucket, k], minlength=n) for k in range(len(self.languages))], 1)
@@ -190,12 +193,14 @@ def train(docs: DataFrame) -> LanguageModel:
         waiting: dict[str, Counter] = {}
 
         def settle() -> None:
-            for lang, words in waiting.items():
-                found = units_of(list(words))
-                times = np.fromiter(words.values(), np.float64, len(words))[found.token]
+            for lang, counted in waiting.items():
+                words, numbers = list(counted), np.fromiter(counted.values(), np.float64, len(counted))
                 have = sums.setdefault(lang, np.zeros(BUCKETS + len(NAMES)))
-                have[:BUCKETS] += np.bincount(found.bucket, weights=times[found.unit], minlength=BUCKETS)
-                have[BUCKETS:] += np.bincount(found.script, weights=times * found.letters, minlength=len(NAMES))
+                for at in range(0, len(words), CHUNK):
+                    found = units_of(words[at : at + CHUNK])
+                    times = numbers[at : at + CHUNK][found.token]
+                    have[:BUCKETS] += np.bincount(found.bucket, weights=times[found.unit], minlength=BUCKETS)
+                    have[BUCKETS:] += np.bincount(found.script, weights=times * found.letters, minlength=len(NAMES))
             waiting.clear()
 
         for batch in batches:
@@ -242,8 +247,7 @@ def identify(docs: DataFrame, model: LanguageModel, text: str = "text", prefix:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = kept.setdefault(0, LanguageModel(*shared.value))
         for batch in batches:
-            for at in range(0, max(1, batch.num_rows), 2000):
-                part = batch.slice(at, 2000)
+            for part in small_batches([batch], place):
                 units = own.words([(v.as_py() or "").encode("utf-8", "replace").split() for v in part.column(place)])
                 letters, names, rows = own.letters[0], own.languages, ([], [], [])
                 for numbers, labels in zip(units, own.label(units), strict=True):
