@@ -12,17 +12,19 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framelake.llm.common import MIX, as_bytes, documents, over_batches, row_batch, small_batches, stored
+from framelake.llm.common import MIX, as_bytes, bucket_count, documents, over_batches, row_batch, small_batches, stored
 
-#: Bytes of context, and the share of all training bytes that must meet a node for it to enter the tree. The share bounds
-#: the tree: each depth and bit has at most 1 / SHARE nodes, whatever the corpus.
-DEPTH, SHARE = 6, 2.0**-20
+#: Bytes of context, and how many of them the part of the tree has that all tasks know (at most 2**16 contexts, whatever
+#: the corpus). Longer contexts stay in Spark, dealt out by their last TOP + 1 bytes.
+DEPTH, TOP = 6, 2
 #: Words with at least this share of the training tokens are broadcast for the base score (at most 1 / WORD_SHARE of
 #: them); the others are joined.
 WORD_SHARE = 2.0**-20
 END = b"\n"
 #: Bounds of what a task holds: remembered scores (log 2), n-grams and words counted so far, bytes of text at a time.
 CACHE_BITS, FLUSH_GRAMS, FLUSH_WORDS, BATCH = 21, 1_500_000, 200_000, 2 << 20
+#: Bytes of text that ask for their n-grams together, their n-grams held at a time, and bytes of text for each bucket of contexts.
+CHUNK, CHUNK_GRAMS, BUCKET = 64 << 20, 2_000_000, 8 << 20
 
 
 def log_gamma(x: np.ndarray) -> np.ndarray:
@@ -47,8 +49,9 @@ class ContextTree:
     all depths with the posterior weights of stopping there. Every decision's two probabilities sum to one.
     """
 
-    def __init__(self, nodes: list[tuple[np.ndarray, np.ndarray, np.ndarray]]):
-        """``nodes`` lists, by depth, the sorted names (context bytes, then one byte for the node), zeros and ones."""
+    def __init__(self, nodes: list[tuple[np.ndarray, np.ndarray, np.ndarray]], longer_log: np.ndarray | None = None):
+        """``nodes`` lists, by depth, the sorted names (context bytes, then one byte for the node), zeros and ones.
+        ``longer_log`` has, for the last depth, the log of the product over longer contexts that are kept elsewhere."""
         self.names: list[np.ndarray] = []
         self.one: list[np.ndarray] = []  # KT estimate of a one
         self.stop: list[np.ndarray] = []  # weight of this depth against the longer ones
@@ -57,7 +60,7 @@ class ContextTree:
         for depth in range(len(nodes) - 1, -1, -1):
             names, zeros, ones = nodes[depth]
             own = log_kt(zeros, ones)
-            product = own
+            product = own if longer_log is None or below is not None else longer_log
             if below is not None:
                 longer, their_zeros, their_ones, their_log = below
                 at = np.searchsorted(names, longer & ((1 << 8 * (depth + 1)) - 1))
@@ -66,13 +69,14 @@ class ContextTree:
                 product = sums[0] + log_kt(np.maximum(zeros - sums[1], 0), np.maximum(ones - sums[2], 0))
             weighted = np.logaddexp(own, product) - np.log(2)
             self.names.insert(0, names)
-            self.one.insert(0, ((ones + 0.5) / (zeros + ones + 1)).astype(np.float32))
-            self.stop.insert(0, np.exp(own - np.log(2) - weighted).astype(np.float32))
+            self.one.insert(0, (ones + 0.5) / (zeros + ones + 1))
+            self.stop.insert(0, np.exp(own - np.log(2) - weighted))
             below = (names, zeros, ones, weighted)
         self.up.insert(0, np.zeros(0, np.int32))
 
-    def log_probability(self, keys: np.ndarray) -> np.ndarray:
-        """Natural log of the probability of the last byte of each n-gram after the bytes before it."""
+    def log_probability(self, keys: np.ndarray, longer: np.ndarray | None = None) -> np.ndarray:
+        """Natural log of the probability of the last byte of each n-gram after the bytes before it. ``longer`` has for each
+        n-gram and decision the probability that the longer contexts kept elsewhere give to its bit, not a number if none is there."""
         context, symbol = keys >> 8 << 8, keys & 255
         total = np.zeros(len(keys))
         deepest = np.full(len(keys), len(self.names) - 1)  # a node is there only if the node of the bits before is
@@ -87,18 +91,21 @@ class ContextTree:
                 found = names[np.minimum(at, len(names) - 1)] == wanted if len(names) else np.zeros(len(here), bool)
                 place[here[found]] = at[found]
                 deepest[here[~found]] = depth - 1
-            one = np.full(len(keys), 0.5)  # without any node
+            bit = (symbol >> (7 - level)) & 1
+            one, inner = np.full(len(keys), 0.5), np.zeros(len(keys), bool)  # without any node
+            if longer is not None:
+                inner = ~np.isnan(longer[:, level])
+                one[inner] = np.where(bit == 1, longer[:, level], 1.0 - longer[:, level])[inner]
             for depth in range(len(self.names) - 1, -1, -1):
                 who = np.flatnonzero(deepest >= depth)
                 if not len(who):
                     continue
                 at = place[who]
-                own = self.one[depth][at].astype(np.float64)
-                stop = np.where(deepest[who] > depth, self.stop[depth][at], 1.0)
+                own = self.one[depth][at]
+                stop = np.where((deepest[who] > depth) | inner[who], self.stop[depth][at], 1.0)
                 one[who] = stop * own + (1 - stop) * one[who]
                 if depth:
                     place[who] = self.up[depth][at]
-            bit = (symbol >> (7 - level)) & 1
             total += np.log(np.where(bit == 1, one, 1 - one))
         return total
 
@@ -194,9 +201,9 @@ def nodes_of(grams: np.ndarray, counts: np.ndarray, least: float) -> pa.RecordBa
     return row_batch(NODES, [np.concatenate(x) for x in (names, zeros, ones)])
 
 
-def learn_tree(texts: DataFrame, depth: int = DEPTH, share: float = SHARE) -> ContextTree:
-    """Count all n-grams of the training texts in Spark, sum them to nodes context by context, and bring the nodes with
-    enough share, a bounded number, to the driver."""
+def learn_tree(texts: DataFrame, depth: int = DEPTH, share: float = 0.0) -> ContextTree:
+    """The tree of few texts in the driver's memory: count all n-grams in Spark and sum them to nodes context by context. A
+    share leaves out nodes that fewer of the bytes meet. ``score_texts`` does not use it; it leaves the tree in Spark."""
     whole = stored(count_grams(texts, depth), "grams")
     least = max(1.0, share * (whole.agg(F.sum("n")).first()[0] or 0))
 
@@ -226,61 +233,279 @@ def learn_tree(texts: DataFrame, depth: int = DEPTH, share: float = SHARE) -> Co
     return ContextTree(nodes)
 
 
+TEXTS = pa.schema(
+    [("chunk", pa.int64()), ("row", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("scored", pa.bool_()), ("trains", pa.bool_()), ("text", pa.binary())]
+)
+
+
+def in_chunks(texts: DataFrame) -> DataFrame:
+    """Number rows (doc_id, held_out, scored, trains, text) and the runs of about CHUNK bytes they lie in."""
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk, row, held = TaskContext.get().partitionId() << 24, TaskContext.get().partitionId() << 40, 0
+        for batch in small_batches(batches, 4, BATCH):
+            n = batch.num_rows
+            yield row_batch(TEXTS, [np.full(n, chunk), np.arange(row, row + n), *batch.columns])
+            row, held = row + n, held + sum(len(v.as_buffer()) for v in batch.column(4))
+            if held >= CHUNK:
+                chunk, held = chunk + 1, 0
+
+    return over_batches(texts, number, "chunk long, row long, doc_id long, held_out boolean, scored boolean, trains boolean, text binary")
+
+
+def bucket_of(grams: np.ndarray, buckets: int) -> np.ndarray:
+    """Bucket of the last TOP + 1 bytes of context, so that all longer contexts lie in one."""
+    ends = (grams >> 8 & ((1 << 8 * (TOP + 1)) - 1)).astype(np.uint64)
+    return (ends * MIX >> np.uint64(32)).astype(np.int64) % buckets
+
+
+def turned(grams: np.ndarray) -> np.ndarray:
+    """N-grams with the newest byte of context first, so that those with a common context sort together."""
+    return grams.astype(np.uint64).byteswap() << np.uint64(8) | (grams & 255).astype(np.uint64)
+
+
+def turned_back(turns: np.ndarray) -> np.ndarray:
+    return ((turns.byteswap() & np.uint64((1 << 56) - 1)) << np.uint64(8) | (turns & np.uint64(255))).astype(np.int64)
+
+
+def packed(values: np.ndarray) -> bytes:
+    """Rising 64-bit numbers as compressed bytes of their differences."""
+    steps = np.diff(values.astype(np.uint64), prepend=np.uint64(0))
+    planes = np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8).T)
+    return len(values).to_bytes(8, "little") + pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
+
+
+def unpacked(value: bytes) -> np.ndarray:
+    n = int.from_bytes(value[:8], "little")
+    planes = np.frombuffer(pa.decompress(value[8:], 8 * n, codec="zstd", asbytes=True), np.uint8).reshape(8, n)
+    return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64)[:, 0], dtype=np.uint64)
+
+
+ASKED = pa.schema([("bucket", pa.int64()), ("chunk", pa.int64()), ("grams", pa.binary()), ("counts", pa.binary())])
+
+
+def asked_grams(texts: DataFrame, depth: int, buckets: int) -> DataFrame:
+    """Distinct n-grams of each chunk, packed by bucket, with the number of times its training texts have them."""
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: list[tuple[np.ndarray, np.ndarray]] = []
+        now = -1
+
+        def merge() -> None:
+            code, keys = pd.factorize(np.concatenate([w[0] for w in waiting]))
+            waiting[:] = [(keys, np.bincount(code, weights=np.concatenate([w[1] for w in waiting]), minlength=len(keys)))]
+
+        def rows() -> Iterator[pa.RecordBatch]:
+            if not waiting:
+                return
+            merge()
+            keys, counts = waiting.pop()
+            keys = turned(keys)
+            order = np.argsort(keys)
+            keys, counts = keys[order], counts[order].astype(np.int32)
+            bucket = bucket_of(turned_back(keys), buckets)
+            order = np.argsort(bucket, kind="stable")
+            keys, counts, bucket = keys[order], counts[order], bucket[order]
+            del order
+            first = np.flatnonzero(np.diff(bucket, prepend=-1))
+            ends = [*first[1:].tolist(), len(keys)]
+            for k in range(0, len(first), 16):
+                spans = list(zip(first[k : k + 16].tolist(), ends[k : k + 16], strict=True))
+                yield row_batch(ASKED, [bucket[first[k : k + 16]], np.full(len(spans), now), [packed(keys[i:j]) for i, j in spans], [counts[i:j].tobytes() for i, j in spans]])
+
+        for whole in batches:
+            chunks = whole.column(0).to_numpy()
+            starts = np.flatnonzero(np.diff(chunks, prepend=-1)).tolist()
+            for i, j in zip(starts, [*starts[1:], len(chunks)], strict=True):
+                if chunks[i] != now:
+                    yield from rows()
+                    now = int(chunks[i])
+                for batch in small_batches([whole.slice(i, j - i)], 2, BATCH):
+                    found, lengths = grams_of([sequence(v.as_py()) for v in batch.column(2)], depth)
+                    code, unique = pd.factorize(found)
+                    weights = np.repeat(batch.column(1).to_numpy(zero_copy_only=False).astype(np.float64), lengths)
+                    waiting.append((unique, np.bincount(code, weights=weights, minlength=len(unique))))
+                    if sum(len(w[0]) for w in waiting[1:]) > CHUNK_GRAMS // 2:
+                        merge()
+                        if len(waiting[0][0]) > CHUNK_GRAMS:
+                            yield from rows()
+        yield from rows()
+
+    return over_batches(texts.select("chunk", "trains", "text"), ask, "bucket long, chunk long, grams binary, counts binary")
+
+
+def longer_contexts(grams: np.ndarray, counts: np.ndarray, depth: int) -> tuple[np.ndarray, tuple[np.ndarray, ...]]:
+    """For n-grams of whole contexts of TOP + 1 bytes and their training counts: the probability of each of their eight bits
+    under the longer contexts (not a number if training texts have none of them), and for the nodes of the last depth of
+    the top their names, zeros, ones and the sum of the weighted logs of the contexts that are longer by one byte."""
+    symbol, top = grams & 255, min(depth, TOP)
+    said = np.full((len(grams), 8), np.nan, np.float32)
+    ends: list[tuple[np.ndarray, ...]] = []
+    inverse: list[np.ndarray] = []
+    for d in range(top, depth + 1):  # places of the contexts of each depth
+        inverse.append(np.unique(grams >> 8 & ((1 << 8 * d) - 1), return_inverse=True)[1].astype(np.int64))
+    for level in range(8):
+        bit, node = (symbol >> (7 - level)) & 1, (1 << level) | (symbol >> (8 - level))
+        one, there, below = np.zeros(len(grams)), np.zeros(len(grams), bool), None
+        for d in range(depth, top - 1, -1):
+            names, first, at = np.unique(inverse[d - top] << 8 | node, return_index=True, return_inverse=True)
+            both, ones = (np.bincount(at, weights=w, minlength=len(names)) for w in (counts, counts * bit))
+            longer = np.bincount(at[below[0]], weights=below[1], minlength=len(names)) if below is not None else None
+            if d == top:
+                met = both > 0
+                name = (grams & ((1 << 8 * (top + 1)) - 256) | node)[first]
+                ends.append((name[met], (both - ones)[met], ones[met], (np.zeros(len(names)) if longer is None else longer)[met]))
+                break
+            own = log_kt(both - ones, ones)
+            weighted = np.logaddexp(own, own if longer is None else longer) - np.log(2)
+            stop, mean = np.exp(own - np.log(2) - weighted), (ones + 0.5) / (both + 1)
+            here = both[at] > 0
+            one = np.where(here, np.where(there, stop[at] * mean[at] + (1 - stop[at]) * one, mean[at]), one)
+            there |= here
+            below = first, weighted
+        said[there, level] = np.where(bit == 1, one, 1 - one)[there]
+    return said, tuple(np.concatenate(x) for x in zip(*ends, strict=True))
+
+
+MODEL = "grams binary, said binary, chunks array<long>, places array<binary>, names array<long>, zeros array<double>, ones array<double>, longer array<double>"
+FOUND = pa.schema([("chunk", pa.int64()), ("grams", pa.binary()), ("logs", pa.binary())])
+
+
+def scored_grams(texts: DataFrame, depth: int) -> DataFrame:
+    """(chunk, n-grams, their base-2 logs of probability in 32 bits), packed, for all n-grams of each chunk. The whole tree is used: contexts
+    of up to TOP bytes pass through the driver, longer ones are summed and weighted in the bucket of their last bytes."""
+    size = texts.agg(F.sum(F.length("text") + 1)).first()[0] or 0
+    buckets = bucket_count(size, BUCKET)
+    out = pa.schema([("grams", pa.binary()), ("said", pa.binary()), ("chunks", pa.list_(pa.int64())), ("places", pa.list_(pa.binary())), ("names", pa.list_(pa.int64()))] + [(c, pa.list_(pa.float64())) for c in ("zeros", "ones", "longer")])
+
+    def model(table: pa.Table) -> pa.Table:
+        asked, numbers = table["grams"].combine_chunks(), table["counts"].combine_chunks()
+        held, waiting = 0, []
+        for k in range(len(asked)):
+            waiting.append((unpacked(asked[k].as_py()), np.frombuffer(numbers[k].as_py(), np.int32)))
+            held += len(waiting[-1][0])
+            if held > FLUSH_GRAMS or k == len(asked) - 1:
+                keys, at = np.unique(np.concatenate([w[0] for w in waiting]), return_inverse=True)
+                waiting, held = [(keys, np.bincount(at, weights=np.concatenate([w[1] for w in waiting]), minlength=len(keys)).astype(np.int64))], 0
+        turns, counts = waiting[0]
+        grams = turned_back(turns)
+        said, ends = longer_contexts(grams, counts, depth)
+        places = [packed(np.searchsorted(turns, unpacked(g.as_py()))) for g in asked]
+        row = [[packed(turns)], [said.tobytes()], [table["chunk"].to_pylist()], [places], *([x] for x in ends)]
+        return pa.Table.from_batches([row_batch(out, row)])
+
+    held = stored(asked_grams(texts, depth, buckets).groupBy("bucket").applyInArrow(model, MODEL), "context-buckets")
+    ends = held.select(F.explode(F.arrays_zip("names", "zeros", "ones", "longer")).alias("e")).select("e.*")
+    ends = ends.groupBy("names").agg(*(F.sum(c).alias(c) for c in ("zeros", "ones", "longer"))).toArrow()
+    order = np.argsort(ends["names"].to_numpy())
+    names, zeros, ones, longer = (ends[c].to_numpy()[order] for c in ("names", "zeros", "ones", "longer"))
+    nodes, top = [(names, zeros, ones)], min(depth, TOP)
+    for d in range(top - 1, -1, -1):
+        shorter, at = np.unique(nodes[0][0] & ((1 << 8 * (d + 1)) - 1), return_inverse=True)
+        nodes.insert(0, (shorter, *(np.bincount(at, weights=w, minlength=len(shorter)) for w in nodes[0][1:])))
+    tree = texts.sparkSession.sparkContext.broadcast(ContextTree(nodes, longer if depth > top else None))
+
+    def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for grams, said, chunks, places in zip(*(batch.column(k) for k in range(4)), strict=True):
+                turns = unpacked(grams.as_py())
+                grams = turned_back(turns)
+                said = np.frombuffer(said.as_buffer(), np.float32).reshape(-1, 8)
+                logs = np.empty(len(grams), np.float32)
+                for at in range(0, len(grams), 1 << 18):
+                    logs[at : at + (1 << 18)] = tree.value.log_probability(grams[at : at + (1 << 18)], said[at : at + (1 << 18)].astype(np.float64)) / np.log(2)
+                for chunk, place in zip(chunks.as_py(), places.values, strict=True):
+                    place = unpacked(place.as_py()).astype(np.int64)
+                    yield row_batch(FOUND, [[chunk], [packed(turns[place])], [logs[place].tobytes()]])
+
+    return over_batches(held.select("grams", "said", "chunks", "places"), look_up, "chunk long, grams binary, logs binary")
+
+
 SCORED = "row long, doc_id long, held_out boolean, n_tokens long, known long, base double, score double, bytes long, words array<binary>, times array<long>"
 
 
-def score_texts(docs: DataFrame, training: DataFrame, depth: int = DEPTH, share: float = SHARE, word_share: float = WORD_SHARE) -> DataFrame:
-    """Scores of all rows of ``docs`` (doc_id, held_out, text in bytes) under models learnt from ``training`` (text in bytes).
+def score_texts(docs: DataFrame, training: DataFrame | None, depth: int = DEPTH, word_share: float = WORD_SHARE) -> DataFrame:
+    """Scores of all rows of ``docs`` (doc_id, held_out, text in bytes) under models learnt from ``training`` (text in bytes), or
+    from the rows that are not held out where it is None.
 
     Returns doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte. Tokens are words and one
     end per text; the base score is the add-one unigram. An empty text has one token. Without training texts every byte
     costs eight bits. Repeated rows are scored each.
+
+    Every context of the training texts is in the tree. Texts go by chunks: the distinct n-grams of a chunk are looked up in
+    Spark once, and come back to its texts.
     """
     spark = docs.sparkSession
-    tree = learn_tree(training, depth, share)
+    texts = docs.select("doc_id", "held_out", F.lit(True).alias("scored"), (~F.col("held_out") if training is None else F.lit(False)).alias("trains"), "text")
+    if training is not None:
+        texts = texts.union(training.select(F.lit(None).cast("long"), F.lit(None).cast("boolean"), F.lit(False), F.lit(True), "text"))
+    texts = stored(in_chunks(texts), "texts")
+    training = texts.where("trains").select("text")
+    grams = scored_grams(texts, depth)
     words = stored(count_words(training), "words")
     ends = training.count()
     sums = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     tokens, distinct = sums[0] + ends, sums[1] + (1 if ends else 0)
     often = words.where(F.col("n") >= max(2, word_share * tokens)).toArrow()
-    shared = spark.sparkContext.broadcast((tree, dict(zip(often["word"].to_pylist(), often["n"].to_pylist(), strict=True))))
+    shared = spark.sparkContext.broadcast(dict(zip(often["word"].to_pylist(), often["n"].to_pylist(), strict=True)))
     schema = pa.schema(
         [("row", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("known", pa.int64()), ("base", pa.float64())]
         + [("score", pa.float64()), ("bytes", pa.int64()), ("words", pa.list_(pa.binary())), ("times", pa.list_(pa.int64()))]
     )
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree, often = shared.value
+        logs = {w: float(np.log10(n + 1)) for w, n in shared.value.items()}
         seen_keys, seen_log = np.full(1 << CACHE_BITS, -1), np.zeros(1 << CACHE_BITS)  # by hash, the newest stays
-        logs = {w: float(np.log10(n + 1)) for w, n in often.items()}
-        row = TaskContext.get().partitionId() << 40
-        for batch in small_batches(batches, 2, BATCH):
-            texts = [v.as_py() for v in batch.column(2)]
-            keys, lengths = grams_of([sequence(t) for t in texts], depth)
-            slot = (keys.astype(np.uint64) * MIX >> np.uint64(64 - CACHE_BITS)).astype(np.int64)
-            values = seen_log[slot]
-            missed = np.flatnonzero(seen_keys[slot] != keys)
-            if len(missed):
-                code, unique = pd.factorize(keys[missed])
-                fresh = tree.log_probability(unique)
-                values[missed] = fresh[code]
-                slot = (unique.astype(np.uint64) * MIX >> np.uint64(64 - CACHE_BITS)).astype(np.int64)
-                slot, last = np.unique(slot, return_index=True)
-                seen_keys[slot], seen_log[slot] = unique[last], fresh[last]
-            totals = np.add.reduceat(values, np.cumsum(lengths) - lengths) / np.log(10)
-            rows = ([], [], [], [], [])
-            for text in texts:
-                found = text.lower().split()
-                values = [logs.get(w) for w in found]
-                rare = Counter([w for w, v in zip(found, values, strict=True) if v is None])
-                times = list(rare.values())
-                for column, x in zip(rows, (len(found) + 1, len(found) - sum(times), sum(filter(None, values)), list(rare), times), strict=True):
-                    column.append(x)
-            n = len(texts)
-            yield row_batch(schema, [np.arange(row, row + n), batch.column(0), batch.column(1), *rows[:3], totals, lengths, *rows[3:]])
-            row += n
-
-    held = stored(over_batches(docs.select("doc_id", "held_out", "text"), score, SCORED), "scored")
+        now, parts, known, values_of = -1, [], np.zeros(0, np.int64), np.zeros(0, np.float32)
+
+        def runs() -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                key = batch.column(0).to_numpy() << 1 | batch.column(1).to_numpy()
+                starts = np.flatnonzero(np.diff(key, prepend=-1)).tolist()
+                for i, j in zip(starts, [*starts[1:], batch.num_rows], strict=True):
+                    yield batch.slice(i, j - i)
+
+        for run in runs():
+            if run.column(0)[0].as_py() != now:
+                now, parts = run.column(0)[0].as_py(), []
+                seen_keys[:] = -1
+            if run.column(1)[0].as_py() == 0:  # the n-grams of a chunk come before its texts
+                parts += [(turned_back(unpacked(g.as_py())), np.frombuffer(v.as_py(), np.float32)) for g, v in zip(run.column(6), run.column(7), strict=True)]
+                continue
+            if parts:
+                known, values_of = (np.concatenate(x) for x in zip(*parts, strict=True))
+                order = np.argsort(known)
+                known, values_of, parts = known[order], values_of[order], []
+            for batch in small_batches([run], 5, BATCH):
+                yield scores_of(batch.select([2, 3, 4, 5]), known, values_of, seen_keys, seen_log, logs)
+
+    def scores_of(batch: pa.RecordBatch, known: np.ndarray, values_of: np.ndarray, seen_keys: np.ndarray, seen_log: np.ndarray, logs: dict) -> pa.RecordBatch:
+        texts = [v.as_py() for v in batch.column(3)]
+        keys, lengths = grams_of([sequence(t) for t in texts], depth)
+        slot = (keys.astype(np.uint64) * MIX >> np.uint64(64 - CACHE_BITS)).astype(np.int64)
+        values = seen_log[slot]
+        missed = np.flatnonzero(seen_keys[slot] != keys)
+        if len(missed):
+            code, unique = pd.factorize(keys[missed])
+            fresh = values_of[np.searchsorted(known, unique)].astype(np.float64)
+            values[missed] = fresh[code]
+            slot = (unique.astype(np.uint64) * MIX >> np.uint64(64 - CACHE_BITS)).astype(np.int64)
+            slot, last = np.unique(slot, return_index=True)
+            seen_keys[slot], seen_log[slot] = unique[last], fresh[last]
+        totals = np.add.reduceat(values, np.cumsum(lengths) - lengths) * np.log10(2)
+        rows = ([], [], [], [], [])
+        for text in texts:
+            found = text.lower().split()
+            values = [logs.get(w) for w in found]
+            rare = Counter([w for w, v in zip(found, values, strict=True) if v is None])
+            times = list(rare.values())
+            for column, x in zip(rows, (len(found) + 1, len(found) - sum(times), sum(filter(None, values)), list(rare), times), strict=True):
+                column.append(x)
+        return row_batch(schema, [*batch.columns[:3], *rows[:3], totals, lengths, *rows[3:]])
+
+    asked = grams.select("chunk", F.lit(0).alias("kind"), *(F.lit(None).cast(t).alias(c) for c, t in (("row", "long"), ("doc_id", "long"), ("held_out", "boolean"), ("text", "binary"))), "grams", "logs")
+    asked = asked.union(texts.where("scored").select("chunk", F.lit(1), "row", "doc_id", "held_out", "text", F.lit(None).cast("binary"), F.lit(None).cast("binary")))
+    held = stored(over_batches(asked.repartition("chunk").sortWithinPartitions("chunk", "kind"), score, SCORED), "scored")
     rare = held.select("row", F.explode(F.map_from_arrays("words", "times")).alias("word", "times"))
     rare = rare.join(words, "word").groupBy("row")
     rare = rare.agg(F.sum("times").alias("more"), F.sum(F.col("times") * F.log10(F.col("n") + 1.0)).alias("add"))
@@ -301,4 +526,4 @@ def score_texts(docs: DataFrame, training: DataFrame, depth: int = DEPTH, share:
 def op5_context_tree(spark: SparkSession, folder: str) -> DataFrame:
     held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 7 == 2
     docs = documents(spark, folder).select("doc_id", held_out.alias("held_out"), as_bytes("text").alias("text"))
-    return score_texts(docs, docs.where("NOT held_out").select("text"))
+    return score_texts(docs, None)

@@ -220,3 +220,20 @@ def test_likeness_estimates_jaccard(sizes):
     assert imatch.likeness(imatch.fingerprint(a, none), imatch.fingerprint(a, none)) == 1.0
     assert 0.0 <= imatch.likeness(imatch.fingerprint(a, none), imatch.fingerprint(b, none)) <= 1.0
     assert imatch.likeness(imatch.fingerprint(a, none), imatch.fingerprint("", none)) == 0.0
+
+
+def test_scores_use_every_context(spark):
+    """With the defaults, over more than a megabyte, contexts met once still count: the scores are those of the whole tree."""
+    rng = random.Random(3)
+    texts = [" ".join("".join(rng.choices("abcdefgh", k=rng.randint(2, 9))) for _ in range(300)).encode() for _ in range(1000)]
+    texts += [b"quizzical zephyrs vex", b"", b"quizzical zephyr \xff"]
+    assert sum(map(len, texts)) > 1.2 * 2**20
+    rows = [(i, i % 5 == 0 and i < 1000 or i == 1002, bytearray(t)) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, held_out boolean, text binary").repartition(3)
+    tree = ctw.learn_tree(docs.where("NOT held_out").select("text"))
+    for training in (docs.where("NOT held_out").select("text"), None):
+        found = {r["doc_id"]: r["score"] for r in ctw.score_texts(docs, training).collect()}
+        assert len(found) == len(texts)
+        for i in (0, 1, 5, 999, 1000, 1001, 1002):
+            want = tree.log_probability(ctw.grams_of([ctw.sequence(texts[i])], ctw.DEPTH)[0]).sum() / math.log(10)
+            assert abs(found[i] - want) < 1e-5 * abs(want)
