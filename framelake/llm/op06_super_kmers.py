@@ -206,7 +206,7 @@ def repeated_ranges(texts: DataFrame, window: int = WINDOW, mer: int = MER, hot:
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, mer: int = MER, hot: int = HOT, text: str = "text") -> DataFrame:
-    """doc_id, n_words, n_removed, kept_text of every row: words covered by a window that also starts in a document with a
+    """doc_id, n_words, n_removed, kept_text, tag (hash of the text) of every row: words covered by a window that also starts in a document with a
     smaller id are removed, the others are joined by one space.
 
     Null and empty texts have no words. Rows that share an id do not remove from each other. A
@@ -215,7 +215,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, mer: int = MER, hot: i
     every = docs.select("doc_id", as_bytes(text).alias("text"))
     texts = every.where("doc_id IS NOT NULL")  # the same rows for both joins, so that Spark shuffles the texts once
     ranges = repeated_ranges(texts, window, mer, hot).groupBy("doc_id").agg(F.collect_list(F.struct("tag", "start", "windows")).alias("ranges"))
-    schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_text", pa.string())])
+    schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_text", pa.string()), ("tag", pa.int64())])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, 1):
@@ -234,11 +234,11 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, mer: int = MER, hot: i
                     words = [w for w, k in zip(words, keep.tolist(), strict=True) if k]
                 for column, x in zip(rows, (n, n - len(words), b" ".join(words).decode("utf-8", "replace")), strict=True):
                     column.append(x)
-            yield row_batch(schema, [batch.column(0), *rows])
+            yield row_batch(schema, [batch.column(0), *rows, batch.column(2)])
 
     rows = texts.join(ranges, "doc_id", "left").union(every.where("doc_id IS NULL").withColumn("ranges", F.lit(None)))
     rows = rows.select("doc_id", "text", F.xxhash64("text").alias("tag"), "ranges")
-    return over_batches(rows, cut, "doc_id long, n_words long, n_removed long, kept_text string")
+    return over_batches(rows, cut, "doc_id long, n_words long, n_removed long, kept_text string, tag long")
 
 
 def op6_super_kmers(spark: SparkSession, folder: str) -> DataFrame:
