@@ -151,13 +151,26 @@ class Weights:
 def fit(pages: list[str]) -> Weights:
     """Log shares, inside against outside of the only article or main element of each labelled page, of words by element
     and of tags by name. Words are kept positive and tags negative. Side elements, which never count, do not teach."""
-    counts: dict[bool, dict[bool, Counter]] = {a: {b: Counter() for b in (True, False)} for a in (True, False)}
+    counts: Counter = Counter()
     for page in pages:
-        for part in parts_of(page):
-            if part.side:
-                continue
+        counts.update(counts_of(page))
+    return weights_of(counts)
+
+
+def counts_of(page: str) -> Counter:
+    """Words and tags of a page outside of side elements, by (whether words, whether in the story, element)."""
+    counts: Counter = Counter()
+    for part in parts_of(page):
+        if not part.side:
             is_word = part.text is not None
-            counts[is_word][part.story][part.kind] += len(part.text.split()) if is_word else 1
+            counts[is_word, part.story, part.kind] += len(part.text.split()) if is_word else 1
+    return counts
+
+
+def weights_of(numbers: dict[tuple[bool, bool, str], int]) -> Weights:
+    counts: dict[bool, dict[bool, Counter]] = {a: {b: Counter() for b in (True, False)} for a in (True, False)}
+    for (is_word, story, kind), n in numbers.items():
+        counts[is_word][story][kind] = n
 
     def ratios(is_word: bool, low: float, high: float) -> dict[str, float]:
         inner, outer = counts[is_word][True], counts[is_word][False]
@@ -199,11 +212,27 @@ def main_text(page: str, weights: Weights) -> str:
 
 
 def learn(pages: DataFrame, html: str = "html") -> Weights:
-    """Weights from a sample of labelled pages, bounded by LABELLED_PAGES."""
-    step = max(1, pages.count() // LABELLED_PAGES)
-    some = pages.where(F.pmod(F.xxhash64(html), F.lit(step)) == 0)
+    """Weights from about LABELLED_PAGES labelled pages (all, if there are fewer): those with the smallest hashes. Pages that
+    repeat teach once. Pages are taken apart in tasks; only sums by element reach the driver."""
     once = F.size(F.split(F.lower(html), r"<(article|main)[\s>]")) == 2
-    return fit([r["html"] for r in some.where(once).select(F.col(html).alias("html")).limit(2 * LABELLED_PAGES).collect()])
+    labelled = pages.where(once).select(F.xxhash64(html).alias("hash"), as_bytes(html).alias("html"))
+    step = max(1, labelled.select("hash").distinct().count() // LABELLED_PAGES)
+    some = labelled.where(F.col("hash") <= -(2**63) + 2**64 // step - 1)
+    out = pa.schema([("hash", pa.int64()), ("is_word", pa.bool_()), ("story", pa.bool_()), ("kind", pa.string()), ("n", pa.int64())])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for batch in batches:
+            for hashed, page in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if hashed not in seen:
+                    seen.add(hashed)
+                    found = counts_of(page.as_py().decode("utf-8", "replace"))
+                    names = list(zip(*found, strict=True)) or [(), (), ()]
+                    yield row_batch(out, [[hashed] * len(found), *names, list(found.values())])
+
+    found = over_batches(some, count, "hash long, is_word boolean, story boolean, kind string, n long")
+    found = found.groupBy("hash", "is_word", "story", "kind").agg(F.max("n").alias("n")).groupBy("is_word", "story", "kind").agg(F.sum("n").alias("n"))
+    return weights_of({(r["is_word"], r["story"], r["kind"]): r["n"] for r in found.collect()})
 
 
 def extract(pages: DataFrame, weights: Weights, html: str = "html") -> DataFrame:

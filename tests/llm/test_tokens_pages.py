@@ -192,3 +192,19 @@ def test_pages_of_odd_rows(spark, weights):
     assert got[(5, ("long words " * 20000).strip())] == 1 and sum(got.values()) == 8
     assert pages.extract(frame.where("false"), weights).count() == 0
     assert pages.extract(frame, pages.learn(frame.where("false"))).count() == 8
+
+
+def test_weights_do_not_depend_on_copies(spark, monkeypatch):
+    """A page that makes up most rows teaches once, wherever its hash falls."""
+    from framelake.llm import op08_html as html
+
+    pages = [f"<html><body><div>menu {i}</div><article><p>{'story ' * (5 + i)}</p></article></body></html>" for i in range(40)]
+    frame = spark.createDataFrame([(p,) for p in pages], "html string")
+    for bound in (100, 10):
+        monkeypatch.setattr(html, "LABELLED_PAGES", bound)
+        want = html.learn(frame)
+        for hot in pages[:: 13]:
+            many = frame.union(spark.createDataFrame([(hot,)] * 200, "html string")).repartition(3)
+            assert html.learn(many) == want
+    monkeypatch.setattr(html, "LABELLED_PAGES", 100)
+    assert html.learn(frame) == html.fit(pages)
