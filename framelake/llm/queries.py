@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from framelake.llm import op01_imatch, op02_interleave, op03_trie_join, op04_stream_dedup, op05_context_tree, op06_super_kmers, op07_language, op08_html, op09_pieces, op10_packing
+from framelake.llm import op01_imatch, op02_interleave, op03_trie_join, op04_stream_dedup, op05_context_tree, op06_super_kmers, op07_language, op08_html, op09_pieces, op10_packing, op11_nra
 
 QUERIES = {
     "op1_imatch": op01_imatch.op1_imatch,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_html": op08_html.op8_html,
     "op9_pieces": op09_pieces.op9_pieces,
     "op10_packing": op10_packing.op10_packing,
+    "op11_nra": op11_nra.op11_nra,
 }
 
 ORACLES = {
@@ -22,4 +23,5 @@ ORACLES = {
     "op3_trie_join": op03_trie_join.ORACLE,
     "op4_stream_dedup": op04_stream_dedup.ORACLE,
     "op6_super_kmers": op06_super_kmers.ORACLE,
+    "op11_nra": op11_nra.ORACLE,
 }
