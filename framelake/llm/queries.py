@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from framelake.llm import op01_imatch, op02_interleave, op03_trie_join, op04_stream_dedup, op05_context_tree, op06_super_kmers, op07_language, op08_html, op09_pieces, op10_packing, op11_nra
+from framelake.llm import op01_imatch, op02_interleave, op03_trie_join, op04_stream_dedup, op05_context_tree, op06_super_kmers, op07_language, op08_html, op09_pieces, op10_packing, op11_nra, op12_mih, op13_peel
 
 QUERIES = {
     "op1_imatch": op01_imatch.op1_imatch,
@@ -16,6 +16,8 @@ QUERIES = {
     "op9_pieces": op09_pieces.op9_pieces,
     "op10_packing": op10_packing.op10_packing,
     "op11_nra": op11_nra.op11_nra,
+    "op12_mih": op12_mih.op12_mih,
+    "op13_peel": op13_peel.op13_peel,
 }
 
 ORACLES = {
@@ -24,4 +26,5 @@ ORACLES = {
     "op4_stream_dedup": op04_stream_dedup.ORACLE,
     "op6_super_kmers": op06_super_kmers.ORACLE,
     "op11_nra": op11_nra.ORACLE,
+    "op13_peel": op13_peel.ORACLE,
 }
