@@ -6,9 +6,11 @@ import pytest
 from compare import connect, difference
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from framelake.llm import op03_trie_join as join
 from framelake.llm import op06_super_kmers as kmers
+from framelake.llm.common import as_bytes
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -156,7 +158,14 @@ def test_repeats_by_brute_force(spark, hot, seed):
     rows = [(rng.randrange(25), " ".join(w for _ in range(rng.randint(0, 5)) for w in (*rng.choice(passages), f"u{rng.randrange(9)}"))) for _ in range(40)]
     rows.append((None, " ".join(passages[0] * 2)))
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    assert Counter(map(tuple, kmers.remove_repeats(docs, 8, 3, hot).collect())) == brute_removed(rows, 8)
+    assert_removed(kmers.remove_repeats(docs, 8, 3, hot), docs, brute_removed(rows, 8))
+
+
+def assert_removed(got, docs, want):
+    """The rows are those of brute force, and the tag of each is the hash of the text it was cut from."""
+    assert Counter(map(tuple, got.drop("tag").collect())) == want
+    tags = docs.select("doc_id", F.xxhash64(as_bytes("text")).alias("tag"))
+    assert Counter(map(tuple, got.select("doc_id", "tag").collect())) == Counter(map(tuple, tags.collect()))
 
 
 def test_repeats_oracle(spark):
@@ -165,6 +174,5 @@ def test_repeats_oracle(spark):
 
 def test_repeats_of_odd_rows(odd, empty):
     rows = [(r["doc_id"], r["text"]) for r in odd.collect()]
-    got = Counter(map(tuple, kmers.remove_repeats(odd, 4, 2).collect()))
-    assert got == brute_removed(rows, 4)
+    assert_removed(kmers.remove_repeats(odd, 4, 2), odd, brute_removed(rows, 4))
     assert kmers.remove_repeats(empty).count() == 0
