@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from framelake.functions.boxes import Box, Geometry, crop_window, finite_triplet, inverse_map
+from framelake.functions.boxes import Box, Geometry, finite_triplet, inverse_map
 from framelake.functions.names import class_folder, crop_name
 from framelake.functions.records import (
     camera_time,
@@ -16,9 +16,9 @@ from framelake.functions.records import (
     target_class,
     track_item,
 )
-from framelake.operators.artifacts import content_digest, run_metrics, tree_digest
+from framelake.operators.artifacts import run_metrics
+from framelake.operators.chips import cut_chips, sorted_boxes
 from framelake.operators.lookup import small_or_shuffled
-from framelake.operators.pixels import cut_dense
 from framelake.operators.rules import (
     MAX_TARGETS_PER_FRAME,
     Rule,
@@ -161,60 +161,19 @@ def write_records(records: DataFrame, path: str) -> None:
     records.write.mode("errorifexists").option("ignoreNullFields", "false").json(path)
 
 
-def bundle_members(frames: DataFrame) -> DataFrame:
-    """Frames with their member name and content digest."""
-    return frames.withColumn("name", F.format_string("frames/%06d.bin", "frame_id")).withColumn(
-        "sha256", content_digest(F.col("pixels"))
-    )
-
-
-def bundle_digest(members: DataFrame) -> DataFrame:
-    """One digest per source; equal frames give an equal digest on every run."""
-    return tree_digest(members, "frame_id", "sha256", ["source"])
-
-
-def write_bundle(frames: DataFrame, path: str) -> None:
-    bundle_members(frames).write.mode("errorifexists").parquet(path)
-
-
 def crop_records(frames: DataFrame, detections: DataFrame, keys: list[str] = FRAME_KEYS) -> DataFrame:
-    """Chips of all detections, cut where the frame is read.
+    """Chips of all detections, cut in the task that holds the frame.
 
-    ``detections`` has boxes in the filter plane, class type and the ordinal
-    ``target_index``, which also bounds how many windows one row carries. The boxes are measured
-    and travel to the pixels; only where they are too many for that, pixels are shuffled, once
-    per 256 detections of a frame.
+    ``detections`` has boxes in the frame's pixels, class type and the ordinal ``target_index``. They are
+    written sorted by frame and read by the tasks that need them, so no pixel is shuffled at any number of boxes.
     """
-    chunk = F.floor(F.col("target_index") / MAX_TARGETS_PER_FRAME)
-    boxes = (
-        detections.groupBy(*keys, chunk.alias("chunk"))
-        .agg(F.sort_array(F.collect_list(F.struct("target_index", "type", *Box._fields))).alias("boxes"))
-        .drop("chunk")
-    )
-    joined = frames.select(*keys, "width", "height", "pixels").join(small_or_shuffled(boxes), keys)
-
-    def window(b: Column) -> Column:
-        rect = crop_window(Box(*(b[e] for e in Box._fields)), F.col("width"), F.col("height"))
-        return F.struct(
-            b["target_index"].alias("target_index"),
-            b["type"].alias("type"),
-            *[column.cast("int").alias(edge) for edge, column in zip(Box._fields, rect)],
-        )
-
-    windows = F.filter(
-        F.transform("boxes", window), lambda r: (r["x_max"] > r["x_min"]) & (r["y_max"] > r["y_min"])
-    )
-    cutout = joined.withColumn("windows", windows).withColumn(
-        "chips", cut_dense("pixels", "width", "height", "windows")
-    )
-    return cutout.select(*keys, F.explode(F.arrays_zip("windows", "chips")).alias("c")).select(
-        *keys,
-        class_folder(F.col("c.windows.type")).alias("class_dir"),
-        crop_name(F.col("frame_id"), F.col("c.windows.target_index")).alias("name"),
-        (F.col("c.windows.x_max") - F.col("c.windows.x_min")).alias("width"),
-        (F.col("c.windows.y_max") - F.col("c.windows.y_min")).alias("height"),
-        F.col("c.chips").alias("pixels"),
-    )
+    return named_chips(cut_chips(frames, sorted_boxes(detections, keys)), keys)
+
+
+def named_chips(chips: DataFrame, keys: list[str] = FRAME_KEYS) -> DataFrame:
+    """Chips with the folder of their class and their name, in place of index and type."""
+    folder, name = class_folder(F.col("type")).alias("class_dir"), crop_name(F.col("frame_id"), F.col("target_index")).alias("name")
+    return chips.select(*keys, folder, name, "width", "height", "pixels")
 
 
 def write_crops(crops: DataFrame, path: str) -> None:
@@ -237,15 +196,13 @@ def require_reconciled(records: DataFrame, meta: DataFrame, frame_count: int) ->
 
 
 __all__ = [
-    "bundle_digest",
-    "bundle_members",
     "check_sequence",
     "crop_records",
+    "named_chips",
     "navigation_records",
     "require_reconciled",
     "run_row",
     "target_records",
-    "write_bundle",
     "write_crops",
     "write_records",
 ]

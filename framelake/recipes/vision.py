@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from framelake.functions.binary import pts_ns
 from framelake.functions.boxes import Box, crop_window
+from framelake.functions.names import file_name
 from framelake.operators import pixels, tiles
-from framelake.operators.artifacts import frames_per_second
+from framelake.operators.artifacts import frames_per_second, tree_digest
 from framelake.operators.spatial import suppress
-from framelake.plans import products
+from framelake.operators.windows import sequence_number
+from framelake.plans import bundles, products
 from framelake.plans.detector import detect
 from framelake.recipes.relations import BEST_FIRST, IOU_SQL, NAV_SQL, best_first, flat_navigation, navigation_view
 from framelake.recipes.tables import TARGET_ORDER, Tables, recipe
@@ -150,22 +153,72 @@ def _dense_frames(t: Tables):
     return images.join(labels, "frame_id")
 
 
+BUNDLE_SQL = """, b AS (SELECT 'l' || label AS source, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS frame_id, vec_id FROM embeddings),
+    m AS (SELECT source, b.frame_id, sha256(unhex(string_agg(printf('%02X', v::BIGINT), '' ORDER BY y, x))) AS sha256
+          FROM pixels JOIN b ON pixels.frame_id = b.vec_id GROUP BY 1, 2)"""
 LEVEL_SQL = """l{n} AS (SELECT source, node // 1024 AS node, sha256(string_agg(digest, '' ORDER BY node)) AS digest FROM l{p} GROUP BY 1, 2)"""
 
 
 @recipe(
     "k5_frame_bundle",
-    """, b AS (SELECT vec_id AS frame_id, 'l' || label AS source FROM embeddings),
-        l0 AS (SELECT source, frame_id AS node, sha256(unhex(string_agg(printf('%02X', v::BIGINT), '' ORDER BY y, x))) AS digest
-               FROM pixels JOIN b USING (frame_id) GROUP BY 1, 2), """
+    BUNDLE_SQL
+    + ", l0 AS (SELECT source, frame_id AS node, sha256 AS digest FROM m), "
     + ", ".join(LEVEL_SQL.format(n=i, p=i - 1) for i in range(1, 5))
     + " SELECT source, digest AS bundle_sha256 FROM l4",
     "pixels",
 )
 def frame_bundle(t: Tables):
-    path = scratch_path(t.spark, "bundle")
-    products.write_bundle(_dense_frames(t), path)
-    return products.bundle_digest(t.spark.read.parquet(path))
+    """Digest of each source over the digests of its members' pixels, read from the files of the bundle."""
+    members = bundles.bundle_members(t.spark, _bundle(t))
+    return tree_digest(members, "frame_id", "sha256", ["source"])
+
+
+def _bundle_frames(t: Tables):
+    """The dense frames with ids 0..n-1 in each source, some with presentation times."""
+    frames = _dense_frames(t).withColumnRenamed("frame_id", "vec_id")
+    return sequence_number(frames, ("source",), "vec_id", "frame_id").drop("vec_id")
+
+
+def _bundle(t: Tables) -> str:
+    path, frame = scratch_path(t.spark, "bundle"), F.col("frame_id")
+    timed = frame % 4 != 3
+    kinds = {"telemetry": timed, "geometry": F.lit(True), "detection": frame % 5 == 0}
+    members = bundles.members_of(_bundle_frames(t), kinds, F.when(timed, pts_ns(frame, 30.0)), F.when(timed, F.lit(33333333).cast("bigint")))
+    bundles.write_bundle(members, path, {"request_id": "r-1", "sensor_id": "cam"})
+    return path
+
+
+@recipe(
+    "k5_frame_metadata",
+    BUNDLE_SQL
+    + """ SELECT source, frame_id, printf('%06d.bin', frame_id) AS name, 64::BIGINT AS size_bytes, sha256, 8 AS width, 8 AS height, 'GRAY8' AS format,
+               CASE WHEN frame_id % 4 <> 3 THEN frame_id * 33333333 END AS pts_ns, CASE WHEN frame_id % 4 <> 3 THEN 33333333::BIGINT END AS duration_ns,
+               concat_ws(',', CASE WHEN frame_id % 4 <> 3 THEN 'telemetry' END, 'geometry', CASE WHEN frame_id % 5 = 0 THEN 'detection' END) AS kinds
+        FROM m""",
+    "pixels",
+)
+def bundle_frame_metadata(t: Tables):
+    members = bundles.bundle_members(t.spark, _bundle(t))
+    return members.select(
+        "source", "frame_id", file_name(F.col("name")).alias("name"), "size_bytes", "sha256", "metadata.video.width", "metadata.video.height",
+        "metadata.video.format", "metadata.pts_ns", "metadata.duration_ns", F.array_join("metadata.meta_kinds", ",").alias("kinds"),
+    )
+
+
+@recipe(
+    "k5_manifest",
+    BUNDLE_SQL
+    + """ SELECT 'r-1' AS request_id, 'cam' AS sensor_id, count(DISTINCT source) AS source_count, count(*) AS frame_count, 64 * count(*) AS size_bytes,
+               0 AS first_index, (SELECT max(frame_id) FROM m WHERE source = (SELECT max(source) FROM m)) AS last_index, 0::BIGINT AS unsound FROM m""",
+    "pixels",
+)
+def bundle_manifest(t: Tables):
+    path = _bundle(t)
+    found = bundles.read_manifest(t.spark, path)
+    row = [found[k] for k in ("request_id", "sensor_id", "source_count", "frame_count", "size_bytes")]
+    row += [found[f"{end}_frame_metadata"]["index"] for end in ("first", "last")]
+    names = "request_id string, sensor_id string, source_count bigint, frame_count bigint, size_bytes bigint, first_index bigint, last_index bigint"
+    return t.spark.createDataFrame([[*row, bundles.verify_bundle(t.spark, path).count()]], f"{names}, unsound bigint")
 
 
 CROP_BOXES = [
@@ -355,6 +408,34 @@ def suppress_all(t: Tables):
     return kept.select("frame", "class_index", "score", "l_orderkey", "l_partkey")
 
 
+LARGE_SQL = """SELECT l_orderkey % 30 AS frame, {score} AS score, (l_partkey % 400)::DOUBLE AS x_min, (l_suppkey % 400)::DOUBLE AS y_min,
+    l_partkey % 400 + l_quantity AS x_max, l_suppkey % 400 + l_quantity AS y_max, l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity FROM lineitem"""
+
+
+def _large(t: Tables, score: str):
+    """A few frames of a thirtieth of all line items each: over the size of one row from the second smallest scale on."""
+    boxes = t.lineitem.selectExpr(
+        "l_orderkey % 30 AS frame", f"{score} AS score", "CAST(l_partkey % 400 AS DOUBLE) AS x_min", "CAST(l_suppkey % 400 AS DOUBLE) AS y_min",
+        "l_partkey % 400 + l_quantity AS x_max", "l_suppkey % 400 + l_quantity AS y_max", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
+    )
+    kept = suppress(boxes, ["frame"], best_first(), top_k=None)
+    return kept.select("frame", "score", "l_orderkey", "l_partkey", "l_linenumber")
+
+
+LARGE_KEPT = "frame, score, l_orderkey, l_partkey, l_linenumber"
+
+
+@recipe("l7_suppress_large", "WITH" + greedy_sql(LARGE_SQL.format(score="l_extendedprice"), "frame", BEST_FIRST, LARGE_KEPT, None, False))
+def suppress_large(t: Tables):
+    return _large(t, "l_extendedprice")
+
+
+@recipe("l7_suppress_ties", "WITH" + greedy_sql(LARGE_SQL.format(score="l_tax"), "frame", BEST_FIRST, LARGE_KEPT, None, False))
+def suppress_ties(t: Tables):
+    """Nine different scores only."""
+    return _large(t, "l_tax")
+
+
 @recipe(
     "l7_decode_and_suppress",
     "WITH" + greedy_sql(DECODED_SQL, "label", "-score, vec_id", "vec_id, label, score", 500, False),

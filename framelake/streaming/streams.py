@@ -1,21 +1,36 @@
 """Incremental twins of the sequence and uniqueness checks.
 
-State is kept by built-in aggregations keyed so that no source gathers in one task: ids are
-held as bitmaps per (source, block of ids), counts are pre-aggregated before the shuffle.
-Results go to a folder per batch id, overwritten when a batch is repeated, so that a failed
-and restarted query leaves the same tables.
+Rows are reduced in the tasks that read them (to runs of ids, to counts), so a source with most of the rows sends a few
+rows per task to its state. State is bounded: intervals instead of ids, one number per source, tracks of open frames only.
+Results go to a folder per batch id, overwritten when a batch is repeated, so that a failed and restarted query leaves the
+same tables.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import re
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StructType
 
-from framelake.operators.rules import fail_if_any
+from framelake.operators.rules import RuleViolation, fail_if_any
 from framelake.operators.windows import sequence_number
+from framelake.sources.paths import claim, qualified
+
+# State of the Python operators lives in RocksDB on the executors' disks and in the stream's checkpoint.
+STATE_CONF = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
+SNAPSHOT_EVERY = 16
 
 
 def read_files(spark: SparkSession, path: str, schema: StructType | str, files_per_trigger: int | None = None) -> DataFrame:
@@ -28,6 +43,8 @@ def read_files(spark: SparkSession, path: str, schema: StructType | str, files_p
 
 def run_to_end(stream: DataFrame, checkpoint: str, handle: Callable[[DataFrame, int], None], mode: str = "append") -> None:
     """Process what is available in batches, then stop (end of stream)."""
+    for key, value in STATE_CONF.items():
+        stream.sparkSession.conf.set(key, value)
     query = (
         stream.writeStream.outputMode(mode)
         .option("checkpointLocation", checkpoint)
@@ -51,46 +68,134 @@ def to_batches(path: str) -> Callable[[DataFrame, int], None]:
     return write
 
 
-def latest(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
-    """Last value of every key from the batches of an update stream."""
-    rows = spark.read.parquet(path)
-    values = [c for c in rows.columns if c not in (*keys, "batch")]
-    newest = F.max_by(F.struct(*values), "batch").alias("v")
-    return rows.groupBy(*keys).agg(newest).select(*keys, "v.*")
+class KeyedTable:
+    """Values per key below a path: each batch writes the keys it changed, every SNAPSHOT_EVERY batches all are written once.
 
+    Reading takes the last snapshot and the changes behind it, however many batches there were. A batch that is repeated
+    replaces what it wrote.
+    """
 
-# ---- contiguity of frame ids --------------------------------------------------------------------
+    def __init__(self, path: str, keys: list[str]):
+        self.path, self.keys = path, keys
+
+    def _read(self, spark: SparkSession, kind: str, wanted: Callable[[int], bool]) -> DataFrame | None:
+        try:
+            rows = spark.read.parquet(f"{self.path}/{kind}")
+        except AnalysisException:  # nothing was written yet
+            return None
+        batches = [f for f in rows.select("batch").distinct().collect() if wanted(f["batch"])] if kind == "snapshots" else None
+        if batches is not None:
+            last = max((f["batch"] for f in batches), default=None)
+            return None if last is None else rows.where(F.col("batch") == last)
+        return rows
+
+    def read(self, spark: SparkSession, before: int | None = None) -> DataFrame | None:
+        """Value of every key, from batches before a given one; None where nothing was written."""
+        early = lambda batch: before is None or batch < before
+        snapshot = self._read(spark, "snapshots", early)
+        since = -1 if snapshot is None else snapshot.first()["batch"]
+        changes = self._read(spark, "changes", early)
+        if changes is not None:
+            changes = changes.where((F.col("batch") > since) & (F.lit(True) if before is None else F.col("batch") < before))
+        parts = [p for p in (snapshot, changes) if p is not None]
+        if not parts:
+            return None
+        rows = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+        values = [c for c in rows.columns if c not in (*self.keys, "batch")]
+        newest = F.max_by(F.struct(*values), "batch").alias("v")
+        return rows.groupBy(*self.keys).agg(newest).select(*self.keys, "v.*")
+
+    def write(self, rows: DataFrame, batch: int) -> None:
+        rows.write.mode("overwrite").parquet(batch_folder(f"{self.path}/changes", batch))
+        if (batch + 1) % SNAPSHOT_EVERY == 0:
+            self.read(rows.sparkSession, batch + 1).write.mode("overwrite").parquet(batch_folder(f"{self.path}/snapshots", batch))
+
+
+def to_table(path: str, keys: list[str]) -> Callable[[DataFrame, int], None]:
+    """Batch handler of an update stream: keeps the last value of every key."""
+    return KeyedTable(path, keys).write
 
 
-def id_blocks(stream: DataFrame, keys: list[str], frame: str = "frame_id") -> DataFrame:
-    """Update stream of id bitmaps: one row per key and block of 32768 ids."""
-    place = F.col(frame) + 1
-    return (
-        stream.withColumn("block", F.bitmap_bucket_number(place))
-        .groupBy(*keys, "block")
-        .agg(
-            F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("ids"),
-            F.min(frame).alias("first_id"),
-            F.max(frame).alias("last_id"),
-            F.count(F.lit(1)).alias("n_rows"),
-        )
-    )
+# ---- contiguity of frame ids --------------------------------------------------------------------
 
 
-def contiguity_of_blocks(blocks: DataFrame, keys: list[str]) -> DataFrame:
-    """Verdict per key from the block rows; equal to the batch contiguity check."""
-    merged = blocks.groupBy(*keys).agg(
-        F.min("first_id").alias("first_id"),
-        F.max("last_id").alias("last_id"),
-        F.sum(F.bitmap_count("ids")).alias("n_ids"),
-        F.sum("n_rows").alias("n_rows"),
-    )
-    ok = (
-        (F.col("first_id") == 0)
-        & (F.col("last_id") == F.col("n_ids") - 1)
-        & (F.col("n_ids") == F.col("n_rows"))
-    )
-    return merged.withColumn("contiguous", ok)
+def id_runs(stream: DataFrame, keys: list[str], frame: str = "frame_id") -> DataFrame:
+    """Runs of consecutive ids in what a task reads, as (keys, first, last, n); an id that is there n > 1 times is a run of its own."""
+    rows = stream.select(*keys, F.col(frame).cast("bigint").alias("first")).where("first IS NOT NULL")
+
+    def reduce(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            parts = []
+            for key, group in batch.groupby(keys, dropna=False, sort=False):
+                ids, n = np.unique(group["first"].to_numpy(), return_counts=True)
+                cut = np.flatnonzero((np.diff(ids) != 1) | (n[1:] > 1) | (n[:-1] > 1)) + 1
+                starts, ends = np.append(0, cut), np.append(cut, len(ids)) - 1
+                runs = {"first": ids[starts], "last": ids[ends], "n": np.add.reduceat(n, starts)}
+                parts.append(pd.DataFrame({**dict(zip(keys, key, strict=True)), **runs}))
+            if parts:
+                yield pd.concat(parts)
+
+    types = ", ".join(f"`{k}` {stream.schema[k].dataType.simpleString()}" for k in keys)
+    return rows.mapInPandas(reduce, f"{types}, first bigint, last bigint, n bigint")
+
+
+def merged_intervals(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(first, last) of the union of closed intervals, and (first, last) of what lies in more than one of them."""
+    order = np.lexsort((last, first))
+    first, last = first[order], last[order]
+    so_far = np.maximum.accumulate(last)
+    before = np.append(np.iinfo(np.int64).min // 2, so_far[:-1])
+    starts = np.flatnonzero(first > before + 1)
+    again = first <= before
+    return first[starts], so_far[np.append(starts[1:], len(first)) - 1], first[again], np.minimum(last, before)[again]
+
+
+class IdIntervals(StatefulProcessor):
+    """Ids of one source as intervals: the state has one interval, and one more for every open hole."""
+
+    STATE = "first array<bigint>, last array<bigint>, n_rows bigint"
+
+    def __init__(self, keys: list[str]):
+        self.keys = keys
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("intervals", self.STATE)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        held = self.state.get() if self.state.exists() else ([], [], 0)
+        runs = pd.concat(list(rows))
+        first = np.concatenate([np.array(held[0], np.int64), runs["first"].to_numpy(np.int64)])
+        last = np.concatenate([np.array(held[1], np.int64), runs["last"].to_numpy(np.int64)])
+        n_rows = int(held[2]) + int(runs["n"].sum())
+        low, high, again, until = merged_intervals(first, last)
+        self.state.update((low.tolist(), high.tolist(), n_rows))
+        many = runs[runs["n"] > runs["last"] - runs["first"] + 1]
+        repeated = sorted({*zip(again.tolist(), until.tolist(), strict=True), *zip(many["first"].tolist(), many["last"].tolist(), strict=True)})
+        n_ids = int((high - low + 1).sum())
+        row = dict(zip(self.keys, key, strict=True)) | {
+            "first_id": int(low[0]),
+            "last_id": int(high[-1]),
+            "n_ids": n_ids,
+            "n_rows": n_rows,
+            "n_holes": len(low) - 1,
+            "contiguous": bool(low[0] == 0 and len(low) == 1 and n_ids == n_rows),
+            "repeated": [{"first": a, "last": b} for a, b in repeated],
+        }
+        yield pd.DataFrame([row])
+
+    def close(self) -> None:
+        pass
+
+
+def contiguity_stream(stream: DataFrame, keys: list[str], frame: str = "frame_id") -> DataFrame:
+    """Update stream of the contiguity verdict per key, equal to the batch check at the end of the stream.
+
+    ``repeated`` names the intervals of ids that came again in this batch, however late. The state of a key grows with its
+    open holes, not with its frames.
+    """
+    types = ", ".join(f"`{k}` {stream.schema[k].dataType.simpleString()}" for k in keys)
+    out = f"{types}, first_id bigint, last_id bigint, n_ids bigint, n_rows bigint, n_holes bigint, contiguous boolean, repeated array<struct<first: bigint, last: bigint>>"
+    return id_runs(stream, keys, frame).groupBy(*keys).transformWithStateInPandas(IdIntervals(keys), outputStructType=out, outputMode="Update", timeMode="None")
 
 
 # ---- frame numbers --------------------------------------------------------------------------------
@@ -99,27 +204,25 @@ def contiguity_of_blocks(blocks: DataFrame, keys: list[str]) -> DataFrame:
 def number_batches(path: str, keys: list[str], order: str, name: str = "frame_id") -> Callable[[DataFrame, int], None]:
     """Batch handler that numbers rows per key in arrival order, from 0.
 
-    Numbers continue from the counts of earlier batches, which are kept beside the output;
-    a repeated batch starts from the same counts and writes the same numbers.
+    Numbers continue from the counts of earlier batches, a keyed table beside the output: a batch writes the counts of its
+    own keys only. A repeated batch starts from the same counts and writes the same numbers.
     """
+    counts = KeyedTable(f"{path}/counts", keys)
 
     def handle(rows: DataFrame, batch: int) -> None:
-        spark = rows.sparkSession
         rows = rows.persist()
-        ranked = sequence_number(rows, tuple(keys), order, "_position")
-        counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("seen"))
-        if batch > 0:
-            before = spark.read.parquet(f"{path}/counts/batch={batch - 1}")
-            ranked = ranked.join(before, keys, "left")
-            counts = (
-                counts.unionByName(before).groupBy(*keys).agg(F.sum("seen").alias("seen"))
-            )
-        else:
-            ranked = ranked.withColumn("seen", F.lit(0).cast("bigint"))
-        numbered = ranked.withColumn(name, F.col("_position") + F.coalesce("seen", F.lit(0)))
-        numbered.drop("_position", "seen").write.mode("overwrite").parquet(batch_folder(f"{path}/rows", batch))
-        counts.write.mode("overwrite").parquet(f"{path}/counts/batch={batch}")
-        rows.unpersist()
+        try:
+            ranked = sequence_number(rows, tuple(keys), order, "_position")
+            changed = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_new"))
+            before = counts.read(rows.sparkSession, batch)
+            if before is None:
+                before = changed.select(*keys, F.lit(0).cast("bigint").alias("seen")).where("false")
+            start = F.coalesce("seen", F.lit(0))
+            numbered = ranked.join(before, keys, "left").withColumn(name, F.col("_position") + start)
+            numbered.drop("_position", "seen").write.mode("overwrite").parquet(batch_folder(f"{path}/rows", batch))
+            counts.write(changed.join(before, keys, "left").select(*keys, (F.col("_new") + start).alias("seen")), batch)
+        finally:
+            rows.unpersist()
 
     return handle
 
@@ -127,9 +230,40 @@ def number_batches(path: str, keys: list[str], order: str, name: str = "frame_id
 # ---- limits and duplicates ---------------------------------------------------------------------------
 
 
-def running_counts(stream: DataFrame, keys: list[str], name: str = "frame_count") -> DataFrame:
-    """Update stream of rows per key; serves the frame limit and duplicate tracks."""
-    return stream.groupBy(*keys).agg(F.count(F.lit(1)).alias(name))
+class FrameCounter(StatefulProcessor):
+    """Rows of one source; over its limit the stream fails. Sources that fell silent are forgotten after ``idle_ms``."""
+
+    def __init__(self, keys: list[str], limit: int | None, idle_ms: int | None):
+        self.keys, self.limit, self.idle_ms = keys, limit, idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.count = handle.getValueState("count", "n bigint", self.idle_ms)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        n = sum(int(part["n"].sum()) for part in rows) + (self.count.get()[0] if self.count.exists() else 0)
+        if self.limit is not None and n > self.limit:
+            raise RuleViolation(f"source {key} has {n} frames, more than {self.limit} frames")
+        self.count.update((n,))
+        yield pd.DataFrame([dict(zip(self.keys, key, strict=True)) | {"frame_count": n}])
+
+    def close(self) -> None:
+        pass
+
+
+def frame_counts(stream: DataFrame, keys: list[str], limit: int | None = None, idle_ms: int | None = None) -> DataFrame:
+    """Update stream of rows per key. With a ``limit`` the batch that breaks it fails, and so does its repetition.
+
+    The state is one number per key; with ``idle_ms`` it goes when a key had no rows for so long.
+    """
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield batch.groupby(keys, dropna=False, sort=False)["n"].sum().reset_index()
+
+    types = ", ".join(f"`{k}` {stream.schema[k].dataType.simpleString()}" for k in keys)
+    counted = stream.select(*keys, F.lit(1).cast("bigint").alias("n")).mapInPandas(count, f"{types}, n bigint").groupBy(*keys)
+    time = "None" if idle_ms is None else "ProcessingTime"
+    return counted.transformWithStateInPandas(FrameCounter(keys, limit, idle_ms), outputStructType=f"{types}, frame_count bigint", outputMode="Update", timeMode=time)
 
 
 def limit_violations(counts: DataFrame, keys: list[str], limit: Column | int) -> DataFrame:
@@ -139,32 +273,57 @@ def limit_violations(counts: DataFrame, keys: list[str], limit: Column | int) ->
     return over.withColumn("_n", F.row_number().over(window)).where("_n = 1").drop("_n")
 
 
-def limited_batches(path: str, limit: int, count: str = "frame_count") -> Callable[[DataFrame, int], None]:
-    """Handler of an update stream of counts: writes the batch, then fails the stream if a key is over its limit.
+def limited_batches(path: str, keys: list[str], limit: int, count: str = "frame_count") -> Callable[[DataFrame, int], None]:
+    """Handler of an update stream of counts: records the batch, then fails the stream if a key is over its limit.
 
-    The batch that breaks the limit is on record, later ones are not taken in, and a restart fails again.
+    Unlike a limit in the state operator, the batch that breaks the limit is on record. Later ones are not taken in, and a
+    restart fails again.
     """
-    write = to_batches(path)
+    table = KeyedTable(path, keys)
 
     def handle(rows: DataFrame, batch: int) -> None:
         rows = rows.persist()
-        write(rows, batch)
-        fail_if_any(rows.where(F.col(count) > limit), f"more than {limit} frames")
-        rows.unpersist()
+        try:
+            table.write(rows, batch)
+            fail_if_any(rows.where(F.col(count) > limit), f"more than {limit} frames")
+        finally:
+            rows.unpersist()
 
     return handle
 
 
+def track_counts(stream: DataFrame, keys: list[str], frame: str, track: str, clock: str, delay: str) -> DataFrame:
+    """Update stream of rows per (keys, frame, track) of open frames.
+
+    ``clock`` is the time of a frame, the same for all its rows. A frame is open until rows later by more than ``delay``
+    were seen; then its state goes. Rows that come even later are dropped by the watermark (and counted in the query's progress).
+    """
+    return stream.withWatermark(clock, delay).groupBy(*keys, frame, track, clock).agg(F.count(F.lit(1)).alias("copies"))
+
+
+def duplicate_batches(path: str, keys: list[str]) -> Callable[[DataFrame, int], None]:
+    """Handler of ``track_counts``: records tracks that are in a frame more than once; most batches write nothing."""
+    table = KeyedTable(path, keys)
+    return lambda rows, batch: table.write(rows.where("copies > 1").select(*keys, "copies"), batch)
+
+
 # ---- all or nothing publication ----------------------------------------------------------------------
 
 
 def publish(spark: SparkSession, staging: str, runs: str, run_id: str) -> None:
-    """Mark a finished run. Written once, after the stream ended without error."""
+    """Mark a finished run. Written once, after the stream ended without error; a second publication of a run id fails."""
     written = spark.read.parquet(staging).agg(F.count(F.lit(1)).alias("rows"))
     status = F.when(F.col("rows") > 0, "completed").otherwise("no_result")
-    written.select(
-        F.lit(run_id).alias("run_id"), F.lit(staging).alias("path"), status.alias("status"), "rows"
-    ).coalesce(1).write.mode("append").parquet(runs)
+    row = written.select(F.lit(run_id).alias("run_id"), F.lit(staging).alias("path"), status.alias("status"), "rows").first()
+    claim_run(spark, runs, run_id)
+    spark.createDataFrame([row], "run_id string, path string, status string, rows bigint").coalesce(1).write.mode("append").parquet(runs)
+
+
+def claim_run(spark: SparkSession, runs: str, run_id: str) -> None:
+    """Of all that publish a run id, one gets past this point."""
+    safe = re.sub(r"[^A-Za-z0-9.-]", lambda m: f"%{ord(m[0]):x}%", run_id)
+    if not claim(spark, f"{qualified(spark, runs)}/_published/_{safe}"):
+        raise RuleViolation(f"run {run_id} is published already and exists below {runs}")
 
 
 def published(spark: SparkSession, runs: str, run_id: str) -> DataFrame | None:
