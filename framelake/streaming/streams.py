@@ -29,6 +29,8 @@ STATE_CONF = {
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+    # Where state expires by the clock, batches without data would follow each other for ever.
+    "spark.sql.streaming.noDataMicroBatches.enabled": "false",
 }
 SNAPSHOT_EVERY = 16
 
@@ -141,6 +143,8 @@ def id_runs(stream: DataFrame, keys: list[str], frame: str = "frame_id") -> Data
 
 def merged_intervals(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(first, last) of the union of closed intervals, and (first, last) of what lies in more than one of them."""
+    if not len(first):
+        return first, last, first, last
     order = np.lexsort((last, first))
     first, last = first[order], last[order]
     so_far = np.maximum.accumulate(last)
@@ -170,7 +174,7 @@ class IdIntervals(StatefulProcessor):
         low, high, again, until = merged_intervals(first, last)
         self.state.update((low.tolist(), high.tolist(), n_rows))
         many = runs[runs["n"] > runs["last"] - runs["first"] + 1]
-        repeated = sorted({*zip(again.tolist(), until.tolist(), strict=True), *zip(many["first"].tolist(), many["last"].tolist(), strict=True)})
+        twice = merged_intervals(np.append(again, many["first"].to_numpy(np.int64)), np.append(until, many["last"].to_numpy(np.int64)))
         n_ids = int((high - low + 1).sum())
         row = dict(zip(self.keys, key, strict=True)) | {
             "first_id": int(low[0]),
@@ -179,7 +183,7 @@ class IdIntervals(StatefulProcessor):
             "n_rows": n_rows,
             "n_holes": len(low) - 1,
             "contiguous": bool(low[0] == 0 and len(low) == 1 and n_ids == n_rows),
-            "repeated": [{"first": a, "last": b} for a, b in repeated],
+            "repeated": [{"first": a, "last": b} for a, b in zip(twice[0].tolist(), twice[1].tolist(), strict=True)],
         }
         yield pd.DataFrame([row])
 
