@@ -408,29 +408,38 @@ def suppress_all(t: Tables):
     return kept.select("frame", "class_index", "score", "l_orderkey", "l_partkey")
 
 
-LARGE_SQL = """SELECT l_orderkey % 30 AS frame, {score} AS score, (l_partkey % 400)::DOUBLE AS x_min, (l_suppkey % 400)::DOUBLE AS y_min,
+LARGE_SQL = """SELECT l_orderkey % 100 AS frame, {score} AS score, (l_partkey % 400)::DOUBLE AS x_min, (l_suppkey % 400)::DOUBLE AS y_min,
     l_partkey % 400 + l_quantity AS x_max, l_suppkey % 400 + l_quantity AS y_max, l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity FROM lineitem"""
 
 
 def _large(t: Tables, score: str):
-    """A few frames of a thirtieth of all line items each: over the size of one row from the second smallest scale on."""
+    """A few frames of a hundredth of all line items each: over the size of one row from the second smallest scale on."""
     boxes = t.lineitem.selectExpr(
-        "l_orderkey % 30 AS frame", f"{score} AS score", "CAST(l_partkey % 400 AS DOUBLE) AS x_min", "CAST(l_suppkey % 400 AS DOUBLE) AS y_min",
+        "l_orderkey % 100 AS frame", f"{score} AS score", "CAST(l_partkey % 400 AS DOUBLE) AS x_min", "CAST(l_suppkey % 400 AS DOUBLE) AS y_min",
         "l_partkey % 400 + l_quantity AS x_max", "l_suppkey % 400 + l_quantity AS y_max", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
     )
     kept = suppress(boxes, ["frame"], best_first(), top_k=None)
     return kept.select("frame", "score", "l_orderkey", "l_partkey", "l_linenumber")
 
 
-LARGE_KEPT = "frame, score, l_orderkey, l_partkey, l_linenumber"
+def _large_sql(score: str) -> str:
+    """Greedy suppression in rounds: what has no undecided better rival is kept, what has a kept rival goes."""
+    return f"""WITH RECURSIVE ranked AS (SELECT *, row_number() OVER (PARTITION BY frame ORDER BY {BEST_FIRST}) AS r FROM ({LARGE_SQL.format(score=score)})),
+      hits AS (SELECT b.frame, b.r, list(a.r) AS rivals FROM ranked a JOIN ranked b ON a.frame = b.frame AND a.r < b.r WHERE {IOU_SQL} > 0.45 GROUP BY 1, 2),
+      walk AS (SELECT frame, r, coalesce(rivals, []) AS rivals, 0 AS state FROM ranked k LEFT JOIN hits h USING (frame, r)
+        UNION ALL (WITH u AS (SELECT * FROM walk WHERE state = 0), l AS (SELECT frame, list(r) AS rs FROM u GROUP BY 1),
+          n AS (SELECT frame, r, rivals, NOT list_has_any(rivals, rs) AS best FROM u JOIN l USING (frame)),
+          k AS (SELECT frame, list(r) FILTER (best) AS ks FROM n GROUP BY 1)
+          SELECT frame, r, rivals, best::INT FROM n JOIN k USING (frame) WHERE best OR NOT list_has_any(rivals, ks)))
+      SELECT frame, score, l_orderkey, l_partkey, l_linenumber FROM ranked JOIN (SELECT frame, r FROM walk WHERE state = 1) USING (frame, r)"""
 
 
-@recipe("l7_suppress_large", "WITH" + greedy_sql(LARGE_SQL.format(score="l_extendedprice"), "frame", BEST_FIRST, LARGE_KEPT, None, False))
+@recipe("l7_suppress_large", _large_sql("l_extendedprice"))
 def suppress_large(t: Tables):
     return _large(t, "l_extendedprice")
 
 
-@recipe("l7_suppress_ties", "WITH" + greedy_sql(LARGE_SQL.format(score="l_tax"), "frame", BEST_FIRST, LARGE_KEPT, None, False))
+@recipe("l7_suppress_ties", _large_sql("l_tax"))
 def suppress_ties(t: Tables):
     """Nine different scores only."""
     return _large(t, "l_tax")
