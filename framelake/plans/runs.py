@@ -10,6 +10,7 @@ import time
 from collections.abc import Iterator
 from contextlib import contextmanager
 from dataclasses import dataclass
+from urllib.parse import quote
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -19,12 +20,16 @@ from framelake.functions.binary import PIXELS_PER_LINE, RECORD_BYTES
 from framelake.functions.boxes import Geometry
 from framelake.functions.names import file_name
 from framelake.operators.artifacts import file_digests, frames_per_second, list_artifacts, observed
+from framelake.operators.lookup import small_or_shuffled
 from framelake.operators.rules import Rule, RuleViolation, fail_if_any, geometry_rules, quarantine
-from framelake.operators.windows import window_summary
+from framelake.operators.windows import global_index, window_summary
 from framelake.plans.products import check_sequence, navigation_records, target_records, write_records
 from framelake.session import scratch_path
+from framelake.plans.bundles import members_of, write_bundle
 from framelake.sources.config import read_products
-from framelake.sources.scanlines import scan_lines
+from framelake.sources.images import DEFAULT_EXTENSIONS, Decoder, decode_pgm, list_images, scan_images
+from framelake.sources.paths import claim, qualified
+from framelake.sources.scanlines import scan_frames, scan_lines
 
 RUN_TYPE = (
     "run_id string, trace_id string, runtime_profile string, product string, status string, frame_count bigint, "
@@ -41,6 +46,10 @@ class NoResult(RuleViolation):
     """The input holds no frame; no product is written."""
 
 
+class PublishedAlready(RuleViolation):
+    """The run id has a completed run."""
+
+
 @dataclass(frozen=True)
 class Run:
     run_id: str
@@ -147,18 +156,23 @@ def _recorded(spark: SparkSession, run: Run, out: str, product: str) -> Iterator
     except AnalysisException:  # no run has been recorded yet
         known = False
     if known:
-        raise RuleViolation(f"run {run.run_id} is published already and exists below {out}")
+        raise PublishedAlready(f"run {run.run_id} is published already and exists below {out}")
     try:
         yield
     except NoResult:
         _publish(spark, run, out, product, 0, 0, 0, begun, "no_result")
         raise
+    except PublishedAlready:  # another writer of the same run was first; its row stands
+        raise
     except RuleViolation:
         _publish(spark, run, out, product, 0, 0, 0, begun, "failed")
         raise
 
 
 def _publish(spark, run: Run, out: str, product: str, frames: int, observations: int, size: int, begun: float, status: str = "completed") -> DataFrame:
+    """Append the run row. A completed run claims its id first, so of two writers at once only one publishes."""
+    if status == "completed" and not claim(spark, f"{qualified(spark, out)}/_claims/{quote(run.run_id, safe='')}"):
+        raise PublishedAlready(f"run {run.run_id} is published already and exists below {out}")
     wall = time.monotonic() - begun
     row = (run.run_id, run.trace_id, run.runtime_profile, product, status, frames, observations, size, wall, 0.0, run.input_path, "line-scan")
     runs = spark.createDataFrame([row], RUN_TYPE).withColumns(
@@ -233,6 +247,57 @@ def _targets(spark, run: Run, detections, categories, order, out: str, role: str
     return _publish(spark, run, out, product, planned, seen.get["bytes"], size, begun)
 
 
+def run_bundle(spark: SparkSession, run: Run, out: str) -> DataFrame:
+    """Bundle of the run's frames below ``out``: pixels, descriptions and a manifest with digest; returns the run row."""
+    with _recorded(spark, run, out, "bundle"):
+        begun = time.monotonic()
+        size, planned = verify_input(spark, run), _planned_frames(spark, run)
+        limits = {} if run.frame_limit is None else {"frameLimit": run.frame_limit}
+        frames = scan_frames(spark, run.input_path, run.height, run.stride, **limits)
+        kinds = {"telemetry": F.col("window_start").isNotNull()}
+        return _bundle(spark, run, out, members_of(frames, kinds), planned, size, begun)
+
+
+def run_images(
+    spark: SparkSession, run: Run, out: str, recursive: bool = False, allowed: str = DEFAULT_EXTENSIONS, decoder: Decoder = decode_pgm
+) -> DataFrame:
+    """Bundle of an image folder: its images in order of their relative path are the frames 0 to n-1 of one source.
+
+    The limit is checked on the listing; no image is decoded before. A bad image fails the run.
+    """
+    with _recorded(spark, run, out, "images"):
+        begun = time.monotonic()
+        images = scan_images(spark, run.input_path, recursive, allowed, decoder)
+        names = global_index(list_images(spark, run.input_path, recursive, allowed).select("absolute_path", "relative_path", "size_bytes"), ["relative_path"], "frame_id")
+        found = names.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("size_bytes"), F.lit(0)).alias("bytes")).first()
+        if run.size_bytes is not None and run.size_bytes != found["bytes"]:
+            raise RuleViolation("input artifact size does not match request")
+        if found["n"] > run.max_frames:
+            raise FrameLimitExceeded(f"input holds {found['n']} frames, the limit is {run.max_frames}")
+        if found["n"] == 0:
+            raise NoResult("input holds no frame")
+        # Ids are small and meet the images where these are read, as long as they may be broadcast.
+        frames = images.join(small_or_shuffled(names.select("relative_path", "frame_id")), "relative_path")
+        members = members_of(frames.withColumn("source", F.lit(run.input_path)))
+        return _bundle(spark, run, out, members, found["n"], found["bytes"], begun)
+
+
+def _bundle(spark, run: Run, out: str, members: DataFrame, planned: int, size: int, begun: float) -> DataFrame:
+    described = {
+        "request_id": run.run_id,
+        "trace_id": run.trace_id,
+        "runtime_profile": run.runtime_profile,
+        "acquisition_mode": run.acquisition_mode,
+        "sensor_id": run.sensor_id,
+        "input_artifact": {"basename": run.input_path.rstrip("/").rpartition("/")[2], "size_bytes": size, "sha256": run.sha256},
+        "provenance": {"engine": "framelake", "spark_version": spark.version},
+    }
+    manifest = write_bundle(members, f"{out}/bundle", described)
+    if manifest["frame_count"] != planned:
+        raise RuleViolation("bundle frame count does not match the input")
+    return _publish(spark, run, out, "bundle", planned, 0, size, begun)
+
+
 def product_artifacts(spark: SparkSession, out: str) -> DataFrame:
     """Files of a finished run with size, digest and media type."""
     files = list_artifacts(spark, out).where(~F.col("path").rlike(r"/[._][^/]*$"))

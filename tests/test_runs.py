@@ -1,6 +1,7 @@
 """Whole runs over written scan-line files."""
 
 import hashlib
+from concurrent.futures import ThreadPoolExecutor
 from pathlib import Path
 
 import pytest
@@ -10,7 +11,7 @@ from test_scanlines import write
 from framelake.functions.sql import register_functions
 from framelake.operators.rules import RuleViolation
 from framelake.operators.tiles import tile_grid
-from framelake.plans import runs
+from framelake.plans import bundles, runs
 from framelake.sources.config import read_products
 
 
@@ -110,3 +111,57 @@ def test_tree_digest_grows_with_its_members(spark):
 
     members = spark.range(40).selectExpr("id", "sha2(CAST(id AS STRING), 256) AS d")
     assert tree_digest(members, "id", "d", fanout=2).count() == 1
+
+
+def test_bundle_run(spark, tmp_path):
+    path, out = write(tmp_path / "a.dat", 64), str(tmp_path / "out")
+    row = runs.run_bundle(spark, a_run(path, trace_id="t"), out).first()
+    assert (row.status, row.product, row.frame_count) == ("completed", "bundle", 4)
+    manifest = bundles.read_manifest(spark, f"{out}/bundle")
+    assert (manifest["request_id"], manifest["trace_id"], manifest["sensor_id"], manifest["frame_count"]) == ("r1", "t", "cam", 4)
+    assert manifest["input_artifact"] == {"basename": "a.dat", "size_bytes": 64 * 6448, "sha256": a_run(path).sha256}
+    assert manifest["first_frame_metadata"]["video"] == {"format": "GRAY8", "height": 32, "width": 4096}
+    again = runs.run_bundle(spark, a_run(path, run_id="r2"), str(tmp_path / "out2")).first()
+    assert again.status == "completed" and bundles.read_manifest(spark, str(tmp_path / "out2/bundle"))["sha256"] == manifest["sha256"]
+    with pytest.raises(runs.FrameLimitExceeded):
+        runs.run_bundle(spark, a_run(path, run_id="r3", max_frames=3), str(tmp_path / "out3"))
+    assert not Path(tmp_path / "out3/bundle").exists()
+
+
+def test_image_run(spark, tmp_path):
+    folder, out = tmp_path / "images", str(tmp_path / "out")
+    folder.mkdir()
+    for name, value in (("b.pgm", 2), ("a.PGM", 1), ("c.pgm", 3)):
+        (folder / name).write_bytes(b"P5 2 1 255\n" + bytes([value, value]))
+    (folder / "note.txt").write_text("no image")
+    run = a_run(str(folder / "a.PGM"), input_path=str(folder), size_bytes=None, sha256=None)
+    row = runs.run_images(spark, run, out).first()
+    assert (row.status, row.frame_count, row.input_bytes) == ("completed", 3, 39)
+    members = bundles.bundle_members(spark, f"{out}/bundle").orderBy("frame_id").collect()
+    assert [(Path(f"{out}/bundle") / m.name).read_bytes() for m in members] == [b"\1\1", b"\2\2", b"\3\3"]
+    (folder / "d.pgm").write_bytes(b"broken")
+    with pytest.raises(Exception, match="graymap|index|invalid"):
+        runs.run_images(spark, runs.Run(**{**vars(run), "run_id": "r2"}), str(tmp_path / "out2"))
+    assert not Path(tmp_path / "out2/bundle").exists()
+    with pytest.raises(runs.FrameLimitExceeded):
+        runs.run_images(spark, runs.Run(**{**vars(run), "run_id": "r3", "max_frames": 2}), str(tmp_path / "out3"))
+    empty = tmp_path / "none"
+    empty.mkdir()
+    with pytest.raises(runs.NoResult):
+        runs.run_images(spark, runs.Run(**{**vars(run), "run_id": "r4", "input_path": str(empty)}), str(tmp_path / "out4"))
+
+
+def test_two_writers_of_one_run(spark, tmp_path):
+    """Both pass the early check; the claim lets one publish."""
+    out, run = str(tmp_path), a_run(write(tmp_path / "a.dat", 16))
+
+    def attempt(_):
+        try:
+            runs._publish(spark, run, f"{out}/runs_of_two", "nav", 1, 0, 1, 0.0)
+        except runs.PublishedAlready:
+            return 0
+        return 1
+
+    with ThreadPoolExecutor(2) as pool:
+        assert sum(pool.map(attempt, range(2))) == 1
+    assert spark.read.parquet(f"{out}/runs_of_two/runs").count() == 1
