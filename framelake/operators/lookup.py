@@ -21,6 +21,17 @@ def small_or_shuffled(dimension: DataFrame, max_rows: int = BROADCAST_ROWS, max_
     return dimension
 
 
+def settled(keys: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame | None:
+    """A table of keys computed now: None where it has no row, broadcast rows up to the bound, itself above.
+
+    Joining it does not compute it again as long as it is small.
+    """
+    rows = keys.limit(max_rows + 1).collect()
+    if len(rows) > max_rows:
+        return keys
+    return F.broadcast(keys.sparkSession.createDataFrame(rows, keys.schema)) if rows else None
+
+
 def with_category(targets: DataFrame, categories: DataFrame) -> DataFrame:
     """Inner lookup of ``class_index``."""
     return targets.join(small_or_shuffled(categories), "class_index")

@@ -10,10 +10,10 @@ from framelake.operators.windows import bounded_ordinals
 
 
 def ordinal_targets(
-    targets: DataFrame, keys: list[str], order: list[str], limit: int = MAX_TARGETS_PER_FRAME
+    targets: DataFrame, keys: list[str], order: list[str], limit: int = MAX_TARGETS_PER_FRAME, crowded: DataFrame | None | bool = True
 ) -> DataFrame:
     """Targets with their ordinal; frames over the limit come out marked ``over_limit``."""
-    return bounded_ordinals(targets, keys, order, limit)
+    return bounded_ordinals(targets, keys, order, limit, crowded=crowded)
 
 
 def nest_targets(targets: DataFrame, keys: list[str], item: Column, name: str) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from framelake.functions.binary import GROUP_LINES
+from framelake.operators.lookup import settled
 from framelake.session import cut_lineage
 
 BLOCK_LINES = 65536
@@ -195,22 +196,29 @@ def global_index(df: DataFrame, order: list[str], name: str = "index") -> DataFr
     )
 
 
+def crowded_keys(df: DataFrame, keys: list[str], limit: int) -> DataFrame | None:
+    """Keys of more than ``limit`` rows, counted now; None where there are none."""
+    return settled(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > limit).select(*keys))
+
+
 def bounded_ordinals(
-    df: DataFrame, keys: list[str], order: list[str], limit: int, name: str = "target_index"
+    df: DataFrame, keys: list[str], order: list[str], limit: int, name: str = "target_index", crowded: DataFrame | None | bool = True
 ) -> DataFrame:
     """0-based ordinal inside each frame, for frames of at most ``limit`` rows.
 
-    Larger frames are over the record limit and are rejected as a whole: all their rows come
-    back with ``over_limit`` set and no ordinal. Frames are counted first (pre-aggregated), so
-    only bounded frames are ranked and a hot frame is never gathered or sorted.
+    Larger frames are over the record limit and are rejected as a whole: all their rows come back with ``over_limit`` set
+    and no ordinal. Frames are counted first (pre-aggregated; pass ``crowded`` where that was done); then the rows are read
+    once. Crowded ones spread over a salt in the window, so a hot frame is never gathered.
     """
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    crowded = sizes.where(F.col("_n") > limit).drop("_n")
-    window = Window.partitionBy(*keys).orderBy(*order)
-    within = df.join(crowded, keys, "left_anti").withColumn("over_limit", F.lit(False))
-    over = df.join(crowded, keys, "left_semi").withColumn("over_limit", F.lit(True))
-    ordinal = F.row_number().over(window).cast("bigint") - 1
-    return within.withColumn(name, ordinal).unionByName(over.withColumn(name, F.lit(None).cast("bigint")))
+    crowded = crowded_keys(df, keys, limit) if crowded is True else crowded
+    ordinal = F.row_number()
+    if crowded is None:
+        window = Window.partitionBy(*keys).orderBy(*order)
+        return df.withColumns({"over_limit": F.lit(False), name: ordinal.over(window).cast("bigint") - 1})
+    marked = df.join(crowded.withColumn("over_limit", F.lit(True)), keys, "left").withColumn("over_limit", F.coalesce("over_limit", F.lit(False)))
+    salt = F.when(F.col("over_limit"), F.xxhash64(*order)).otherwise(F.lit(0))
+    placed = ordinal.over(Window.partitionBy(*keys, salt).orderBy(*order)).cast("bigint") - 1
+    return marked.withColumn(name, F.when(~F.col("over_limit"), placed))
 
 
 def first_ranked(df: DataFrame, keys: list[str], order: list[Column | str], limit: int) -> DataFrame:

@@ -33,7 +33,7 @@ from framelake.operators.rules import (
     strict,
 )
 from framelake.operators.targets import attach_targets, nest_targets, ordinal_targets
-from framelake.operators.windows import contiguity, window_summary
+from framelake.operators.windows import contiguity, crowded_keys, window_summary
 
 FRAME_KEYS = ["source", "frame_id"]
 
@@ -101,12 +101,13 @@ def target_records(
     """
     item_name = "targets" if role == "detection" else "tracks"
     geometry = [*Geometry._fields]
-    placed = ordinal_targets(targets, keys, order, limit)
+    crowded = crowded_keys(targets, keys, limit)
+    placed = ordinal_targets(targets, keys, order, limit, crowded)
     if role == "tracking":
-        # Partitioned within the frame, so the rows are where they already are.
-        same_track = Window.partitionBy(*keys, "track_id").orderBy("target_index")
-        within = placed.where("NOT over_limit").withColumn("track_copy", F.row_number().over(same_track))
-        placed = within.unionByName(placed.where("over_limit").withColumn("track_copy", F.lit(1)))
+        # Partitioned within the frame, so the rows are where they already are; frames over the limit spread.
+        spread = [] if crowded is None else [F.when(F.col("over_limit"), F.xxhash64(*order)).otherwise(F.lit(0))]
+        same_track = Window.partitionBy(*keys, "track_id", *spread).orderBy("target_index")
+        placed = placed.withColumn("track_copy", F.when(F.col("over_limit"), 1).otherwise(F.row_number().over(same_track)))
     labelled = (
         placed.join(frames.select(*keys, *geometry, F.lit(True).alias("frame_known")), keys, "left")
         .withColumn("frame_known", F.coalesce("frame_known", F.lit(False)))
@@ -118,8 +119,7 @@ def target_records(
         frames = strict(frames, [clock_rule(F.col("valid"), F.col("camera_microseconds"))], "frame_id")
     else:
         good, rejects = quarantine(labelled, rules)
-        crowded = placed.where("over_limit").select(*keys).distinct()
-        frames = frames.join(crowded, keys, "left_anti")
+        frames = frames if crowded is None else frames.join(crowded, keys, "left_anti")
     box = inverse_map(Box.of(), Geometry.of())
     klass = target_class(F.col("class_index"), F.col("mapping_id"), F.col("type"))
     if role == "detection":

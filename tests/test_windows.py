@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from framelake.operators import windows
+from framelake.operators import lookup, windows
 
 
 @pytest.mark.parametrize("height,stride,lines", [(64, 16, 200), (10, 10, 35), (4, 9, 40), (7, 3, 20), (30, 7, 5)])
@@ -88,3 +88,21 @@ def test_first_ranked(spark):
     df = spark.range(100).selectExpr("id % 3 AS g", "id")
     best = windows.first_ranked(df, ["g"], [F.col("id").desc()], 2).collect()
     assert {(r.g, r["rank"], r.id) for r in best} == {(0, 1, 99), (0, 2, 96), (1, 1, 97), (1, 2, 94), (2, 1, 98), (2, 2, 95)}
+
+
+@pytest.mark.parametrize("settle_rows", [100_000, 0])
+def test_ordinals_read_the_rows_once(spark, tmp_path, monkeypatch, settle_rows):
+    """Crowded frames, found by a count, are a broadcast of rows that are there; above the bound they are joined by shuffle."""
+    monkeypatch.setattr(lookup.settled, "__defaults__", (settle_rows,))
+    rows = [(f, p) for f in range(5) for p in range(400 if f == 3 else f + 1)]
+    path = str(tmp_path / "t")
+    spark.createDataFrame(rows, "frame_id long, place long").repartition(3).write.parquet(path)
+    placed = windows.bounded_ordinals(spark.read.parquet(path), ["frame_id"], ["place"], 256)
+    if settle_rows:
+        plan = placed._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("FileScan") == 1 and "BroadcastHashJoin" in plan
+    got = {(r.frame_id, r.place): (r.over_limit, r.target_index) for r in placed.collect()}
+    assert got == {(f, p): (True, None) if f == 3 else (False, p) for f, p in rows}
+    few = spark.read.parquet(path).where("frame_id <> 3")
+    assert windows.crowded_keys(few, ["frame_id"], 256) is None
+    assert windows.bounded_ordinals(few, ["frame_id"], ["place"], 256).where("over_limit").count() == 0
