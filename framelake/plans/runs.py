@@ -21,7 +21,7 @@ from framelake.functions.boxes import Geometry
 from framelake.functions.names import file_name
 from framelake.operators.artifacts import file_digests, frames_per_second, list_artifacts, observed
 from framelake.operators.lookup import small_or_shuffled
-from framelake.operators.rules import Rule, RuleViolation, fail_if_any, geometry_rules, quarantine
+from framelake.operators.rules import Rule, RuleViolation, fail_if_any, geometry_rules, plane_match_rule, quarantine
 from framelake.operators.windows import global_index, window_summary
 from framelake.plans.products import check_sequence, navigation_records, target_records, write_records
 from framelake.session import scratch_path
@@ -225,6 +225,7 @@ def run_targets(
 
 def _targets(spark, run: Run, detections, categories, order, out: str, role: str, placement: Placement) -> DataFrame:
     begun = time.monotonic()
+    _check_role(run, detections, role, placement)
     size, planned = verify_input(spark, run), _planned_frames(spark, run)
     path = scratch_path(spark, "frames")
     frame_table(spark, run, placement).write.parquet(path)
@@ -298,6 +299,20 @@ def _bundle(spark, run: Run, out: str, members: DataFrame, planned: int, size: i
     return _publish(spark, run, out, "bundle", planned, 0, size, begun)
 
 
+def _check_role(run: Run, detections: DataFrame, role: str, placement: Placement) -> None:
+    """The role fits the acquisition mode, and boxes that say which plane they were found in name the run's filter plane.
+
+    ``detections`` may carry ``plane_width`` and ``plane_height``; one frame has one role because a run has one.
+    """
+    if (run.acquisition_mode == "pushbroom") != (role == "detection"):
+        raise RuleViolation(f"mode {run.acquisition_mode} does not match the role record {role}")
+    if {"plane_width", "plane_height"} <= set(detections.columns):
+        plane = Geometry.of()._replace(filter_width=F.lit(placement.filter_width or PIXELS_PER_LINE), filter_height=F.lit(placement.filter_height or run.height))
+        rule = plane_match_rule(plane, F.col("plane_width"), F.col("plane_height"))
+        _, rejects = quarantine(detections, [rule])
+        fail_if_any(rejects.select("source", "frame_id", "failed_rule"), rule.message)
+
+
 def product_artifacts(spark: SparkSession, out: str) -> DataFrame:
     """Files of a finished run with size, digest and media type."""
     files = list_artifacts(spark, out).where(~F.col("path").rlike(r"/[._][^/]*$"))

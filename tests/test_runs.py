@@ -165,3 +165,24 @@ def test_two_writers_of_one_run(spark, tmp_path):
     with ThreadPoolExecutor(2) as pool:
         assert sum(pool.map(attempt, range(2))) == 1
     assert spark.read.parquet(f"{out}/runs_of_two/runs").count() == 1
+
+
+def test_role_and_plane_of_a_run(spark, tmp_path):
+    path, out = write(tmp_path / "a.dat", 48), str(tmp_path / "out")
+    boxes = detections(spark, (70, 66, 74, 70)).selectExpr(f"'{path}' AS source", "* EXCEPT (source)")
+    placed = runs.Placement("pad.v1", 0.5, 0.5, 64.0, 64.0, 2176, 2176)
+    run = a_run(path, stride=32, height=32)
+    with pytest.raises(RuleViolation, match="does not match the role"):
+        runs.run_targets(spark, a_run(path, stride=32, acquisition_mode="stare"), boxes, categories(spark), ["place"], out, placement=placed)
+    with pytest.raises(RuleViolation, match="does not match the role"):
+        runs.run_targets(spark, run, boxes, categories(spark), ["place"], out, "tracking", placed)
+    other = boxes.selectExpr("*", "2176 AS plane_width", "IF(frame_id = 0, 2176, 2175) AS plane_height")
+    same = boxes.selectExpr("*", "2176 AS plane_width", "2176 AS plane_height")
+    if other.where("plane_height <> 2176").count():
+        with pytest.raises(RuleViolation, match="filter plane differs"):
+            runs.run_targets(spark, run, other, categories(spark), ["place"], out, placement=placed)
+    wrong = boxes.selectExpr("*", "100 AS plane_width", "2176 AS plane_height")
+    with pytest.raises(RuleViolation, match="filter plane differs"):
+        runs.run_targets(spark, run, wrong, categories(spark), ["place"], out, placement=placed)
+    assert not Path(f"{out}/targets").exists()
+    assert runs.run_targets(spark, run, same, categories(spark), ["place"], out, placement=placed).first().status == "completed"
