@@ -420,7 +420,7 @@ REQUEST_JSON = """CASE k WHEN 1 THEN '[1, 2]' WHEN 2 THEN 'not json' ELSE concat
     "c31_validate_requests",
     """SELECT o_orderkey, rule IS NULL AS ok, rule, CASE WHEN rule IS NULL THEN 's' || n END AS sensor_id,
               CASE WHEN rule IS NULL THEN CASE k WHEN 34 THEN 'tracking' WHEN 37 THEN 'parse' ELSE 'detection' END END AS filter_role,
-              CASE WHEN k = 3 THEN 'unsupported request field: extra' WHEN k = 27 THEN 'runtime_profile is not installed: none'
+              CASE WHEN k = 3 THEN 'request: no field is named extra' WHEN k = 27 THEN 'processing.runtime_profile: no profile is named none'
                    WHEN rule IS NULL THEN 'request is valid' END AS message
        FROM (SELECT o_orderkey, k, n, CASE
            WHEN k IN (1, 2) THEN 'R1' WHEN k = 3 THEN 'R2' WHEN k IN (4, 5, 6) THEN 'R3' WHEN k = 7 THEN 'R4' WHEN k = 8 THEN 'R5'
