@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from operator import itemgetter
 
 import ahocorasick
 import pyarrow as pa
@@ -15,6 +16,9 @@ from framelake.llm.common import RecentCache, as_bytes, documents, over_batches,
 MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
 CACHE_HALF = 400_000
+CACHED_CHARS = 128  # longer segments are encoded each time, so that the cache stays bounded in bytes
+KNOWN_PAIRS = 2_000_000
+PROBE = "  a  ﬁ\tＡ e\u0301\n  ▁ x  日本  "  # told apart by normalisers that fold, trim or compose
 
 
 class PieceModel:
@@ -48,10 +52,19 @@ class PieceModel:
                 self.automaton.add_word(self.pieces[i], (len(self.pieces[i]), i))
         self.automaton.make_automaton()
         self.fits: dict[int, bool] = {}
-        self.barrier = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n+" if not any("\n" in p for p in self.ids) else f"{SPACE}*[^{SPACE}]+|{SPACE}+")
+        marks = f" {SPACE}"
+        ends = "" if any("\n" in p for p in self.ids) else "\n"
+        self.barrier = re.compile(f"[{marks}]*[^{marks}{ends}]+|[{marks}]+" + (f"|{ends}+" if ends else ""))
         if any(SPACE in p.lstrip(SPACE) for p in self.ids):
             raise ValueError("pieces with an inner space mark are not supported")
+        runs = [i for p, i in self.ids.items() if p.startswith(SPACE * 2)]
+        others = max((r for i, r in self.rank.items() if i not in set(runs)), default=-1)
+        if any(self.pieces[i].strip(SPACE) or self.rank[i] <= others for i in runs) or len({self.rank[i] for i in runs}) > 1:
+            raise ValueError("runs of space marks must be merged last, with one score")
+        self.runs = {len(self.pieces[i]) for i in runs}
         self.cache = RecentCache(CACHE_HALF)
+        if self.encode(PROBE) != library.encode(PROBE):
+            raise ValueError("the model's normaliser is not supported")
 
     def merged(self, text: str) -> tuple[list[str], tuple[str, str] | None]:
         """Plain merging, best rank first and leftmost among equals; also the last pair merged."""
@@ -72,6 +85,8 @@ class PieceModel:
         key = left << 32 | right
         known = self.fits.get(key)
         if known is None:
+            if len(self.fits) >= KNOWN_PAIRS:
+                self.fits.clear()
             known = self.fits[key] = self._stay_apart(left, right)
         return known
 
@@ -90,12 +105,30 @@ class PieceModel:
                 bound, right = rank[right] + 1, self.split[right][0]
 
     def segment_ids(self, segment: str) -> list[int]:
-        """Ids of a stretch of text that no piece crosses."""
-        if segment.startswith(SPACE * 2):  # runs of space marks share one score, where the table's theorem does not hold
-            out: list[int] = []
-            for part in self.merged(segment)[0]:
-                out += self._whole(part)
-            return out
+        """Ids of a stretch of text that no piece crosses.
+
+        Runs of space marks share one score, where the table's theorem does not hold. They are merged after all other pieces,
+        so the word takes its mark first, and the marks that are left are merged among themselves.
+        """
+        marks = len(segment) - len(segment.lstrip(SPACE))
+        if marks < 2:
+            return self._table_ids(segment)
+        word = self._table_ids(segment[marks - 1 :])
+        if word[0] == self.ids.get(SPACE):
+            return self._mark_ids(marks) + word[1:]
+        return self._mark_ids(marks - 1) + word
+
+    def _mark_ids(self, count: int) -> list[int]:
+        """Ids of ``count`` space marks: the leftmost pair that makes a piece is merged first, so one pass with a stack will do."""
+        lengths: list[int] = []
+        for _ in range(count):
+            lengths.append(1)
+            while len(lengths) > 1 and lengths[-2] + lengths[-1] in self.runs:
+                last = lengths.pop()
+                lengths[-1] += last
+        return [i for n in lengths for i in self._whole(SPACE * n)]
+
+    def _table_ids(self, segment: str) -> list[int]:
         last: list[tuple[int, int] | None] = [None] * (len(segment) + 1)
         ends = 0
         for at, (length, i) in self._matches(segment):
@@ -126,10 +159,11 @@ class PieceModel:
         return [i] if i is not None else [self.byte_ids[b] for b in part.encode()]
 
     def segments(self, text: str) -> list[str]:
-        return self.barrier.findall(SPACE + text.replace(" ", SPACE)) if text else []
+        """Stretches of the text, with a space in front, that no piece crosses; spaces are not marked yet."""
+        return self.barrier.findall(" " + text) if text else []
 
     def encode(self, text: str) -> list[int]:
-        return [i for s in self.segments(text) for i in self.segment_ids(s)]
+        return [i for s in self.segments(text) for i in self.segment_ids(s.replace(" ", SPACE))]
 
     def decode(self, ids: list[int], first: bool = True) -> str:
         """Text of ids; the space mark put in front of a text is taken off again."""
@@ -137,16 +171,29 @@ class PieceModel:
         joined = joined.replace(SPACE, " ")
         return joined[1:] if first and joined.startswith(" ") else joined
 
-    def known(self, segment: str) -> tuple[int, str, str]:
-        """(number of ids, ids joined by commas, decoded text) of a segment."""
+    def known(self, segment: str) -> tuple[str, str]:
+        """Ids joined by commas and decoded text of a segment."""
         found = self.cache.get(segment)
         if found is None:
-            ids = self.segment_ids(segment)
-            found = (len(ids), ",".join(map(str, ids)), self.decode(ids, first=False))
-            self.cache.put(segment, found)
+            ids = self.segment_ids(segment.replace(" ", SPACE))
+            found = (",".join(map(str, ids)), self.decode(ids, first=False))
+            if len(segment) <= CACHED_CHARS:
+                self.cache.put(segment, found)
         return found
 
+    def digests(self, text: str) -> tuple[int, str, str]:
+        """Number of ids, digest of the ids, digest of the text decoded from them."""
+        segments = self.segments(text)
+        found = list(map(self.cache.young.get, segments))
+        if None in found:
+            found = [self.known(s) if f is None else f for s, f in zip(segments, found, strict=True)]
+        ids, decoded = ",".join(map(ID_PART, found)), "".join(map(TEXT_PART, found))
+        decoded = decoded[1:] if decoded.startswith(" ") else decoded
+        count = ids.count(",") + 1 if ids else 0
+        return count, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()
 
+
+ID_PART, TEXT_PART = itemgetter(0), itemgetter(1)
 _models: dict[str, PieceModel] = {}
 
 
@@ -177,14 +224,8 @@ def encode_digests(docs: DataFrame, model: bytes, text: str = "text") -> DataFra
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = piece_model(shared.value)
         for batch in batches:
-            counts, ids, decoded = [], [], []
-            for value in batch.column(1):
-                found = [pieces.known(s) for s in pieces.segments(value.as_py().decode("utf-8", "replace"))]
-                counts.append(sum(f[0] for f in found))
-                ids.append(hashlib.sha256(",".join([f[1] for f in found]).encode()).hexdigest())
-                whole = "".join([f[2] for f in found])
-                decoded.append(hashlib.sha256((whole[1:] if whole.startswith(" ") else whole).encode()).hexdigest())
-            yield row_batch(out, [batch.column(0), counts, ids, decoded])
+            found = [pieces.digests(value.as_py().decode("utf-8", "replace")) for value in batch.column(1)]
+            yield row_batch(out, [batch.column(0), *([f[k] for f in found] for k in range(3))])
 
     return over_batches(docs.select("doc_id", as_bytes(text).alias("text")), work, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 

@@ -42,9 +42,11 @@ def word_ids(tokenizer, cache: RecentCache, text: bytes) -> bytes:
     """Little-endian 32-bit ids of a text. The tokenizer drops white space and never joins across it, so words are
     encoded one by one and remembered."""
     words = text.split()
-    parts = [cache.get(w) for w in words]
-    missing = list({w for w, p in zip(words, parts, strict=True) if p is None})
-    if missing:
+    parts = list(map(cache.young.get, words))
+    if None in parts:
+        parts = [cache.get(w) if p is None else p for w, p in zip(words, parts, strict=True)]
+    if None in parts:
+        missing = list({w for w, p in zip(words, parts, strict=True) if p is None})
         encoded = tokenizer.encode_batch([w.decode("utf-8", "replace") for w in missing], add_special_tokens=False)
         fresh = {w: np.array(e.ids, "<u4").tobytes() for w, e in zip(missing, encoded, strict=True)}
         parts = [fresh[w] if p is None else p for w, p in zip(words, parts, strict=True)]

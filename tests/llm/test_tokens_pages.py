@@ -47,6 +47,22 @@ def test_pieces_equal_the_library(text):
     assert model.decode(ids) == LIBRARY.decode(ids)
 
 
+def test_runs_of_spaces_and_long_words(model):
+    """Marks in front of a word that takes one, that takes none, and alone; texts far over any piece, in linear time."""
+    for count in (1, 2, 3, 13, 14, 15, 16, 17, 29, 30, 31, 32, 33, 47, 100):
+        for word in ("", "the", "日", "\n", "\nx", "zqx", "<s>", "é"):
+            text = "a" + " " * count + word
+            assert model.encode(text) == LIBRARY.encode(text)
+            assert model.encode(text[1:]) == LIBRARY.encode(text[1:])
+    rng = random.Random(3)
+    for text in ("  " + "".join(rng.choices("abcdeiou", k=40_000)), "x" + " " * 20_001 + "y", "".join(rng.choices("ab \n日", k=60_000))):
+        assert model.encode(text) == LIBRARY.encode(text)
+        count, ids, decoded = model.digests(text)
+        expected = LIBRARY.encode(text)
+        assert count == len(expected) and ids == hashlib.sha256(",".join(map(str, expected)).encode()).hexdigest()
+        assert decoded == hashlib.sha256(LIBRARY.decode(expected).encode()).hexdigest()
+
+
 def test_compatibility_by_merging(model):
     """Two pieces are compatible if merging their text gives both back."""
     rng = random.Random(1)
