@@ -36,7 +36,9 @@ class PieceModel:
         n = library.vocab_size()
         self.pieces = [library.id_to_piece(i) for i in range(n)]
         self.byte_ids = {int(self.pieces[i][3:5], 16): i for i in range(n) if library.is_byte(i)}
-        self.id_bytes = {i: bytes([b]) for b, i in self.byte_ids.items()}
+        self.id_bytes = [p.replace(SPACE, " ").encode() for p in self.pieces]
+        for byte, i in self.byte_ids.items():
+            self.id_bytes[i] = bytes([byte])
         plain = [i for i in range(n) if not (library.is_byte(i) or library.is_control(i) or library.is_unknown(i) or library.is_unused(i))]
         self.ids = {self.pieces[i]: i for i in plain}
         scores = {i: library.get_score(i) for i in plain}
@@ -129,31 +131,31 @@ class PieceModel:
         return [i for n in lengths for i in self._whole(SPACE * n)]
 
     def _table_ids(self, segment: str) -> list[int]:
-        last: list[tuple[int, int] | None] = [None] * (len(segment) + 1)
-        ends = 0
-        for at, (length, i) in self._matches(segment):
-            end, start = at + 1, at + 1 - length
-            for gap in range(ends + 1, end):  # characters that end no piece stand alone
-                if last[gap] is None:
-                    last[gap] = (gap - 1, -1)
-            ends = max(ends, end - 1)
-            if last[end] is None:
-                before = last[start]
-                if start == 0 or before is None or before[1] < 0 or self.compatible(before[1], i):
-                    last[end] = (start, i)
-        for gap in range(1, len(segment) + 1):
-            if last[gap] is None:
-                last[gap] = (gap - 1, -1)
+        whole = self.ids.get(segment)
+        if whole is not None and (whole in self.split or len(segment) == 1):
+            return [whole]
+        # Last token of each prefix, -1 where a character that ends no piece stands alone, and where that token starts.
+        last, starts = [-1] * (len(segment) + 1), list(range(-1, len(segment)))
+        known = self.fits.get
+        for at, (length, i) in self.automaton.iter(segment):
+            end = at + 1
+            if last[end] < 0:
+                left = last[end - length]
+                if left >= 0:
+                    fits = known(left << 32 | i)
+                    if not (self.compatible(left, i) if fits is None else fits):
+                        continue
+                last[end], starts[end] = i, end - length
         out, end = [], len(segment)
         while end:
-            start, i = last[end]
-            out += [i] if i >= 0 else self._whole(segment[start:end])[::-1]
+            i, start = last[end], starts[end]
+            if i >= 0:
+                out.append(i)
+            else:
+                out += self._whole(segment[start:end])[::-1]
             end = start
         return out[::-1]
 
-    def _matches(self, segment: str):
-        return self.automaton.iter(segment)
-
     def _whole(self, part: str) -> list[int]:
         i = self.ids.get(part)
         return [i] if i is not None else [self.byte_ids[b] for b in part.encode()]
@@ -167,8 +169,7 @@ class PieceModel:
 
     def decode(self, ids: list[int], first: bool = True) -> str:
         """Text of ids; the space mark put in front of a text is taken off again."""
-        joined = b"".join(self.id_bytes.get(i) or self.pieces[i].encode() for i in ids).decode("utf-8", "replace")
-        joined = joined.replace(SPACE, " ")
+        joined = b"".join([self.id_bytes[i] for i in ids]).decode("utf-8", "replace")
         return joined[1:] if first and joined.startswith(" ") else joined
 
     def known(self, segment: str) -> tuple[str, str]:
