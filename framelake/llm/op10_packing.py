@@ -17,6 +17,7 @@ from framelake.llm.common import RecentCache, as_bytes, bucket_count, documents,
 
 VOCABULARY, CAPACITY, END_ID = "word_bpe_49k.json", 2048, 0
 CACHE_HALF = 400_000
+CACHED_BYTES = 256  # longer words are encoded each time, so that the cache stays bounded in bytes
 _tokenizers: dict[str, tuple] = {}
 
 
@@ -40,21 +41,30 @@ def _tokenizer(vocabulary: bytes) -> tuple:
 
 def word_ids(tokenizer, cache: RecentCache, text: bytes) -> bytes:
     """Little-endian 32-bit ids of a text. The tokenizer drops white space and never joins across it, so words are
-    encoded one by one and remembered."""
+    remembered one by one; new ones are encoded as one text and taken apart by the places of their tokens."""
     words = text.split()
     parts = list(map(cache.young.get, words))
     if None in parts:
         parts = [cache.get(w) if p is None else p for w, p in zip(words, parts, strict=True)]
     if None in parts:
-        missing = list({w for w, p in zip(words, parts, strict=True) if p is None})
-        encoded = tokenizer.encode_batch([w.decode("utf-8", "replace") for w in missing], add_special_tokens=False)
-        fresh = {w: np.array(e.ids, "<u4").tobytes() for w, e in zip(missing, encoded, strict=True)}
+        fresh = fresh_ids(tokenizer, list(dict.fromkeys([w for w, p in zip(words, parts, strict=True) if p is None])))
         parts = [fresh[w] if p is None else p for w, p in zip(words, parts, strict=True)]
         for w, ids in fresh.items():
-            cache.put(w, ids)
+            if len(w) <= CACHED_BYTES:
+                cache.put(w, ids)
     return b"".join(parts)
 
 
+def fresh_ids(tokenizer, words: list[bytes]) -> dict[bytes, bytes]:
+    shown = [w.decode("utf-8", "replace") for w in words]
+    encoded = tokenizer.encode(" ".join(shown), add_special_tokens=False)
+    first = np.fromiter((o[0] for o in encoded.offsets), np.int64, len(encoded.offsets))
+    ends = np.cumsum(np.fromiter(map(len, shown), np.int64, len(shown)) + 1)
+    cuts = [0, *(4 * np.searchsorted(first, ends)).tolist()]
+    ids = np.array(encoded.ids, "<u4").tobytes()
+    return {w: ids[a:b] for w, a, b in zip(words, cuts, cuts[1:], strict=False)}
+
+
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 

@@ -87,6 +87,31 @@ def test_pieces_of_odd_rows(odd, empty):
     assert ids[1] == LIBRARY.encode("The quick brown fox jumps over the lazy dog")
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from([*ALPHABET, "'s", "\u0301", "\u1100", "\u1161", "Σ", "İ", "\x85", "\u3000", "<|startoftext|>", "word" * 90]), max_size=40).map("".join) | st.text(max_size=40))
+def test_words_equal_the_library(text):
+    """Words encoded together and remembered give the ids of the whole text, also when seen again."""
+    text = text.encode("utf-8", "replace").decode()
+    tokenizer, cache = Tokenizer.from_str(VOCABULARY.decode()) if not LIBRARIES else LIBRARIES[0], packing.RecentCache(50)
+    LIBRARIES[:] = [tokenizer]
+    want = np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    assert packing.word_ids(tokenizer, cache, text.encode()) == want
+    assert packing.word_ids(tokenizer, cache, text.encode()) == want
+
+
+def test_very_long_texts(spark):
+    """A text of many pieces at the default capacity, with words longer than the cache takes."""
+    rng = random.Random(8)
+    texts = {1: " ".join("".join(rng.choices("abcdefgé日 ", k=rng.randrange(1, 400))) for _ in range(800)), 2: "a" * 30_000, 3: None}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    rows = packing.pack_documents(docs, VOCABULARY).collect()
+    check_packing(rows, texts)
+    assert max(r["piece"] for r in rows) > 10
+
+
+LIBRARIES: list = []
+
+
 def check_packing(rows, texts, capacity=2048):
     tokenizer = Tokenizer.from_str(VOCABULARY.decode())
     by_doc, sequences = defaultdict(list), defaultdict(list)
