@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from framelake.functions.binary import RECORD_BYTES, be_float
 from framelake.functions.imaging import unpack_10_to_8
+from framelake.operators.dense import dense_frames
 from framelake.operators.windows import window_summary
 from framelake.plans.products import navigation_records
 from framelake.sources.scanlines import scan_frames, scan_lines
@@ -132,3 +133,35 @@ def test_float_expression_matches_ieee(spark):
     got = spark.createDataFrame(rows, "i int, raw binary").select("i", be_float(F.col("raw")).alias("f")).collect()
     for row in got:
         assert np.float32(row.f).tobytes() == np.float32(values[row.i]).tobytes() or np.isnan(values[row.i])
+
+
+def _rows(frames):
+    return sorted((r.source, r.frame_id, r.n_lines, r.n_valid, r.width, r.height, r.window_start, r.window_end, bytes(r.pixels)) for r in frames.collect())
+
+
+@pytest.mark.parametrize("height,stride", [(16, 16), (40, 8), (33, 10), (16, 24), (200, 7), (1, 1)])
+def test_dense_frames_of_a_table_equal_those_of_files(spark, tmp_path, height, stride):
+    """Overlap, gaps, short last windows, broken lines, several sources, runs of any length, lines in no order."""
+    write(tmp_path / "a.dat", 100, b"tail", bad=(5, 32, 47))
+    write(tmp_path / "b.dat", 70, bad=(0, 69), seed=9)
+    lines = scan_lines(spark, str(tmp_path), "pixels").orderBy(F.xxhash64("line"))
+    want = _rows(scan_frames(spark, str(tmp_path), height, stride, emptyWindow="keep"))
+    for run in (None, 1, 3):
+        assert _rows(dense_frames(lines, height, stride, run, "keep")) == want
+
+
+def test_dense_frames_of_odd_tables(spark, tmp_path):
+    """Lines that are missing or repeated, windows without a valid line or without any line, an empty table, a null source."""
+    path = write(tmp_path / "a.dat", 64, bad=range(16, 32))
+    lines = scan_lines(spark, path, "pixels").withColumn("extra", F.lit(1)).withColumn("run", F.lit("x"))
+    with pytest.raises(Exception, match="has no valid line"):
+        dense_frames(lines, 16, 16).collect()
+    assert _rows(dense_frames(lines.union(lines), 16, 16, None, "keep")) == _rows(dense_frames(lines, 16, 16, None, "keep"))
+    thin = dense_frames(lines.where("line <> 3 AND line NOT BETWEEN 32 AND 47"), 16, 16, None, "keep").orderBy("frame_id").collect()
+    assert [(r.frame_id, r.n_lines, r.n_valid) for r in thin] == [(0, 15, 15), (1, 16, 0), (3, 16, 16)]
+    assert dense_frames(lines.where("false"), 16, 16).count() == 0
+    assert dense_frames(lines.withColumn("source", F.lit(None).cast("string")), 32, 16, None, "keep").count() == 4
+    with pytest.raises(Exception, match="same number of pixels"):
+        dense_frames(lines.withColumn("pixels", F.when(F.col("line") != 8, F.col("pixels"))), 16, 16, None, "keep").collect()
+    with pytest.raises(ValueError, match="must be positive"):
+        dense_frames(lines, 0, 16)
