@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from framelake.functions import names
 from framelake.functions.boxes import Box, Geometry, inverse_map
 from framelake.operators import artifacts, lookup, pixels, rules, tiles, windows
+from framelake.operators.colocated import by_frame, frame_rows
 from framelake.operators.requests import unexpected_key
 from framelake.operators.spatial import overlapping_pairs
 from framelake.operators.targets import attach_targets, nest_targets, observation_count, ordinal_targets
@@ -65,6 +66,39 @@ def frame_join(t: Tables):
     )
 
 
+@recipe(
+    "d3_frame_rows",
+    """SELECT f.frame_id, f.geometry_id, f.camera_seconds, f.exposure_time_ns, f.o_custkey, t.class_index,
+              (x_min - offset_x) / scale_x AS left_edge, (x_max - offset_x) / scale_x AS right_edge
+       FROM frames f JOIN targets t USING (frame_id) WHERE f.valid""",
+    "frames targets",
+)
+def frame_target_rows(t: Tables):
+    """Frame, geometry, telemetry and target rows by (source, frame), from tables that are kept by frame."""
+    frames = t.frames()
+    tables = by_frame(
+        {
+            "frame": frames.select("source", "frame_id", "o_custkey"),
+            "geometry": frames.select(
+                "source", "frame_id", "geometry_id", "scale_x", "scale_y", "offset_x", "offset_y", "original_width", "original_height"
+            ),
+            "telemetry": frames.where("valid").select("source", "frame_id", "camera_seconds", "exposure_time_ns"),
+            "target": t.targets().select("source", "frame_id", "class_index", "x_min", "y_min", "x_max", "y_max"),
+        }
+    )
+    box = inverse_map(Box.of(), Geometry.of())
+    return frame_rows(tables["frame"], tables["geometry"], tables["telemetry"], tables["target"]).select(
+        "frame_id",
+        "geometry_id",
+        "camera_seconds",
+        "exposure_time_ns",
+        "o_custkey",
+        "class_index",
+        box.x_min.alias("left_edge"),
+        box.x_max.alias("right_edge"),
+    )
+
+
 @recipe("d4_reconcile", f", {MANIFEST_SQL} SELECT path, status FROM matched", "artifacts")
 def reconcile(t: Tables):
     return artifacts.reconcile(_manifest(t), t.artifacts()).select("path", "status")
