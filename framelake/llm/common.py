@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 from framelake.session import scratch_path
 
 MIX = np.uint64(0x9E3779B97F4A7C15)
+ARROW_BYTES = 4 << 20
+#: Bits of the filter of ``told_apart``: so many for each listed row, in blocks of one bitmap, 8 MB in all at most.
+FILTER_SHARE, FILTER_BLOCK, FILTER_BITS = 32, 1 << 15, 1 << 26
 
 
 def mixed(values: np.ndarray) -> np.ndarray:
@@ -36,7 +39,29 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def told_apart(rows: DataFrame, listed: DataFrame, columns: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Rows that surely are not in ``listed`` (a stored table) by ``columns``, and all others.
+
+    For joins of long rows with a list that holds a small part of them: only the others need a shuffle and the exact join. A
+    bitmap of hashes of the list tells them apart. Its size is bounded; a list too long for it makes the others more, never wrong.
+    """
+    bits = FILTER_BLOCK
+    wanted = min(FILTER_BITS, FILTER_SHARE * listed.count())
+    while bits < wanted:
+        bits *= 2
+    place = F.pmod(F.xxhash64(*columns), F.lit(bits))
+    block, bit = F.floor(place / FILTER_BLOCK).alias("_block"), F.pmod(place, F.lit(FILTER_BLOCK))
+    maps = listed.select(block, bit.alias("_bit")).groupBy("_block").agg(F.bitmap_construct_agg("_bit").alias("_bits"))
+    maps = stored(maps, "filter")
+    met = rows.withColumns({"_block": block, "_bit": bit}).join(F.broadcast(maps), "_block", "left")
+    byte = F.conv(F.hex(F.expr("substring(_bits, CAST(_bit DIV 8 + 1 AS INT), 1)")), 16, 10).cast("int")
+    maybe = F.coalesce(F.getbit(byte, F.pmod("_bit", F.lit(8)).cast("int")) == 1, F.lit(False))
+    return met.where(~maybe).select(rows.columns), met.where(maybe).select(rows.columns)
+
+
 def over_batches(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """Rows through ``function`` in batches of about ARROW_BYTES: a task holds several copies of one, in the JVM and in Python."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
     return df.mapInArrow(function, schema)
 
 

@@ -20,6 +20,7 @@ from framelake.llm.common import (
     row_batch,
     small_batches,
     stored,
+    told_apart,
     word_hashes,
 )
 
@@ -149,7 +150,8 @@ class Trie:
     """
 
     def __init__(self, width: int, share: int, whole: int):
-        self.width, self.share, self.whole = width, share, whole
+        self.share, self.whole = share, whole
+        self.inside = np.zeros(width + 1, bool)  # marks of the set that is looked for
         self.known = Components()
         # segment, children, sets that end here, least and most size below, one connected set or MIXED
         self.root = [np.zeros(0, np.int64), {}, [], 1 << 60, 0, None]
@@ -188,38 +190,38 @@ class Trie:
         subtree is left as soon as what remains of either set cannot reach the bound, or if all its sets are known to be
         in the component of ``name``."""
         n = len(places)
-        inside = np.zeros(self.width + 1, bool)
-        inside[places] = True
-        upto = np.cumsum(inside)
+        inside = self.inside
         both = self.share + self.whole
         stack = [(self.root, 0, 0)]
-        while stack:
-            node, overlap, depth = stack.pop()
-            if name is not None and node[5] is not MIXED and node[5] is not None and self.known.find(node[5]) == self.known.find(name):
-                continue
-            segment = node[0]
-            rest = n
-            if len(segment):
-                overlap += int(np.count_nonzero(inside[segment]))
-                depth += len(segment)
-                rest = n - int(upto[segment[-1]])
-            best = min(max(depth + rest, node[3]), node[4])  # the size below with the best chance
-            if both * (overlap + min(rest, best - depth)) < self.share * (n + best):
-                continue
-            if node[2] and both * overlap >= self.share * (n + depth):
-                yield from node[2]
-            for child in node[1].values():
-                stack.append((child, overlap, depth))
+        inside[places] = True
+        try:
+            while stack:
+                node, overlap, depth = stack.pop()
+                if name is not None and node[5] is not MIXED and node[5] is not None and self.known.find(node[5]) == self.known.find(name):
+                    continue
+                segment = node[0]
+                rest = n
+                if len(segment):
+                    overlap += int(np.count_nonzero(inside[segment]))
+                    depth += len(segment)
+                    rest = n - int(places.searchsorted(segment[-1], "right"))
+                best = min(max(depth + rest, node[3]), node[4])  # the size below with the best chance
+                if both * (overlap + min(rest, best - depth)) < self.share * (n + best):
+                    continue
+                if node[2] and both * overlap >= self.share * (n + depth):
+                    yield from node[2]
+                for child in node[1].values():
+                    stack.append((child, overlap, depth))
+        finally:
+            inside[places] = False
 
 
 def ordered(sets: list[np.ndarray]) -> tuple[list[np.ndarray], int]:
     """Sets as sorted places in their common order: frequent n-grams first, so that like sets share long paths."""
-    flat = np.concatenate(sets)
-    values, at, counts = np.unique(flat, return_inverse=True, return_counts=True)
-    place = np.empty(len(values), np.int64)
-    place[np.lexsort((values, -counts))] = np.arange(len(values))
-    ends = np.cumsum([len(s) for s in sets])
-    return [np.sort(p) for p in np.split(place[at], ends[:-1])], len(values)
+    values, counts = np.unique(np.concatenate(sets), return_counts=True)
+    place = np.empty(len(values), np.int32)
+    place[np.lexsort((values, -counts))] = np.arange(len(values), dtype=np.int32)
+    return [np.sort(place[np.searchsorted(values, s)]) for s in sets], len(values)
 
 
 GROUPED = pa.schema([("family", pa.int64()), ("chunk", pa.int64()), ("block", pa.bool_()), ("doc_id", pa.int64()), ("grams", pa.binary())])
@@ -235,7 +237,7 @@ def link_groups(rows: DataFrame, share: int, whole: int) -> DataFrame:
 
     def join(group: pa.Table) -> pa.RecordBatch:
         ids, block = group["doc_id"].to_numpy(), group["block"].to_numpy(zero_copy_only=False)
-        sets, width = ordered([np.frombuffer(g, np.uint64) for g in group["grams"].to_pylist()])
+        sets, width = ordered([np.frombuffer(g.as_buffer(), np.uint64) for g in group["grams"]])
         trie = Trie(width, share, whole)
         for i in np.flatnonzero(block):
             trie.connect(sets[i], int(ids[i]))
@@ -408,7 +410,7 @@ def jaccard_components(
         grams = [sets.value[a : a + k].tobytes() for a, k in zip(sets.first.tolist(), sets.size.tolist(), strict=True)]
         return row_batch(grouped, [batch.column(0), batch.column(2), batch.column(3), grams])
 
-    held = _map_sets(ids.join(members, "doc_id"), n, whole_sets, "doc_id long, family long, large boolean, grams binary", 1)
+    held = _map_sets(told_apart(ids, families, ["doc_id"])[1].join(members, "doc_id"), n, whole_sets, "doc_id long, family long, large boolean, grams binary", 1)
     some_large = not large.isEmpty()
     if some_large:
         held = stored(held, "family-sets")

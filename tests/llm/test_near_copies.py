@@ -176,3 +176,26 @@ def test_repeats_of_odd_rows(odd, empty):
     rows = [(r["doc_id"], r["text"]) for r in odd.collect()]
     assert_removed(kmers.remove_repeats(odd, 4, 2), odd, brute_removed(rows, 4))
     assert kmers.remove_repeats(empty).count() == 0
+
+
+def test_places_of_long_sets_take_little_memory():
+    """Sets are placed one by one; the n-grams of a family are held about three times, not eight times."""
+    import tracemalloc
+
+    import numpy as np
+
+    from framelake.llm.op03_trie_join import Trie, ordered
+
+    rng = np.random.default_rng(5)
+    sets = [np.unique(rng.integers(0, 1 << 62, 5_000).astype(np.uint64)) for _ in range(100)]
+    tracemalloc.start()
+    places, width = ordered(sets)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert width == len(np.unique(np.concatenate(sets))) and [len(p) for p in places] == [len(s) for s in sets]
+    assert peak < 6 * sum(s.nbytes for s in sets)
+    trie = Trie(width, 80, 100)
+    for i, p in enumerate(places):
+        assert list(trie.linked(p)) == []
+        trie.add(p, i)
+    assert [list(trie.linked(p)) for p in places] == [[i] for i in range(100)]
