@@ -26,8 +26,8 @@ from framelake.llm.common import (
 
 #: Sets of one size class differ in size by this factor at most.
 CLASS_BASE = 1.4
-#: Families up to this many sets and n-grams are joined in one task; larger ones in blocks.
-FAMILY_SETS, FAMILY_GRAMS, BLOCK = 4000, 4_000_000, 512
+#: Families up to this many sets and n-grams are joined in one task; larger ones in blocks, of half as many n-grams at most.
+FAMILY_SETS, FAMILY_GRAMS, BLOCK = 4000, 2_000_000, 512
 #: Frequent n-grams are looked for in about so many documents. They only steer the order of parts, never the result.
 ORDER_SAMPLE, FREQUENT = 8192, 2.0**-9
 
@@ -332,31 +332,34 @@ def frequent_grams(texts: DataFrame, n: int, rows: int) -> np.ndarray:
     return np.sort(found["gram"].to_numpy().astype(np.uint64))
 
 
-def _large_links(members: DataFrame, sets: DataFrame, share: int, whole: int, block: int, chunk: int) -> DataFrame:
+def _large_links(members: DataFrame, sets: DataFrame, share: int, whole: int, block: int, chunk: int, grams: int = FAMILY_GRAMS // 2) -> DataFrame:
     """Links that connect the components of families too large for one task; (doc_id, root) of all their sets.
 
     Each round joins a block of sets of every family with all of the family's sets, chunk by chunk. Sets that were in a block are
     done. Sets outside of the family's largest component go first; a family is done when all sets that are left are in
-    one component, since no link is missing then. So a family of near copies takes few rounds, and any family ends.
+    one component, since no link is missing then. So a family of near copies takes few rounds, and any family ends. A
+    block has ``block`` sets and ``grams`` n-grams at most (or is a single set), and chunks are about as large.
     """
-    held = stored(members.select("doc_id", "family", F.col("doc_id").alias("root"), F.lit(False).alias("done")), "large")
+    held = stored(members.select("doc_id", "family", "size", F.col("doc_id").alias("root"), F.lit(False).alias("done")), "large")
     while True:
-        open_roots = held.where("NOT done").groupBy("family", "root").agg(F.count(F.lit(1)).alias("n"))
-        state = open_roots.groupBy("family").agg(F.count(F.lit(1)).alias("roots"), F.sum("n").alias("n"), F.max(F.struct("n", "root")).alias("top"))
-        state = stored(state.where("roots > 1").select("family", "n", F.col("top.root").alias("top")), "open-families")
+        open_roots = held.where("NOT done").groupBy("family", "root").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size"))
+        state = open_roots.groupBy("family").agg(F.count(F.lit(1)).alias("roots"), F.sum("n").alias("n"), F.sum("size").alias("all"), F.max(F.struct("n", "root")).alias("top"))
+        state = stored(state.where("roots > 1").select("family", "n", "all", F.col("top.root").alias("top")), "open-families")
         if state.isEmpty():
             return held.select("doc_id", "root")
         todo = held.where("NOT done").join(state, "family")
         first = Window.partitionBy("family").orderBy((F.col("root") == F.col("top")).cast("int"), "doc_id")
-        picked = stored(todo.withColumn("k", F.row_number().over(first)).where(F.col("k") <= block).select("doc_id", "family", "n"), "block")
-        chunks = F.greatest(F.lit(1), F.ceil(F.col("n") / chunk)).cast("long")
+        picked = todo.withColumn("k", F.row_number().over(first)).where(F.col("k") <= block)
+        picked = picked.withColumn("upto", F.sum("size").over(Window.partitionBy("family").orderBy("k")))
+        picked = stored(picked.where((F.col("k") == 1) | (F.col("upto") <= grams)).select("doc_id", "family", "n", "all"), "block")
+        chunks = F.greatest(F.lit(1), F.ceil(F.col("n") / chunk), F.ceil(F.col("all") / grams)).cast("long")
         others = todo.join(picked.select("doc_id"), "doc_id", "left_anti")
         others = others.select("doc_id", "family", F.pmod(F.xxhash64("doc_id"), chunks).cast("long").alias("chunk"), F.lit(False).alias("block"))
         copies = picked.select("doc_id", "family", F.explode(F.sequence(F.lit(0).cast("long"), chunks - 1)).alias("chunk"), F.lit(True).alias("block"))
         links = stored(link_groups(others.union(copies).join(sets.select("doc_id", "grams"), "doc_id"), share, whole), "large-links")
         roots = components(held.select(F.col("doc_id").alias("a"), F.col("root").alias("b")).union(links), "large-roots")
         marked = held.join(picked.select("doc_id", F.lit(True).alias("now")), "doc_id", "left").join(roots.withColumnsRenamed({"node": "doc_id", "root": "r"}), "doc_id", "left")
-        held = stored(marked.select("doc_id", "family", F.coalesce("r", "doc_id").alias("root"), (F.col("done") | F.coalesce("now", F.lit(False))).alias("done")), "large")
+        held = stored(marked.select("doc_id", "family", "size", F.coalesce("r", "doc_id").alias("root"), (F.col("done") | F.coalesce("now", F.lit(False))).alias("done")), "large")
 
 
 def jaccard_components(
@@ -418,7 +421,7 @@ def jaccard_components(
     roots = components(link_groups(small, share, whole), "links").select(F.col("node").alias("rep"), "root")
     if some_large:
         wide = held.where("large")
-        roots = roots.union(_large_links(wide.select("doc_id", "family").distinct(), wide, share, whole, block, block).withColumnRenamed("doc_id", "rep"))
+        roots = roots.union(_large_links(wide.groupBy("doc_id", "family").agg(F.max(F.length("grams") / 8).cast("long").alias("size")), wide, share, whole, block, block).withColumnRenamed("doc_id", "rep"))
     named = same.join(roots, "rep", "left").select("high", "low", "n_shingles", F.coalesce("root", "rep").alias("found"))
     out = rows.join(named, ["high", "low", "n_shingles"], "left")
     return out.select("doc_id", "n_shingles", F.coalesce("found", "doc_id").alias("component_id"))
