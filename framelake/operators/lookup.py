@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Rows that one task of ``both_sides`` counts, and rows that one array stands for.
+ROWS_A_TASK, RUN = 500_000, 1 << 16
 BROADCAST_ROWS, BROADCAST_BYTES = 100_000, 64 << 20
 
 
@@ -42,9 +44,15 @@ def unknown_classes(targets: DataFrame, categories: DataFrame) -> DataFrame:
 
 
 def both_sides(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Rows on one side only (multiset difference both ways), tagged with the side."""
-    return (
-        left.exceptAll(right)
-        .withColumn("side", F.lit("left"))
-        .unionByName(right.exceptAll(left).withColumn("side", F.lit("right")))
-    )
+    """Rows on one side only (multiset difference both ways), tagged with the side.
+
+    Both sides are summed once, in tasks of about ROWS_A_TASK rows however large the sides are.
+    """
+    names = left.columns
+    both = left.withColumn("_more", F.lit(1)).union(right.withColumn("_more", F.lit(-1)))
+    tasks = 1 + (left.count() + right.count()) // ROWS_A_TASK
+    counted = both.repartition(tasks, *names).groupBy(*names).agg(F.sum("_more").alias("_more")).where("_more <> 0")
+    sided = counted.select(*names, F.expr("if(_more > 0, 'left', 'right')").alias("side"), F.abs("_more").alias("_more"))
+    # A row comes as often as it is missing, in runs, so that no array is long.
+    runs = sided.withColumn("_run", F.explode(F.expr(f"sequence(0L, (_more - 1) DIV {RUN})")))
+    return runs.withColumn("_run", F.explode(F.expr(f"sequence(1L, least({RUN}L, _more - _run * {RUN}))"))).select(*names, "side")
