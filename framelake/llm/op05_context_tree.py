@@ -23,8 +23,9 @@ WORD_SHARE = 2.0**-20
 END = b"\n"
 #: Bounds of what a task holds: remembered scores (log 2), n-grams and words counted so far, bytes of text at a time.
 CACHE_BITS, FLUSH_GRAMS, FLUSH_WORDS, BATCH = 21, 1_500_000, 200_000, 2 << 20
-#: Bytes of text that ask for their n-grams together, their n-grams held at a time, and bytes of text for each bucket of contexts.
-CHUNK, CHUNK_GRAMS, BUCKET = 64 << 20, 2_000_000, 8 << 20
+#: Bytes of text that ask for their n-grams together, their n-grams held at a time, bytes of text for each bucket of contexts, and parts that
+#: n-grams are merged in.
+CHUNK, CHUNK_GRAMS, BUCKET, MERGE_PARTS = 64 << 20, 2_000_000, 8 << 20, 8
 
 
 def log_gamma(x: np.ndarray) -> np.ndarray:
@@ -292,8 +293,13 @@ def asked_grams(texts: DataFrame, depth: int, buckets: int) -> DataFrame:
         now = -1
 
         def merge() -> None:
-            code, keys = pd.factorize(np.concatenate([w[0] for w in waiting]))
-            waiting[:] = [(keys, np.bincount(code, weights=np.concatenate([w[1] for w in waiting]), minlength=len(keys)))]
+            done = []
+            for part in range(MERGE_PARTS):  # by the newest byte of context, so that only a part is held several times
+                mine = [(w[0][m], w[1][m]) for w in waiting for m in [w[0] >> 8 & (MERGE_PARTS - 1) == part]]
+                code, keys = pd.factorize(np.concatenate([m[0] for m in mine]))
+                sums = np.bincount(code, weights=np.concatenate([m[1] for m in mine]), minlength=len(keys))
+                done.append((keys, sums.astype(np.int32)))
+            waiting[:] = [tuple(np.concatenate(x) for x in zip(*done, strict=True))]
 
         def rows() -> Iterator[pa.RecordBatch]:
             if not waiting:
@@ -302,7 +308,7 @@ def asked_grams(texts: DataFrame, depth: int, buckets: int) -> DataFrame:
             keys, counts = waiting.pop()
             keys = turned(keys)
             order = np.argsort(keys)
-            keys, counts = keys[order], counts[order].astype(np.int32)
+            keys, counts = keys[order], counts[order]
             bucket = bucket_of(turned_back(keys), buckets)
             order = np.argsort(bucket, kind="stable")
             keys, counts, bucket = keys[order], counts[order], bucket[order]
@@ -320,11 +326,11 @@ def asked_grams(texts: DataFrame, depth: int, buckets: int) -> DataFrame:
                 if chunks[i] != now:
                     yield from rows()
                     now = int(chunks[i])
-                for batch in small_batches([whole.slice(i, j - i)], 2, BATCH):
+                for batch in small_batches([whole.slice(i, j - i)], 2, BATCH // 4):
                     found, lengths = grams_of([sequence(v.as_py()) for v in batch.column(2)], depth)
                     code, unique = pd.factorize(found)
                     weights = np.repeat(batch.column(1).to_numpy(zero_copy_only=False).astype(np.float64), lengths)
-                    waiting.append((unique, np.bincount(code, weights=weights, minlength=len(unique))))
+                    waiting.append((unique, np.bincount(code, weights=weights, minlength=len(unique)).astype(np.int32)))
                     if sum(len(w[0]) for w in waiting[1:]) > CHUNK_GRAMS // 2:
                         merge()
                         if len(waiting[0][0]) > CHUNK_GRAMS:

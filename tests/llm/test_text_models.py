@@ -237,3 +237,14 @@ def test_scores_use_every_context(spark):
         for i in (0, 1, 5, 999, 1000, 1001, 1002):
             want = tree.log_probability(ctw.grams_of([ctw.sequence(texts[i])], ctw.DEPTH)[0]).sum() / math.log(10)
             assert abs(found[i] - want) < 1e-5 * abs(want)
+
+
+def test_batches_of_texts_are_bounded(spark):
+    """A task gets texts in Arrow batches of a few megabytes."""
+    import pyarrow as pa
+
+    from framelake.llm.common import ARROW_BYTES, over_batches
+
+    rows = spark.range(0, 5000, 1, 1).selectExpr("repeat('x', 4000) AS text")
+    sizes = over_batches(rows, lambda batches: (pa.RecordBatch.from_pydict({"n": [b.nbytes]}) for b in batches), "n long").collect()
+    assert max(r["n"] for r in sizes) < 2 * ARROW_BYTES
