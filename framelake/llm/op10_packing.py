@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import os
+import re
 import zlib
+from array import array
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 
@@ -16,8 +19,18 @@ from pyspark.sql import functions as F
 from framelake.llm.common import RecentCache, as_bytes, bucket_count, documents, over_batches, ranked, row_batch, stored
 
 VOCABULARY, CAPACITY, END_ID = "word_bpe_49k.json", 2048, 0
-CACHE_HALF = 400_000
+CACHE_HALF, PIECES_HALF = 300_000, 150_000
 CACHED_BYTES = 256  # longer words are encoded each time, so that the cache stays bounded in bytes
+#: The vocabulary's way to pieces, as far as words of printable ASCII and Latin letters go, which no normal form changes.
+PLAIN = re.compile("[ -~À-ÖØ-öø-įı-ſ]+")
+PIECE = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ſ]+|[0-9]|[^ a-zß-öø-ſ0-9]+| ")
+BETWEEN = b"\xff" * 4  # stands between words; no id is near it
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+NORMAL_FORM = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+PRE_TOKENS = [
+    {"type": "Split", "pattern": {"Regex": SPLIT}, "behavior": "Removed", "invert": True},
+    {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+]
 _tokenizers: dict[str, tuple] = {}
 
 
@@ -29,29 +42,79 @@ def default_vocabulary() -> bytes:
 
 
 def _tokenizer(vocabulary: bytes) -> tuple:
-    """Tokenizer and word cache of this worker process."""
+    """Tokenizer of this worker process, and its added tokens if its way to pieces is the one known here, else None."""
     key = hashlib.md5(vocabulary).hexdigest()
     if key not in _tokenizers:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        _tokenizers[key] = (Tokenizer.from_str(vocabulary.decode()), RecentCache(CACHE_HALF))
+        said = json.loads(vocabulary)
+        steps = [(said.get(k) or {}).get(n) for k, n in (("normalizer", "normalizers"), ("pre_tokenizer", "pretokenizers"))]
+        known = steps == [NORMAL_FORM, PRE_TOKENS] and said["model"].get("type") == "BPE" and not said["model"].get("dropout") and not said.get("truncation")
+        added = [t["content"].lower() for t in said.get("added_tokens") or []]
+        _tokenizers[key] = (Tokenizer.from_str(vocabulary.decode()), added if known else None)
     return _tokenizers[key]
 
 
-def word_ids(tokenizer, cache: RecentCache, text: bytes) -> bytes:
+class LatinWords:
+    """Ids of words of printable ASCII and Latin letters: cut into pieces here, each piece is encoded by the vocabulary's model
+    once, without the places that a whole text's encoding keeps."""
+
+    def __init__(self, tokenizer, added: list[str]):
+        self.tokenize, self.cache = tokenizer.model.tokenize, RecentCache(PIECES_HALF)
+        self.added = [a.encode() for a in added]
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves as characters
+        self.characters = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in shown)}
+
+    def lowered(self, text: bytes) -> bytes | None:
+        """A-Z in lower case; None where that might change an id: accents that compose with a letter, added tokens."""
+        lowered = text.lower()
+        return None if b"\xcc" in text or b"\xcd" in text or any(a in lowered for a in self.added) else lowered
+
+    def ids(self, words: list[bytes]) -> dict[bytes, bytes]:
+        """Of those words that are plain."""
+        shown = b" ".join(words).decode("utf-8", "replace")
+        if not PLAIN.fullmatch(shown):
+            words = [w for w in words if PLAIN.fullmatch(w.decode("utf-8", "replace"))]
+            shown = b" ".join(words).decode()
+        if not words:
+            return {}
+        pieces = PIECE.findall(shown.lower())
+        parts = list(map(self.cache.young.get, pieces))
+        for i in [i for i, p in enumerate(parts) if p is None]:
+            parts[i] = self.cache.get(pieces[i]) or self._piece(pieces[i])
+        return dict(zip(words, b"".join(parts).split(BETWEEN), strict=True))
+
+    def _piece(self, piece: str) -> bytes:
+        if piece == " ":
+            ids = BETWEEN
+        else:
+            shown = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.characters)
+            ids = array("I", [t.id for t in self.tokenize(shown)]).tobytes()
+        if len(piece) <= CACHED_BYTES:
+            self.cache.put(piece, ids)
+        return ids
+
+
+def word_ids(tokenizer, cache: RecentCache, text: bytes, latin: LatinWords | None = None) -> bytes:
     """Little-endian 32-bit ids of a text. The tokenizer drops white space and never joins across it, so words are
-    remembered one by one; new ones are encoded as one text and taken apart by the places of their tokens."""
-    words = text.split()
+    remembered one by one; new ones are encoded by ``latin``, or as one text and taken apart by the places of their tokens."""
+    lowered = latin.lowered(text) if latin else None
+    words = (text if lowered is None else lowered).split()
     parts = list(map(cache.young.get, words))
-    if None in parts:
-        parts = [cache.get(w) if p is None else p for w, p in zip(words, parts, strict=True)]
-    if None in parts:
-        fresh = fresh_ids(tokenizer, list(dict.fromkeys([w for w, p in zip(words, parts, strict=True) if p is None])))
-        parts = [fresh[w] if p is None else p for w, p in zip(words, parts, strict=True)]
-        for w, ids in fresh.items():
+    missed = [i for i, p in enumerate(parts) if p is None]
+    if missed:
+        found = {w: cache.get(w) for w in {words[i] for i in missed}}
+        fresh = [w for w, ids in found.items() if ids is None]
+        new = latin.ids(fresh) if fresh and lowered is not None else {}
+        if len(new) < len(fresh):
+            new |= fresh_ids(tokenizer, [w for w in fresh if w not in new])
+        for w, ids in new.items():
             if len(w) <= CACHED_BYTES:
                 cache.put(w, ids)
+        found |= new
+        for i in missed:
+            parts[i] = found[words[i]]
     return b"".join(parts)
 
 
@@ -74,11 +137,13 @@ def token_pieces(docs: DataFrame, vocabulary: bytes, capacity: int = CAPACITY, t
     out = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer, cache = _tokenizer(shared.value)
+        tokenizer, added = _tokenizer(shared.value)
+        cache = RecentCache(CACHE_HALF)  # of the task, so that an idle worker holds none
+        latin = None if added is None else LatinWords(tokenizer, added)
         for batch in batches:
             rows = ([], [], [], [], [])
             for doc_id, value in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = word_ids(tokenizer, cache, value.as_py()) + END_ID.to_bytes(4, "little")
+                ids = word_ids(tokenizer, cache, value.as_py(), latin) + END_ID.to_bytes(4, "little")
                 for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]
                     for column, x in zip(rows, (doc_id, k, at // 4, len(part) // 4, zlib.crc32(part)), strict=True):

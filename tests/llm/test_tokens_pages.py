@@ -99,6 +99,29 @@ def test_words_equal_the_library(text):
     assert packing.word_ids(tokenizer, cache, text.encode()) == want
 
 
+@settings(max_examples=300, deadline=None)
+@given(
+    st.lists(st.sampled_from([*ALPHABET, " ", "'s", "'RE", "J", "É", "ß", "Ÿ", "ſ", "İ", "\u030c", "\u0301", "_", "7", "\x7f", "\x1f", "×", "Σ", "<|StartOfText|>", "<|endoftext|>", "Word" * 90]), max_size=40).map("".join)
+    | st.text(alphabet=st.characters(max_codepoint=0x17F), max_size=60)
+)
+def test_plain_words_equal_the_library(text):
+    tokenizer, added = packing._tokenizer(VOCABULARY)
+    cache, latin = packing.RecentCache(50), packing.LatinWords(tokenizer, added)
+    want = np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    for _ in range(2):
+        assert packing.word_ids(tokenizer, cache, text.encode(), latin) == want
+
+
+def test_plain_words_are_not_encoded_with_places(monkeypatch):
+    """Words of Latin letters take the short way; an unknown normal form has none."""
+    tokenizer, added = packing._tokenizer(VOCABULARY)
+    text = "Déjà vu, the QUICK brown fox isn't here: 42 (été)!"
+    want = np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    monkeypatch.setattr(packing, "fresh_ids", None)
+    assert packing.word_ids(tokenizer, packing.RecentCache(50), text.encode(), packing.LatinWords(tokenizer, added)) == want
+    assert packing._tokenizer(VOCABULARY.replace(b'"NFC"', b'"NFKC"'))[1] is None
+
+
 def test_very_long_texts(spark):
     """A text of many pieces at the default capacity, with words longer than the cache takes."""
     rng = random.Random(8)
