@@ -30,6 +30,8 @@ CLASS_BASE = 1.4
 FAMILY_SETS, FAMILY_GRAMS, BLOCK = 4000, 2_000_000, 512
 #: Frequent n-grams are looked for in about so many documents. They only steer the order of parts, never the result.
 ORDER_SAMPLE, FREQUENT = 8192, 2.0**-9
+#: Bytes of text whose n-grams are held at a time: words, hashes and keys take some forty times as much.
+TEXT_BYTES = 1 << 20
 
 
 class Sets:
@@ -269,7 +271,7 @@ def link_groups(rows: DataFrame, share: int, whole: int) -> DataFrame:
 
 def _map_sets(rows: DataFrame, n: int, make: Callable, kind: str, text_column: int) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small_batches(batches, text_column):
+        for batch in small_batches(batches, text_column, TEXT_BYTES):
             yield make(batch, Sets(batch.column(text_column), n))
 
     return over_batches(rows, work, kind)
