@@ -21,11 +21,10 @@ DEPTH, TOP = 6, 2
 #: them); the others are joined.
 WORD_SHARE = 2.0**-20
 END = b"\n"
-#: Bounds of what a task holds: remembered scores (log 2), n-grams and words counted so far, bytes of text at a time.
-CACHE_BITS, FLUSH_GRAMS, FLUSH_WORDS, BATCH = 21, 1_500_000, 200_000, 2 << 20
-#: Bytes of text that ask for their n-grams together, their n-grams held at a time, bytes of text for each bucket of contexts, and parts that
-#: n-grams are merged in.
-CHUNK, CHUNK_GRAMS, BUCKET, MERGE_PARTS = 64 << 20, 2_000_000, 8 << 20, 8
+#: Bounds of what a task holds: n-grams and words counted so far, bytes of text at a time.
+FLUSH_GRAMS, FLUSH_WORDS, BATCH = 1_500_000, 200_000, 2 << 20
+#: Bytes of text that ask for their n-grams together, their n-grams held at a time, and bytes of text for each bucket of contexts.
+CHUNK, CHUNK_GRAMS, BUCKET = 64 << 20, 2_000_000, 8 << 20
 
 
 def log_gamma(x: np.ndarray) -> np.ndarray:
@@ -111,9 +110,13 @@ class ContextTree:
         return total
 
 
+def words_of(text: bytes) -> list[bytes]:
+    return text.lower().split()
+
+
 def sequence(text: bytes) -> bytes:
     """What is scored: lower-cased words joined by one space, then one end byte (which no word contains)."""
-    return b" ".join(text.lower().split()) + END
+    return b" ".join(words_of(text)) + END
 
 
 def grams_of(sequences: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
@@ -282,6 +285,38 @@ def unpacked(value: bytes) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64)[:, 0], dtype=np.uint64)
 
 
+def distinct(values: np.ndarray) -> np.ndarray:
+    """Places of the first of equal values, which are sorted."""
+    fresh = np.ones(len(values), bool)
+    np.not_equal(values[1:], values[:-1], out=fresh[1:])
+    return np.flatnonzero(fresh)
+
+
+class Found:
+    """Values of n-grams, in the order of their hashes, with the first place of each start of a hash."""
+
+    def __init__(self, grams: np.ndarray, values: np.ndarray):
+        hashes = grams.astype(np.uint64) * MIX
+        order = np.argsort(hashes)
+        self.hashes, self.values = hashes[order], values[order]
+        bits = max(1, len(grams).bit_length())
+        self.shift = np.uint64(64 - bits)
+        counts = np.bincount((self.hashes >> self.shift).astype(np.int64), minlength=1 << bits)
+        self.first = (np.cumsum(counts) - counts).astype(np.int32)
+
+    def of(self, grams: np.ndarray) -> np.ndarray:
+        """Of n-grams that all are there; another one is an error."""
+        hashes = grams.astype(np.uint64) * MIX
+        at = self.first[(hashes >> self.shift).astype(np.int64)]
+        missed = np.flatnonzero(self.hashes[at] != hashes)
+        while len(missed):
+            at[missed] += 1
+            missed = missed[self.hashes[at[missed]] != hashes[missed]]
+        return self.values[at]
+
+
+#: Room for the mark of n-grams of training texts, and that mark.
+MARK, MARKED = np.uint64(8), np.uint64(1)
 ASKED = pa.schema([("bucket", pa.int64()), ("chunk", pa.int64()), ("grams", pa.binary()), ("counts", pa.binary())])
 
 
@@ -289,28 +324,39 @@ def asked_grams(texts: DataFrame, depth: int, buckets: int) -> DataFrame:
     """Distinct n-grams of each chunk, packed by bucket, with the number of times its training texts have them."""
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        waiting: list[tuple[np.ndarray, np.ndarray]] = []
+        waiting: list[np.ndarray] = []
+        held: tuple[np.ndarray, np.ndarray] | None = None
         now = -1
 
         def merge() -> None:
-            done = []
-            for part in range(MERGE_PARTS):  # by the newest byte of context, so that only a part is held several times
-                mine = [(w[0][m], w[1][m]) for w in waiting for m in [w[0] >> 8 & (MERGE_PARTS - 1) == part]]
-                code, keys = pd.factorize(np.concatenate([m[0] for m in mine]))
-                sums = np.bincount(code, weights=np.concatenate([m[1] for m in mine]), minlength=len(keys))
-                done.append((keys, sums.astype(np.int32)))
-            waiting[:] = [tuple(np.concatenate(x) for x in zip(*done, strict=True))]
+            nonlocal held
+            marked = np.concatenate(waiting)
+            waiting.clear()
+            marked.sort()
+            first = distinct(marked >> MARK)
+            keys, counts = marked[first] >> MARK, np.add.reduceat((marked & MARKED).astype(np.int32), first, dtype=np.int32)
+            del marked, first
+            if held is not None:
+                both = np.concatenate([held[0], keys])
+                both.sort()
+                both = both[distinct(both)]
+                sums = np.zeros(len(both), np.int32)
+                for k, n in (held, (keys, counts)):
+                    sums[np.searchsorted(both, k)] += n
+                keys, counts = both, sums
+            held = keys, counts
 
         def rows() -> Iterator[pa.RecordBatch]:
-            if not waiting:
+            nonlocal held
+            if waiting:
+                merge()
+            if held is None:
                 return
-            merge()
-            keys, counts = waiting.pop()
-            keys = turned(keys)
-            order = np.argsort(keys)
-            keys, counts = keys[order], counts[order]
+            keys, counts = held
+            held = None
+            keys = keys >> np.uint64(8) << np.uint64(16) | keys & np.uint64(255)
             bucket = bucket_of(turned_back(keys), buckets)
-            order = np.argsort(bucket, kind="stable")
+            order = np.argsort(bucket.astype(np.uint16) if buckets <= 1 << 16 else bucket, kind="stable")
             keys, counts, bucket = keys[order], counts[order], bucket[order]
             del order
             first = np.flatnonzero(np.diff(bucket, prepend=-1))
@@ -328,12 +374,13 @@ def asked_grams(texts: DataFrame, depth: int, buckets: int) -> DataFrame:
                     now = int(chunks[i])
                 for batch in small_batches([whole.slice(i, j - i)], 2, BATCH // 4):
                     found, lengths = grams_of([sequence(v.as_py()) for v in batch.column(2)], depth)
-                    code, unique = pd.factorize(found)
-                    weights = np.repeat(batch.column(1).to_numpy(zero_copy_only=False).astype(np.float64), lengths)
-                    waiting.append((unique, np.bincount(code, weights=weights, minlength=len(unique)).astype(np.int32)))
-                    if sum(len(w[0]) for w in waiting[1:]) > CHUNK_GRAMS // 2:
+                    trains = np.repeat(batch.column(1).to_numpy(zero_copy_only=False).astype(np.uint64), lengths)
+                    # turned n-grams have a free byte before the last: both move up, so that the last can be the mark
+                    found = turned(found)
+                    waiting.append(found & ~np.uint64(0xFFFF) | (found & np.uint64(255)) << MARK | trains)
+                    if sum(map(len, waiting)) > CHUNK_GRAMS:
                         merge()
-                        if len(waiting[0][0]) > CHUNK_GRAMS:
+                        if len(held[0]) > CHUNK_GRAMS:
                             yield from rows()
         yield from rows()
 
@@ -461,8 +508,7 @@ def score_texts(docs: DataFrame, training: DataFrame | None, depth: int = DEPTH,
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         logs = {w: float(np.log10(n + 1)) for w, n in shared.value.items()}
-        seen_keys, seen_log = np.full(1 << CACHE_BITS, -1), np.zeros(1 << CACHE_BITS)  # by hash, the newest stays
-        now, parts, known, values_of = -1, [], np.zeros(0, np.int64), np.zeros(0, np.float32)
+        now, parts, found = -1, [], None
 
         def runs() -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -473,35 +519,22 @@ def score_texts(docs: DataFrame, training: DataFrame | None, depth: int = DEPTH,
 
         for run in runs():
             if run.column(0)[0].as_py() != now:
-                now, parts = run.column(0)[0].as_py(), []
-                seen_keys[:] = -1
+                now, parts, found = run.column(0)[0].as_py(), [], None
             if run.column(1)[0].as_py() == 0:  # the n-grams of a chunk come before its texts
                 parts += [(turned_back(unpacked(g.as_py())), np.frombuffer(v.as_py(), np.float32)) for g, v in zip(run.column(6), run.column(7), strict=True)]
                 continue
             if parts:
-                known, values_of = (np.concatenate(x) for x in zip(*parts, strict=True))
-                order = np.argsort(known)
-                known, values_of, parts = known[order], values_of[order], []
-            for batch in small_batches([run], 5, BATCH):
-                yield scores_of(batch.select([2, 3, 4, 5]), known, values_of, seen_keys, seen_log, logs)
-
-    def scores_of(batch: pa.RecordBatch, known: np.ndarray, values_of: np.ndarray, seen_keys: np.ndarray, seen_log: np.ndarray, logs: dict) -> pa.RecordBatch:
-        texts = [v.as_py() for v in batch.column(3)]
-        keys, lengths = grams_of([sequence(t) for t in texts], depth)
-        slot = (keys.astype(np.uint64) * MIX >> np.uint64(64 - CACHE_BITS)).astype(np.int64)
-        values = seen_log[slot]
-        missed = np.flatnonzero(seen_keys[slot] != keys)
-        if len(missed):
-            code, unique = pd.factorize(keys[missed])
-            fresh = values_of[np.searchsorted(known, unique)].astype(np.float64)
-            values[missed] = fresh[code]
-            slot = (unique.astype(np.uint64) * MIX >> np.uint64(64 - CACHE_BITS)).astype(np.int64)
-            slot, last = np.unique(slot, return_index=True)
-            seen_keys[slot], seen_log[slot] = unique[last], fresh[last]
+                found, parts = Found(*(np.concatenate(x) for x in zip(*parts, strict=True))), []
+            for batch in small_batches([run], 5, BATCH // 2):
+                yield scores_of(batch.select([2, 3, 4, 5]), found, logs)
+
+    def scores_of(batch: pa.RecordBatch, logs_of: Found, logs: dict) -> pa.RecordBatch:
+        texts = [words_of(v.as_py()) for v in batch.column(3)]
+        keys, lengths = grams_of([b" ".join(words) + END for words in texts], depth)
+        values = logs_of.of(keys).astype(np.float64)
         totals = np.add.reduceat(values, np.cumsum(lengths) - lengths) * np.log10(2)
         rows = ([], [], [], [], [])
-        for text in texts:
-            found = text.lower().split()
+        for found in texts:
             values = [logs.get(w) for w in found]
             rare = Counter([w for w, v in zip(found, values, strict=True) if v is None])
             times = list(rare.values())

@@ -248,3 +248,37 @@ def test_batches_of_texts_are_bounded(spark):
     rows = spark.range(0, 5000, 1, 1).selectExpr("repeat('x', 4000) AS text")
     sizes = over_batches(rows, lambda batches: (pa.RecordBatch.from_pydict({"n": [b.nbytes]}) for b in batches), "n long").collect()
     assert max(r["n"] for r in sizes) < 2 * ARROW_BYTES
+
+
+@pytest.mark.parametrize("held", [300, 1 << 30])
+def test_asked_grams_keep_their_counts(monkeypatch, held):
+    """Sorted n-grams of a chunk come once a flush, with the times that training texts have them, however often they are merged."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(ctw, "over_batches", lambda texts, function, schema: function)
+    monkeypatch.setattr(ctw, "CHUNK_GRAMS", held)
+    rng = random.Random(4)
+    texts = [" ".join(rng.choices(["ab", "Abc", "b\xe9", "x", "yz"], k=rng.randrange(0, 40))).encode() for _ in range(120)]
+    chunks, trains = [i // 50 for i in range(120)], [i % 3 > 0 for i in range(120)]
+    batch = pa.RecordBatch.from_pydict({"chunk": pa.array(chunks, pa.int64()), "trains": trains, "text": pa.array(texts, pa.binary())})
+    want, found = Counter(), Counter()
+    for chunk, train, text in zip(chunks, trains, texts, strict=True):
+        for gram in ctw.grams_of([ctw.sequence(text)], ctw.DEPTH)[0].tolist():
+            want[chunk, gram] += train
+    frame = type("Frame", (), {"select": lambda self, *columns: self})()
+    for rows in ctw.asked_grams(frame, ctw.DEPTH, 16)(batch.slice(i, 7) for i in range(0, 120, 7)):
+        for bucket, chunk, grams, counts in zip(*(rows.column(k).to_pylist() for k in range(4)), strict=True):
+            turns = ctw.unpacked(grams)
+            assert np.array_equal(turns, np.unique(turns)) and len(counts) == 4 * len(turns)
+            assert set(ctw.bucket_of(ctw.turned_back(turns), 16).tolist()) == {bucket}
+            found.update({(chunk, g): n for g, n in zip(ctw.turned_back(turns).tolist(), np.frombuffer(counts, np.int32).tolist(), strict=True)})
+    assert {k: n for k, n in want.items()} == {k: found[k] for k in found}
+
+
+@pytest.mark.parametrize("n", [1, 2, 50_000])
+def test_values_are_found_by_hash(n):
+    grams = np.unique(np.random.default_rng(n).integers(0, 1 << 56, n))
+    asked = np.random.default_rng(1).choice(grams, 3 * n)
+    assert np.array_equal(ctw.Found(grams, grams.astype(np.float64)).of(asked), asked.astype(np.float64))
+    with pytest.raises(IndexError):
+        ctw.Found(np.array([5]), np.array([1.0])).of(np.array([6]))
