@@ -28,6 +28,8 @@ from framelake.llm.common import (
 CLASS_BASE = 1.4
 #: Families up to this many sets and n-grams are joined in one task; larger ones in blocks, of half as many n-grams at most.
 FAMILY_SETS, FAMILY_GRAMS, BLOCK = 4000, 2_000_000, 512
+#: Common keys of a crowded family are those of more sets than this; the pairs of all others are counted.
+COMMON = 32
 #: Frequent n-grams are looked for in about so many documents. They only steer the order of parts, never the result.
 ORDER_SAMPLE, FREQUENT = 8192, 2.0**-9
 #: Bytes of text whose n-grams are held at a time: words, hashes and keys take some forty times as much.
@@ -76,12 +78,17 @@ class Schemes:
         self.bounds = np.array(bounds, np.int64)
         self.differ = (2 * (self.bounds[1:] - 1) * (whole - share)) // (whole + share)
         self.parts = np.maximum(2, (16 * (self.differ + 1) + 9) // 10)
+        self.shared = np.maximum(1, 3 * (self.differ + 1) // 10)
 
     def keys(self, sets: Sets, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(owner, key) of all sets."""
+        """(owner, key) of all sets; linked sets share one key at least."""
+        return self.entries(sets, frequent, np.ones_like(self.shared))[:2]
+
+    def entries(self, sets: Sets, frequent: np.ndarray, shared: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(owner, key, scheme) of all sets; linked sets share ``shared`` keys of one scheme at least."""
         own_class = np.searchsorted(self.bounds, np.maximum(sets.size, 1), side="right") - 1
         reach = sets.size * self.whole // self.share
-        owners, keys = [], []
+        owners, keys, schemes = [], [], []
         rare = np.ones(len(sets.value), bool)
         if len(frequent):
             at = np.minimum(np.searchsorted(frequent, sets.value), len(frequent) - 1)
@@ -106,10 +113,11 @@ class Schemes:
             who, key = who[order], key[order]
             counts = np.bincount(who, minlength=len(sets.size))
             rank = np.arange(len(who)) - np.repeat(np.cumsum(counts) - counts, counts)
-            wanted = self.differ[scheme] + 1
+            wanted = self.differ[scheme] + shared[scheme]
             chosen = rank < wanted[who]
             owners.append(who[chosen])
             keys.append(key[chosen])
+            schemes.append(scheme[who[chosen]])
             # Empty parts come last in the order; a set with too few others needs them too.
             for i in np.flatnonzero(joined & (counts < wanted)):
                 used = set(part[owner == i].tolist())
@@ -118,8 +126,9 @@ class Schemes:
                 more = np.sort(code)[: int(wanted[i] - counts[i])]
                 owners.append(np.full(len(more), i))
                 keys.append(more)
+                schemes.append(np.full(len(more), scheme[i]))
         none = [np.zeros(0, np.int64)]
-        return np.concatenate(owners or none), np.concatenate(keys or none).astype(np.uint64)
+        return np.concatenate(owners or none), np.concatenate(keys or none).astype(np.uint64), np.concatenate(schemes or none)
 
 
 class Components:
@@ -324,6 +333,57 @@ def candidate_edges(texts: DataFrame, n: int, schemes: Schemes, frequent: np.nda
     return over_batches(rows.repartition("key").sortWithinPartitions("key", "doc"), walk, "a long, b long").distinct()
 
 
+def strong_edges(texts: DataFrame, n: int, schemes: Schemes, frequent: np.ndarray) -> DataFrame:
+    """Edges (a, b) whose components hold every linked pair, closer than those of ``candidate_edges``; for its crowded families.
+
+    Linked sets share m keys of a scheme. Either half of these are keys of few sets, whose pairs are counted, or one is a
+    common key, whose sets all hang on the smallest. Long texts with a passage in common share a key or two and stay apart.
+    """
+    shared = texts.sparkSession.sparkContext.broadcast(frequent)
+    schema = pa.schema([("key", pa.int64()), ("doc", pa.int64()), ("need", pa.int64())])
+    pair = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("need", pa.int64())])
+
+    def emit(batch: pa.RecordBatch, sets: Sets) -> pa.RecordBatch:
+        owner, key, scheme = schemes.entries(sets, shared.value, schemes.shared)
+        return row_batch(schema, [key.astype(np.int64), batch.column(0).to_numpy()[owner], (schemes.shared[scheme] + 1) // 2])
+
+    def pairs(rows: np.ndarray) -> pa.RecordBatch:
+        first = np.flatnonzero(np.diff(rows[0], prepend=rows[0, 0] ^ 1))
+        size = np.diff(np.append(first, rows.shape[1]))
+        at, size = np.repeat(first, size), np.repeat(size, size)
+        common = (size > COMMON) & (at != np.arange(rows.shape[1]))
+        found = [np.stack([rows[1, at[common]], rows[1, common], np.zeros(int(common.sum()), np.int64)])]
+        few = rows[:, (size > 1) & (size <= COMMON)]
+        for step in range(1, min(COMMON, few.shape[1])):
+            met = few[0, step:] == few[0, :-step]
+            if not met.any():
+                break
+            found.append(np.stack([few[1, :-step][met], few[1, step:][met], few[2, step:][met]]))
+        return row_batch(pair, list(np.concatenate(found, axis=1)))
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros((3, 0), np.int64)
+        for batch in batches:
+            rows = np.concatenate([held, np.stack([c.to_numpy() for c in batch.columns])], axis=1)
+            fresh = np.ones(rows.shape[1], bool)
+            fresh[1:] = (rows[:2, 1:] != rows[:2, :-1]).any(axis=0)
+            rows = rows[:, fresh]
+            if not rows.shape[1]:
+                continue
+            last = int(np.flatnonzero(rows[0] == rows[0, -1])[0])
+            # The last key may go on. Of a common one the start is enough to know it by.
+            done = last if rows.shape[1] - last <= COMMON else rows.shape[1]
+            held = rows[:, last : last + COMMON + 1]
+            if done:
+                yield pairs(rows[:, :done])
+        if held.shape[1]:
+            yield pairs(held)
+
+    rows = _map_sets(texts, n, emit, "key long, doc long, need long", 1)
+    met = over_batches(rows.repartition("key").sortWithinPartitions("key", "doc"), walk, "a long, b long, need long")
+    return met.groupBy("a", "b", "need").agg(F.count(F.lit(1)).alias("n")).where("n >= need").select("a", "b")
+
+
 def frequent_grams(texts: DataFrame, n: int, rows: int) -> np.ndarray:
     """Sorted hashes of n-grams that many of some thousand documents have. Steers the order of parts only."""
     step = max(1, rows // ORDER_SAMPLE)
@@ -364,6 +424,18 @@ def _large_links(members: DataFrame, sets: DataFrame, share: int, whole: int, bl
         held = stored(marked.select("doc_id", "family", "size", F.coalesce("r", "doc_id").alias("root"), (F.col("done") | F.coalesce("now", F.lit(False))).alias("done")), "large")
 
 
+def _as_families(roots: DataFrame) -> DataFrame:
+    """(doc_id, family) of components, roots included."""
+    found = roots.select(F.col("node").alias("doc_id"), F.col("root").alias("family"))
+    return found.union(found.select(F.col("family").alias("doc_id"), "family")).distinct()
+
+
+def _beyond(families: DataFrame, family_sets: int) -> DataFrame:
+    """Families too large for one task."""
+    bulk = families.groupBy("family").agg(F.count(F.lit(1)).alias("sets"), F.sum("n").alias("all"))
+    return stored(bulk.where(F.expr(f"sets > {family_sets} OR all > {FAMILY_GRAMS}")).select("family"), "large-families")
+
+
 def jaccard_components(
     docs: DataFrame, n: int = 5, share: int = 80, whole: int = 100, text: str = "text", family_sets: int = FAMILY_SETS, block: int = BLOCK
 ) -> DataFrame:
@@ -371,7 +443,8 @@ def jaccard_components(
     n-gram sets is at least share / whole; a component is named after its smallest id.
 
     Equal sets are joined as one. Candidate keys (see Schemes) tie the others to families; each family's sets go to one
-    task, once, where a trie finds the links. Families beyond a bound are joined block by block.
+    task, once, where a trie finds the links. Families beyond a bound are told apart by more keys (see strong_edges); those
+    still beyond it are joined block by block.
 
     Null or empty texts, and texts without words, have an empty set and stay alone. Rows that repeat an id are one
     document's. A row with a null id takes the component of documents with its set, else null. No rows, no result.
@@ -400,13 +473,17 @@ def jaccard_components(
     copies = stored(copies, "set-copies")
     for end in ("a", "b"):  # one document stands for all with its set
         edges = edges.join(copies.withColumnsRenamed({"doc_id": end, "rep": "to"}), end, "left").withColumn(end, F.coalesce("to", end)).drop("to")
-    families = components(edges, "families")
-    families = families.select(F.col("node").alias("doc_id"), F.col("root").alias("family"))
-    families = families.union(families.select(F.col("family").alias("doc_id"), "family")).distinct()
+    families = _as_families(components(edges, "families"))
     sizes = rows.groupBy("doc_id").agg(F.max("n_shingles").alias("n"))
     families = stored(families.join(sizes, "doc_id"), "family-members")
-    bulk = families.groupBy("family").agg(F.count(F.lit(1)).alias("sets"), F.sum("n").alias("all"))
-    large = stored(bulk.where(F.expr(f"sets > {family_sets} OR all > {FAMILY_GRAMS}")).select("family"), "large-families")
+    large = _beyond(families, family_sets)
+    if not large.isEmpty():
+        crowd = stored(families.join(large, "family").select("doc_id", "n"), "crowds")
+        crowded = told_apart(ids, crowd, ["doc_id"])[1].join(crowd.select("doc_id"), "doc_id", "left_semi")
+        finer = _as_families(components(strong_edges(crowded, n, schemes, frequent), "finer-families"))
+        families = families.join(large, "family", "left_anti").unionByName(finer.join(crowd, "doc_id").select("family", "doc_id", "n"))
+        families = stored(families, "finer-members")
+        large = _beyond(families, family_sets)
     members = families.join(large.withColumn("large", F.lit(True)), "family", "left").select("doc_id", "family", F.coalesce("large", F.lit(False)).alias("large"))
 
     grouped = pa.schema([("doc_id", pa.int64()), ("family", pa.int64()), ("large", pa.bool_()), ("grams", pa.binary())])

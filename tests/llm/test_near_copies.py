@@ -211,3 +211,40 @@ def test_sets_are_made_from_a_megabyte_of_text(spark):
     schema = pa.schema([("n", pa.int64())])
     rows = join._map_sets(docs, 4, lambda batch, sets: row_batch(schema, [[sum(len(v.as_buffer()) for v in batch.column(1))]]), "n long", 1).collect()
     assert sum(r["n"] for r in rows) == 3000 * 3000 and max(r["n"] for r in rows) <= (1 << 20) + 3000
+
+
+def long_texts(seed=3, count=14, length=3000, passage=1200):
+    """Each long text has a passage in common with the next; some have near copies."""
+    rng, rows, last = random.Random(seed), [], []
+    for i in range(count):
+        words = [*last, *(f"w{rng.randrange(10**6)}" for _ in range(length - len(last)))]
+        last = words[-passage:]
+        rows.append((i, " ".join(words)))
+        for k in range(2 * (i % 4 == 0)):
+            own = list(words)
+            for _ in range(40):
+                own[rng.randrange(length)] = f"x{rng.randrange(10**6)}"
+            rows.append((100 + 2 * i + k, " ".join(own)))
+    return rows
+
+
+def test_long_texts_with_passages_in_common_take_no_rounds(spark, monkeypatch):
+    """One crowded family by its keys; by half of the keys that linked sets share, only near copies are left together."""
+    labels, stored = [], join.stored
+    monkeypatch.setattr(join, "stored", lambda df, label: labels.append(label) or stored(df, label))
+    rows = long_texts()
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in join.jaccard_components(docs, 5, 80, family_sets=4).collect()}
+    want = brute_components(rows, 5, 80, 100)
+    assert got == want and len({c for _, c in want.values()}) == 14
+    assert "crowds" in labels and "large-links" not in labels
+
+
+@pytest.mark.parametrize("common", [1, 3, 32])
+def test_crowded_families_by_brute_force(spark, monkeypatch, common):
+    """Whatever number of sets makes a key a common one."""
+    monkeypatch.setattr(join, "COMMON", common)
+    rows = near_copies(8) + [(1000 + i, text) for i, text in long_texts(4, 6, 400, 150)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in join.jaccard_components(docs, 5, 80, family_sets=2, block=3).collect()}
+    assert got == brute_components(rows, 5, 80, 100)
