@@ -156,9 +156,9 @@ def check_sequence(frames: DataFrame) -> None:
     fail_if_any(contiguity(frames).where(~F.col("contiguous")), "frame ids are not contiguous from 0")
 
 
-def write_records(records: DataFrame, path: str) -> None:
-    """JSON lines, one row per frame, below an output path that must not exist yet."""
-    records.write.mode("errorifexists").option("ignoreNullFields", "false").json(path)
+def write_records(records: DataFrame, path: str, compression: str = "none") -> None:
+    """JSON lines, one row per frame, below an output path that must not exist yet. Compressed files are read back by their names."""
+    records.write.mode("errorifexists").option("ignoreNullFields", "false").json(path, compression=compression)
 
 
 def crop_records(frames: DataFrame, detections: DataFrame, keys: list[str] = FRAME_KEYS) -> DataFrame:

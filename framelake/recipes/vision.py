@@ -30,9 +30,9 @@ def _detections(t: Tables):
 
 
 def _written(t: Tables, records):
-    """Write a product and read it back with the same schema."""
+    """Write a product, compressed, and read it back with the same schema."""
     path = scratch_path(t.spark, "product")
-    products.write_records(records, path)
+    products.write_records(records, path, "gzip")
     return read_products(t.spark, path, records.schema)
 
 

@@ -244,3 +244,16 @@ def test_observed_metrics(spark, tmp_path):
     watched, seen = artifacts.observed(frames_df, F.col("size_bytes"), "run")
     watched.write.parquet(str(tmp_path / "out"))
     assert seen.get == {"frame_count": 10, "bytes": 90}
+
+
+def test_products_of_queries_are_written_compressed(spark):
+    """The repeated field names of JSON are most of what a written product has."""
+    from pathlib import Path
+
+    from framelake.recipes.tables import Tables
+    from framelake.recipes.vision import _written
+
+    records = spark.range(2000).selectExpr("id AS frame_id", "named_struct('scale', 'camera', 'seconds', id) AS observation_time")
+    back = _written(Tables(spark, ""), records)
+    files = [Path(f.removeprefix("file://")) for f in back.inputFiles()]
+    assert sum(f.stat().st_size for f in files) < 40 * 2000 and sorted(back.collect()) == sorted(records.collect())
