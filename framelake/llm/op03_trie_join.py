@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from framelake.llm.common import (
     as_bytes,
+    bucket_count,
     components,
     documents,
     flat_words,
@@ -28,12 +29,16 @@ from framelake.llm.common import (
 CLASS_BASE = 1.4
 #: Families up to this many sets and n-grams are joined in one task; larger ones in blocks, of half as many n-grams at most.
 FAMILY_SETS, FAMILY_GRAMS, BLOCK = 4000, 2_000_000, 512
+#: Families too large for one task, of up to this many sets, are told apart by sketches of 2^16 bits a set at most; two chunks meet in a task.
+SKETCH_SETS, SKETCH_BITS, SKETCH_CHUNK = 65_536, 16, 2048
 #: Common keys of a crowded family are those of more sets than this; the pairs of all others are counted.
 COMMON = 32
 #: Frequent n-grams are looked for in about so many documents. They only steer the order of parts, never the result.
 ORDER_SAMPLE, FREQUENT = 8192, 2.0**-9
 #: Bytes of text whose n-grams are held at a time: words, hashes and keys take some forty times as much.
 TEXT_BYTES = 1 << 20
+#: Keys that a part has to expect, a key for each 8 bytes of text; so many keys, or links, travel at a time.
+PART_KEYS, SPLIT = 1 << 18, 1 << 19
 
 
 class Sets:
@@ -44,15 +49,15 @@ class Sets:
         words, first, counts = flat_words(lowered)
         hashes = word_hashes(words)
         grams = rolling(hashes, n)
-        windows = np.maximum(counts - n + 1, 0)
+        windows = np.where(counts < n, counts > 0, counts - n + 1)
+        begin = np.cumsum(windows) - windows
         owner = np.repeat(np.arange(len(counts)), windows)
-        at = np.arange(len(owner)) - np.repeat(np.cumsum(windows) - windows, windows) + np.repeat(first, windows)
-        short = np.flatnonzero((counts > 0) & (counts < n))
-        whole = [rolling(hashes[first[i] : first[i] + counts[i]] ^ np.uint64(n), int(counts[i])) for i in short]
-        value = np.concatenate([grams[at], *whole]) if len(at) or whole else np.zeros(0, np.uint64)
-        owner = np.concatenate([owner, short])
-        order = np.lexsort((value, owner))
-        value, owner = value[order], owner[order]
+        at = np.arange(len(owner)) - np.repeat(begin - first, windows)
+        value = grams[np.minimum(at, len(grams) - 1)] if len(grams) else np.zeros(len(owner), np.uint64)
+        for i in np.flatnonzero((counts > 0) & (counts < n)):
+            value[begin[i]] = rolling(hashes[first[i] : first[i] + counts[i]] ^ np.uint64(n), int(counts[i]))[0]
+        for a, b in zip(begin.tolist(), (begin + windows).tolist(), strict=True):
+            value[a:b].sort()
         fresh = np.ones(len(value), bool)
         fresh[1:] = (value[1:] != value[:-1]) | (owner[1:] != owner[:-1])
         self.value, self.owner = value[fresh], owner[fresh]
@@ -109,18 +114,23 @@ class Schemes:
             key = mixed(np.add.reduceat(content[take], starts) ^ mixed((scheme[who] << 32 | where).astype(np.uint64)))
             size = np.diff(np.append(starts, len(owner)))
             few = np.add.reduceat(rare[take].astype(np.int64), starts)
-            order = np.lexsort((key, -size, -few, who))
-            who, key = who[order], key[order]
+            # One order for all sets: by what a part holds, then by its place.
+            rank = (np.uint64(255) - np.minimum(few, 255).astype(np.uint64)) << np.uint64(56)
+            rank |= (np.uint64(255) - np.minimum(size, 255).astype(np.uint64)) << np.uint64(48) | key >> np.uint64(16)
             counts = np.bincount(who, minlength=len(sets.size))
-            rank = np.arange(len(who)) - np.repeat(np.cumsum(counts) - counts, counts)
+            begin = np.cumsum(counts) - counts
             wanted = self.differ[scheme] + shared[scheme]
-            chosen = rank < wanted[who]
+            chosen = [np.zeros(0, np.int64)]
+            for i in np.flatnonzero(counts).tolist():
+                a, b = int(begin[i]), int(begin[i] + counts[i])
+                chosen.append(a + (np.argsort(rank[a:b], kind="stable")[: wanted[i]] if wanted[i] < b - a else np.arange(b - a)))
+            chosen = np.concatenate(chosen)
             owners.append(who[chosen])
             keys.append(key[chosen])
             schemes.append(scheme[who[chosen]])
             # Empty parts come last in the order; a set with too few others needs them too.
             for i in np.flatnonzero(joined & (counts < wanted)):
-                used = set(part[owner == i].tolist())
+                used = set(where[begin[i] : begin[i] + counts[i]].tolist())
                 empty = [j for j in range(int(self.parts[scheme[i]])) if j not in used]
                 code = mixed(mixed(np.array([int(scheme[i]) << 32 | j for j in empty], np.uint64)) + np.uint64(1))
                 more = np.sort(code)[: int(wanted[i] - counts[i])]
@@ -286,51 +296,95 @@ def _map_sets(rows: DataFrame, n: int, make: Callable, kind: str, text_column: i
     return over_batches(rows, work, kind)
 
 
-def _star(first: np.ndarray, key: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    """Pairs (smallest document of a key, other document), for rows sorted by key and document."""
-    leader = doc[np.maximum.accumulate(np.where(first, np.arange(len(key)), 0))]
+def _star(key: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys, the smallest document of each, and pairs (that one, other document of the key), for rows sorted by key."""
+    first = np.flatnonzero(np.append(True, key[1:] != key[:-1])[: len(key)])
+    if not len(first):
+        return key, doc, np.zeros((0, 2), np.int64)
+    least = np.minimum.reduceat(doc, first)
+    leader = np.repeat(least, np.diff(np.append(first, len(key))))
     pairs = np.stack([leader, doc], 1)[leader != doc]
-    return np.unique(pairs, axis=0) if len(pairs) else pairs
+    return key[first], least, np.unique(pairs, axis=0) if len(pairs) else pairs
 
 
-def candidate_edges(texts: DataFrame, n: int, schemes: Schemes, frequent: np.ndarray) -> DataFrame:
-    """Edges (a, b) whose components hold every linked pair. Documents with a common key hang on the smallest of them:
-    first within each batch of a task, so that only one row per key and batch is shuffled, then over all."""
-    shared = texts.sparkSession.sparkContext.broadcast(frequent)
-    schema = pa.schema([("key", pa.int64()), ("doc", pa.int64()), ("other", pa.int64())])
+def candidates(texts: DataFrame, n: int, schemes: Schemes, frequent: np.ndarray, parts: int = 16) -> DataFrame:
+    """Digests of all texts' sets and edges whose components hold every linked pair, from one pass over the texts.
 
-    def emit(batch: pa.RecordBatch, sets: Sets) -> pa.RecordBatch:
-        owner, key = schemes.keys(sets, shared.value)
-        doc, key = batch.column(0).to_numpy()[owner], key.astype(np.int64)
-        order = np.lexsort((doc, key))
-        key, doc = key[order], doc[order]
-        first = np.ones(len(key), bool)
-        first[1:] = key[1:] != key[:-1]
-        pairs = _star(first, key, doc)
-        none = pa.nulls(int(first.sum()), pa.int64())
-        others = pa.concat_arrays([none, pa.array(pairs[:, 1] if len(pairs) else [], pa.int64())])
-        spread = mixed(pairs[:, 1].astype(np.uint64)).astype(np.int64) if len(pairs) else np.zeros(0, np.int64)
-        docs = np.concatenate([doc[first], pairs[:, 0] if len(pairs) else np.zeros(0, np.int64)])
-        return row_batch(schema, [np.concatenate([key[first], spread]), docs, others])
+    Rows have (doc_id, n_shingles, high, low), or null digests and an edge (doc_id, b). Documents with a common key hang on the
+    smallest of them: first within some batches of a task, so that a key is shuffled once for these, then over all. A text
+    with a null id has no edges. Keys are dealt to ``parts`` (a power of two) by their highest bits and travel packed, a row
+    for each part and some batches; one part is sorted at a time.
+    """
+    shared = texts.sparkSession.sparkContext.broadcast(frequent)
+    schema = pa.schema([("part", pa.int64()), ("kind", pa.int64()), ("data", pa.binary())])
+    found = pa.schema([("doc_id", pa.int64()), ("b", pa.int64()), ("n_shingles", pa.int64()), ("high", pa.int64()), ("low", pa.int64())])
+    shift = np.uint64(64 - parts.bit_length() + 1)
+
+    def packed(keys: list[np.ndarray], docs: list[np.ndarray], digests: list[np.ndarray]) -> pa.RecordBatch:
+        key, doc = np.concatenate(keys), np.concatenate(docs)
+        order = np.argsort(key)
+        key, least, pairs = _star(key[order], doc[order])
+        edges = np.searchsorted(key >> shift if parts > 1 else np.zeros(len(key), np.int64), np.arange(parts + 1).astype(np.uint64)).tolist()
+        rows = [(i, 0, key[a:b].tobytes() + least[a:b].tobytes()) for i, (a, b) in enumerate(zip(edges, edges[1:], strict=False)) if a < b]
+        spread = int(least[0]) if len(least) else 0
+        rows += [((spread + i) % parts, 1, d.tobytes()) for i, d in enumerate(digests)]
+        rows += [((spread + i) % parts, 2, pairs[i : i + SPLIT].tobytes()) for i in range(0, len(pairs), SPLIT)]
+        return row_batch(schema, [list(c) for c in zip(*rows, strict=True)])
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, docs, digests = [], [], []
+        for batch in small_batches(batches, 1, TEXT_BYTES):
+            sets, ids = Sets(batch.column(1), n), batch.column(0)
+            known = ids.is_valid().to_numpy(zero_copy_only=False)
+            some = np.flatnonzero(sets.size)
+            digest = np.zeros((len(sets.size), 5), np.int64)
+            digest[:, 0], digest[:, 1], digest[:, 2] = ids.fill_null(0).to_numpy(), known, sets.size
+            for salt in (1, 2) if len(some) else ():
+                digest[some, 2 + salt] = np.add.reduceat(mixed(sets.value + np.uint64(salt)), sets.first[some]).view(np.int64)
+            owner, key = schemes.keys(sets, shared.value)
+            digests.append(digest)
+            keys.append(key[known[owner]])
+            docs.append(digest[owner[known[owner]], 0])
+            if sum(map(len, keys)) >= SPLIT:
+                yield packed(keys, docs, digests)
+                keys, docs, digests = [], [], []
+        if digests:
+            yield packed(keys, docs, digests)
+
+    def tied(rows: list[bytes]) -> np.ndarray:
+        half = [len(r) // 2 for r in rows]
+        key = np.concatenate([np.frombuffer(r, np.uint64, h // 8) for r, h in zip(rows, half, strict=True)])
+        doc = np.concatenate([np.frombuffer(r, np.int64, offset=h) for r, h in zip(rows, half, strict=True)])
+        order = np.argsort(key)
+        return _star(key[order], doc[order])[2]
+
+    def linked(pairs: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for i in range(0, len(pairs), SPLIT):
+            a, b = pairs[i : i + SPLIT].T
+            yield row_batch(found, [a, b, *[pa.nulls(len(a), pa.int64())] * 3])
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: tuple[int, int] | None = None
+        held, rows = None, []
         for batch in batches:
-            key, doc, other = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2)
-            done = other.is_valid().to_numpy(zero_copy_only=False)
-            ready = np.stack([doc[done], other.filter(other.is_valid()).to_numpy()], 1)
-            key, doc = key[~done], doc[~done]
-            if held is not None:
-                key, doc = np.append(held[0], key), np.append(held[1], doc)
-            if len(key):
-                first = np.ones(len(key), bool)
-                first[1:] = key[1:] != key[:-1]
-                ready = np.concatenate([ready, _star(first, key, doc).reshape(-1, 2)])
-                held = (int(key[-1]), int(doc[np.flatnonzero(first)[-1]]))
-            yield row_batch(LINKS, [ready[:, 0], ready[:, 1]])
-
-    rows = _map_sets(texts, n, emit, "key long, doc long, other long", 1)
-    return over_batches(rows.repartition("key").sortWithinPartitions("key", "doc"), walk, "a long, b long").distinct()
+            for part, kind, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if kind == 0:
+                    if part != held and rows:
+                        yield from linked(tied(rows))
+                        rows = []
+                    held = part
+                    rows.append(data)
+                elif kind == 1:
+                    digest = np.frombuffer(data, np.int64).reshape(-1, 5)
+                    ids = pa.array(digest[:, 0], mask=digest[:, 1] == 0)
+                    yield row_batch(found, [ids, pa.nulls(len(digest), pa.int64()), *digest[:, 2:].T])
+                else:
+                    yield from linked(np.frombuffer(data, np.int64).reshape(-1, 2))
+        if rows:
+            yield from linked(tied(rows))
+
+    rows = over_batches(texts, emit, "part long, kind long, data binary")
+    rows = rows.repartition("part").sortWithinPartitions("part")
+    return over_batches(rows, walk, "doc_id long, b long, n_shingles long, high long, low long")
 
 
 def strong_edges(texts: DataFrame, n: int, schemes: Schemes, frequent: np.ndarray) -> DataFrame:
@@ -384,6 +438,82 @@ def strong_edges(texts: DataFrame, n: int, schemes: Schemes, frequent: np.ndarra
     return met.groupBy("a", "b", "need").agg(F.count(F.lit(1)).alias("n")).where("n >= need").select("a", "b")
 
 
+def _sketches(sets: Sets) -> list[bytes]:
+    """Of each set as many bits as it has n-grams, rounded up to a power of two: whether an odd number of n-grams falls on a bit.
+
+    Sketches of two sets differ in no more bits than the sets in n-grams. Halves of a sketch, one XOR the other, are the sketch
+    of half the bits.
+    """
+    out = []
+    bits = mixed(sets.value)
+    for a, size in zip(sets.first.tolist(), sets.size.tolist(), strict=True):
+        width = min(max((size - 1).bit_length(), 6), SKETCH_BITS)
+        place = (bits[a : a + size] >> np.uint64(64 - width)).astype(np.int64)
+        out.append(np.packbits(np.bincount(place, minlength=1 << width).astype(np.uint8) & 1).tobytes())
+    return out
+
+
+def _like(sketches: list[bytes], size: np.ndarray, side: np.ndarray, share: int, whole: int) -> list[tuple[int, int]]:
+    """Places (a, b) of sets whose components hold all pairs that may be linked, of one side or, if there are two, of both."""
+    width = min(map(len, sketches))
+    rows = []
+    for sketch in sketches:
+        bits = np.frombuffer(sketch, np.uint64)
+        while bits.nbytes > width:
+            bits = bits[: len(bits) // 2] ^ bits[len(bits) // 2 :]
+        rows.append(bits)
+    bits = np.stack(rows)
+    root = np.arange(len(rows))
+    second = np.flatnonzero(side == side.max())
+    second = second[np.argsort(size[second], kind="stable")]
+    sizes = size[second]
+    for i in np.flatnonzero(side == side.min()).tolist():
+        low, high = np.searchsorted(sizes, -(-size[i] * share // whole), "left"), np.searchsorted(sizes, size[i] * whole // share, "right")
+        near = second[low:high]
+        near = near[root[near] != root[i]]  # these are in one component already
+        apart = np.bitwise_count(bits[near] ^ bits[i]).sum(axis=1, dtype=np.int64)
+        for r in np.unique(root[near[(whole + share) * apart <= (whole - share) * (size[near] + size[i])]]).tolist():
+            root[root == r] = root[i]
+    return [(r, i) for i, r in enumerate(root.tolist()) if r != i]
+
+
+def sketch_edges(texts: DataFrame, n: int, share: int, whole: int) -> DataFrame:
+    """Edges (a, b) whose components hold every linked pair within the families of ``texts`` (doc_id, text, family), and little else.
+
+    Linked sets of A and B n-grams differ in (A + B)(whole - share) / (whole + share) n-grams at most, so in no more bits of
+    their sketches. Sets of a family are dealt by size and in chunks; each two chunks with sizes that can be linked meet in one task.
+    """
+    kind = pa.schema([("doc_id", pa.int64()), ("family", pa.int64()), ("size", pa.int64()), ("sketch", pa.binary())])
+
+    def emit(batch: pa.RecordBatch, sets: Sets) -> pa.RecordBatch:
+        return row_batch(kind, [batch.column(0), batch.column(2), sets.size, _sketches(sets)])
+
+    made = _map_sets(texts, n, emit, "doc_id long, family long, size long, sketch binary", 1).where("size > 0")
+    # Linked sets are of one class or of neighbouring ones: a class is wider than their sizes can differ, by more than rounding.
+    level = F.floor(F.log(F.col("size")) / F.log(F.lit(1.05 * whole / share)))
+    made = stored(made.withColumn("level", level), "sketches")
+    bins = stored(made.groupBy("family", "level").agg(F.ceil(F.count(F.lit(1)) / SKETCH_CHUNK).alias("chunks")), "sketch-bins")
+    for step, name in ((0, "own"), (1, "up"), (-1, "down")):
+        at = bins.select("family", (F.col("level") - step).alias("level"), F.col("chunks").alias(name))
+        made = made.join(at, ["family", "level"], "left")
+    made = made.withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.col("own")))
+    task = "struct({level} AS task, CAST({low} AS LONG) AS low, CAST({up} AS INT) AS up, CAST({high} AS LONG) AS high, {side} AS side)"
+    each = lambda count, task: f"if({count} > 0, transform(sequence(1L, {count}), k -> {task}), array())"
+    same = task.format(level="level", low="least(k - 1, chunk)", up=0, high="greatest(k - 1, chunk)", side="k - 1 < chunk")
+    above = task.format(level="level", low="chunk", up=1, high="k - 1", side="false")
+    below = task.format(level="level - 1", low="k - 1", up=1, high="chunk", side="true")
+    tasks = F.expr(f"concat({each('own', same)}, {each('coalesce(up, 0L)', above)}, {each('coalesce(down, 0L)', below)})")
+    dealt = made.select("doc_id", "family", "size", "sketch", F.explode(tasks).alias("t")).select("doc_id", "family", "size", "sketch", "t.*")
+
+    def join(group: pa.Table) -> pa.Table:
+        ids, size = group["doc_id"].to_numpy(), group["size"].to_numpy()
+        found = _like(group["sketch"].to_pylist(), size, group["side"].to_numpy(), share, whole)
+        return pa.table([pa.array([ids[i] for i, _ in found], pa.int64()), pa.array([ids[i] for _, i in found], pa.int64())], schema=LINKS)
+
+    # A task of one side holds the pairs within a chunk; one of two sides needs both.
+    return dealt.groupBy("family", "task", "low", "up", "high").applyInArrow(join, "a long, b long").where("a <> b").distinct()
+
+
 def frequent_grams(texts: DataFrame, n: int, rows: int) -> np.ndarray:
     """Sorted hashes of n-grams that many of some thousand documents have. Steers the order of parts only."""
     step = max(1, rows // ORDER_SAMPLE)
@@ -431,9 +561,9 @@ def _as_families(roots: DataFrame) -> DataFrame:
 
 
 def _beyond(families: DataFrame, family_sets: int) -> DataFrame:
-    """Families too large for one task."""
+    """Families too large for one task, with their sets."""
     bulk = families.groupBy("family").agg(F.count(F.lit(1)).alias("sets"), F.sum("n").alias("all"))
-    return stored(bulk.where(F.expr(f"sets > {family_sets} OR all > {FAMILY_GRAMS}")).select("family"), "large-families")
+    return stored(bulk.where(F.expr(f"sets > {family_sets} OR all > {FAMILY_GRAMS}")).select("family", "sets"), "large-families")
 
 
 def jaccard_components(
@@ -451,24 +581,14 @@ def jaccard_components(
     """
     schemes = Schemes(share, whole)
     texts = docs.select("doc_id", as_bytes(text).alias("text"))
-    thin = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("high", pa.int64()), ("low", pa.int64())])
-
-    def digest(batch: pa.RecordBatch, sets: Sets) -> pa.RecordBatch:
-        some = np.flatnonzero(sets.size)
-        both = []
-        for salt in (1, 2):
-            value = np.zeros(len(sets.size), np.uint64)
-            if len(some):
-                value[some] = np.add.reduceat(mixed(sets.value + np.uint64(salt)), sets.first[some])
-            both.append(value.astype(np.int64))
-        return row_batch(thin, [batch.column(0), sets.size, *both])
-
-    rows = stored(_map_sets(texts, n, digest, "doc_id long, n_shingles long, high long, low long", 1), "set-digests")
+    ids = texts.where("doc_id IS NOT NULL")
+    count, size = texts.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    frequent = frequent_grams(ids, n, count)
+    found = stored(candidates(texts, n, schemes, frequent, bucket_count(size // 8, PART_KEYS)), "candidates")
+    rows = found.where("n_shingles IS NOT NULL").drop("b")
+    edges = found.where("n_shingles IS NULL").select(F.col("doc_id").alias("a"), "b").distinct()
     same = rows.where("n_shingles > 0").groupBy("high", "low", "n_shingles").agg(F.min("doc_id").alias("rep"))
     same = stored(same, "equal-sets")
-    ids = texts.where("doc_id IS NOT NULL")
-    frequent = frequent_grams(ids, n, rows.count())
-    edges = candidate_edges(ids, n, schemes, frequent)
     copies = rows.join(same, ["high", "low", "n_shingles"]).where("doc_id <> rep").select("doc_id", "rep").distinct()
     copies = stored(copies, "set-copies")
     for end in ("a", "b"):  # one document stands for all with its set
@@ -476,15 +596,23 @@ def jaccard_components(
     families = _as_families(components(edges, "families"))
     sizes = rows.groupBy("doc_id").agg(F.max("n_shingles").alias("n"))
     families = stored(families.join(sizes, "doc_id"), "family-members")
+
+    def finer(families: DataFrame, large: DataFrame, edges: Callable[[DataFrame], DataFrame]) -> DataFrame:
+        crowd = stored(families.join(large, "family").select("doc_id", "family", "n"), "crowds")
+        crowded = told_apart(ids, crowd, ["doc_id"])[1].join(crowd.select("doc_id", "family"), "doc_id")
+        found = _as_families(components(edges(crowded), "finer-families")).join(crowd.select("doc_id", "n"), "doc_id")
+        return stored(families.join(large, "family", "left_anti").unionByName(found.select("family", "doc_id", "n")), "finer-members")
+
     large = _beyond(families, family_sets)
-    if not large.isEmpty():
-        crowd = stored(families.join(large, "family").select("doc_id", "n"), "crowds")
-        crowded = told_apart(ids, crowd, ["doc_id"])[1].join(crowd.select("doc_id"), "doc_id", "left_semi")
-        finer = _as_families(components(strong_edges(crowded, n, schemes, frequent), "finer-families"))
-        families = families.join(large, "family", "left_anti").unionByName(finer.join(crowd, "doc_id").select("family", "doc_id", "n"))
-        families = stored(families, "finer-members")
+    huge = large.where(F.col("sets") > SKETCH_SETS)
+    if not huge.isEmpty():
+        families = finer(families, huge, lambda crowded: strong_edges(crowded, n, schemes, frequent))
+        large = _beyond(families, family_sets)
+    crowds = large.where(F.col("sets") <= SKETCH_SETS)
+    if not crowds.isEmpty():
+        families = finer(families, crowds, lambda crowded: sketch_edges(crowded, n, share, whole))
         large = _beyond(families, family_sets)
-    members = families.join(large.withColumn("large", F.lit(True)), "family", "left").select("doc_id", "family", F.coalesce("large", F.lit(False)).alias("large"))
+    members = families.join(large.select("family", F.lit(True).alias("large")), "family", "left").select("doc_id", "family", F.coalesce("large", F.lit(False)).alias("large"))
 
     grouped = pa.schema([("doc_id", pa.int64()), ("family", pa.int64()), ("large", pa.bool_()), ("grams", pa.binary())])
 

@@ -248,3 +248,66 @@ def test_crowded_families_by_brute_force(spark, monkeypatch, common):
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in join.jaccard_components(docs, 5, 80, family_sets=2, block=3).collect()}
     assert got == brute_components(rows, 5, 80, 100)
+
+
+def texts_with_one_passage(count=40, length=900, passage=700):
+    """Long texts that all have one passage in common, each with a near copy."""
+    rng, rows = random.Random(7), []
+    common = [f"c{rng.randrange(10**6)}" for _ in range(passage)]
+    for i in range(count):
+        words = [*common, *(f"w{rng.randrange(10**6)}" for _ in range(length - passage))]
+        copy = list(words)
+        for _ in range(10):
+            copy[rng.randrange(length)] = f"x{rng.randrange(10**6)}"
+        rows += [(i, " ".join(words)), (100 + i, " ".join(copy))]
+    return rows
+
+
+def test_texts_with_one_passage_in_common_take_no_rounds(spark, monkeypatch):
+    """Keys of that passage are common to all texts; sketches tell them apart, so no round joins a block with all."""
+    labels, stored = [], join.stored
+    monkeypatch.setattr(join, "stored", lambda df, label: labels.append(label) or stored(df, label))
+    rows = texts_with_one_passage()
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in join.jaccard_components(docs, 5, 80, family_sets=4).collect()}
+    want = brute_components(rows, 5, 80, 100)
+    assert got == want and len({c for _, c in want.values()}) == 40
+    assert "crowds" in labels and "large-links" not in labels
+
+
+@pytest.mark.parametrize("chunk, sets", [(1, 65_536), (3, 65_536), (2048, 65_536), (3, 6)])
+def test_sketches_by_brute_force(spark, monkeypatch, chunk, sets):
+    """However many chunks a family has; families of over ``sets`` sets are told apart by keys."""
+    monkeypatch.setattr(join, "SKETCH_CHUNK", chunk)
+    monkeypatch.setattr(join, "SKETCH_SETS", sets)
+    rows = near_copies(9) + [(1000 + i, text) for i, text in long_texts(5, 6, 400, 150)] + [(7, "a b c"), (7, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = Counter(map(tuple, join.jaccard_components(docs, 5, 80, family_sets=1, block=3).select("doc_id", "component_id").collect()))
+    single = {r["doc_id"]: r["component_id"] for r in join.jaccard_components(docs, 5, 80).collect()}
+    assert got == Counter((i, single[i]) for i, _ in rows)
+
+
+def test_sketches_differ_in_no_more_bits_than_sets():
+    """Linked pairs of one side or of two are in one component, others are not; sketches have two widths."""
+    rng = np.random.default_rng(1)
+    pool = rng.integers(0, 2**64, 20_000, np.uint64)
+    sets = [np.unique(rng.choice(pool, rng.integers(1200, 2000))) for _ in range(60)]
+    sets += [np.unique(np.append(s[: len(s) - len(s) // 12], pool[:2])) for s in sets]
+    held = object.__new__(join.Sets)
+    held.value, held.size = np.concatenate(sets), np.array([len(s) for s in sets])
+    held.first = np.cumsum(held.size) - held.size
+    sketches = join._sketches(held)
+    assert all(len(s) == max(8, (1 << (n - 1).bit_length()) // 8) for s, n in zip(sketches, held.size.tolist(), strict=True))
+    for side in (np.zeros(len(sets), bool), np.arange(len(sets)) >= 60):
+        known = join.Components()
+        for a, b in join._like(sketches, held.size, side, 80, 100):
+            known.union(a, b)
+        linked = 0
+        for i, a in enumerate(sets):
+            for j, b in enumerate(sets[:i]):
+                both = len(np.intersect1d(a, b))
+                if 100 * both >= 80 * (len(a) + len(b) - both) and (side[i] != side[j] or not side.any()):
+                    linked += 1
+                    assert known.find(i) == known.find(j)
+        assert linked >= 30
+        assert len({known.find(i) for i in range(len(sets))}) >= 20
